@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import jaccard, quality_gbt, sharding, substring, tokenfiles, toxicity_fm
+from timeloom.llm import decontam, jaccard, quality_gbt, robust_rules, sharding, substring, tokenfiles, toxicity_fm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,16 +43,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_rules.robust_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_token_files": op6_token_files,
     "op8_toxicity": op8_toxicity,
+    "op9_robust_rules": op9_robust_rules,
     "op10_jaccard": op10_jaccard,
 }
 
