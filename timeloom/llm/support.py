@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/timeloom-{uuid.uuid4().hex}"
 
 
+def bounded_batches(df: DataFrame, size: str = "6m") -> DataFrame:
+    """Let Spark hand Python workers batches of at most ``size`` (or one row, if that is longer).
+
+    This sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``; a limit other than
+    the default of 64 MB is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) in (None, "-1", "64MB", "67108864", "67108864b"):
+        df.sparkSession.conf.set(key, size)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

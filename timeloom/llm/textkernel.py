@@ -27,6 +27,12 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 BREAKS = SPACES.copy()
 BREAKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
+#: Letters, digits and marks (but for the apostrophe) of ASCII; 0 for all else.
+_KIND = np.zeros(256, dtype=np.int8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[*range(48, 58)]] = 2
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
@@ -100,17 +106,21 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), off.astype(np.int64)
 
 
-def blocks(column: pa.Array, breaks: np.ndarray = SPACES, fold_case: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The documents of a column, in blocks of about ``block_bytes``."""
+def blocks(column: pa.Array, breaks: np.ndarray = SPACES, fold_case: bool = False, block_bytes: int = BLOCK_BYTES, split_marks: bool = False) -> Iterator[Block]:
+    """The documents of a column, in blocks of about ``block_bytes``.
+
+    ``split_marks``: words also end between an ASCII letter and an ASCII digit, and between
+    either and an ASCII mark other than the apostrophe.
+    """
     data, off = string_buffers(column)
     row, n = 0, len(column)
     while row < n:
         stop = max(row + 1, int(np.searchsorted(off, off[row] + block_bytes, side="right")) - 1)
-        yield _block(row, data[off[row] : off[stop]], off[row : stop + 1] - off[row], breaks, fold_case)
+        yield _block(row, data[off[row] : off[stop]], off[row : stop + 1] - off[row], breaks, fold_case, split_marks)
         row = stop
 
 
-def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fold_case: bool) -> Block:
+def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fold_case: bool, split_marks: bool = False) -> Block:
     n = len(data)
     inside = ~breaks[data]
     before = np.zeros(n, dtype=bool)
@@ -121,6 +131,11 @@ def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fol
         heads = off[:-1][off[:-1] < off[1:]]
         before[heads] = False
         after[heads[1:] - 1] = False
+        if split_marks:
+            kind = _KIND[data]
+            turn = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+            before[turn] = False
+            after[turn - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     up, down = _Powers.of(n + 1)

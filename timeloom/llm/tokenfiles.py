@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -12,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeloom.llm.support import clean_text, shared_dir
+from timeloom.llm.support import bounded_batches, clean_text, shared_dir
+from timeloom.llm.textkernel import Block, blocks, string_buffers
 
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -29,74 +33,134 @@ FILE_SCHEMA = T.StructType([
 class WordEncoder:
     """Ids of whole texts, by words cut at ASCII white space.
 
-    The vocabulary drops white space and no piece spans it, so the ids of a text are those of
-    its words in turn. Each distinct word is encoded once and its ids stay in a pool.
+    The vocabulary is caseless, drops white space, and no piece spans white space or the edge
+    between a letter and a following mark, so the ids of a text are those of its words in turn.
+    Each distinct word is encoded once and its ids stay in a pool, found by the word's 64-bit
+    hash (two of the words kept share one with a chance below 1e-7). Texts that hold the opening
+    of a special token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = json.dumps(spec.get("normalizer") or {}) + json.dumps(spec.get("pre_tokenizer") or {})
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and "Lowercase" in steps and '"Removed"' in steps
+        if self.by_word:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.closes = np.array([(self.plain.id_to_token(i) or "").endswith(suffix) for i in range(self.plain.get_vocab_size())])
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 20, dtype=np.int32)
-        self.used = 0
-        self.begin: list[int] = []
-        self.size: list[int] = []
-
-    def _learn(self, words: list[bytes]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            ids = got.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.place[word] = len(self.begin)
-            self.begin.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
-
-    def encode(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of each text; ``end_id`` closes each text."""
-        if len(self.place) > CACHE_WORDS:
+        self.known = np.zeros(0, np.uint64)
+        self.begin = self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
+
+    def _learn(self, fresh: np.ndarray, words: list[bytes]) -> None:
+        """Add distinct words, given with their hashes in ascending order.
+
+        A word of lower-case letters alone passes the normaliser unchanged and is one piece
+        before merges, so such words are encoded many at a time; ids that close a word part
+        them again.
+        """
+        texts = [w.decode().lower() if max(w) >= 128 else w.lower().decode() for w in words]
+        plain = np.array([t.isalpha() and (t.isascii() or (max(t) < "\u0250" and unicodedata.is_normalized("NFC", t))) for t in texts], bool)
+        size, begin, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), len(self.pool)
+        flats = [self.pool]
+        letters, odd = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        for k in range(0, len(letters), 512):
+            at = letters[k : k + 512]
+            flat = np.array(self.plain.encode_batch_fast([" ".join([texts[i] for i in at])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.closes[flat]) + 1
+            if len(ends) != len(at):
+                odd += at
+                continue
+            size[at] = np.diff(ends, prepend=0)
+            begin[at] = used + ends - size[at]
+            flats.append(flat)
+            used += len(flat)
+        for i, ids in zip(odd, self._ids([words[i].decode() for i in odd]), strict=True):
+            size[i], begin[i] = len(ids), used
+            flats.append(np.array(ids, np.int32))
+            used += len(ids)
+        at = np.searchsorted(self.known, fresh)
+        self.begin, self.size, self.known = np.insert(self.begin, at, begin), np.insert(self.size, at, size), np.insert(self.known, at, fresh)
+        self.pool = np.concatenate(flats)
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's documents in one array, and the number of each document."""
+        distinct, seen, which = np.unique(block.hash, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_WORDS:
             self._reset()
-        words = [t.split() for t in texts]
-        if fresh := {w for ws in words for w in ws} - self.place.keys():
-            self._learn(sorted(fresh))
-        get = self.place.__getitem__
-        index = np.fromiter((i for ws in words for i in map(get, ws)), dtype=np.int64, count=sum(map(len, words)))
-        sizes = np.array(self.size, dtype=np.int64)[index] if len(index) else np.zeros(0, np.int64)
-        begins = np.array(self.begin, dtype=np.int64)[index] if len(index) else np.zeros(0, np.int64)
-        ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = np.cumsum([len(ws) for ws in words])
-        totals = np.diff(np.concatenate([[0], np.concatenate([[0], ends])[stops]])).astype(np.int64)
-        if end_id is None:
-            return flat, totals
-        return np.insert(flat, np.cumsum(totals), end_id).astype(np.int32), totals + 1
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            raw = block.data.tobytes()
+            self._learn(distinct[new], [raw[s:e] for s, e in zip(block.start[seen[new]].tolist(), block.end[seen[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.known, distinct)
+        if not len(which):
+            return np.zeros(0, np.int32), np.zeros(len(block), np.int64)
+        at = at[which]
+        size, begin = self.size[at], self.begin[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        return flat, np.diff(ends[block.first])
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, number of ids of each row) of stretches of a column.
+
+        A tokenizer of another kind, whose pieces may span words, encodes whole texts.
+        """
+        if not self.by_word:
+            data, offset = string_buffers(texts)
+            raw = data.tobytes()
+            for row in range(len(texts)):
+                ids = np.array(self._ids([raw[offset[row] : offset[row + 1]].decode()])[0], np.int32)
+                yield row, ids, np.array([len(ids)], np.int64)
+            return
+        for block in blocks(texts, fold_case=True, split_marks=True, block_bytes=1_000_000):
+            flat, totals = self.encode(block)
+            if b"<|" in (raw := block.data.tobytes()):
+                ends = np.cumsum(totals)
+                parts = np.split(flat, ends[:-1])
+                for d in range(len(block)):
+                    text = raw[block.offset[d] : block.offset[d + 1]]
+                    if b"<|" in text:
+                        parts[d] = np.array(self._ids([text.decode()])[0], np.int32)
+                flat, totals = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            yield block.row0, flat, totals
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _encoded(path: str, end_id: int | None, chunk_bytes: int = 4_000_000):
+def _encoded(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = WordEncoder(path), TaskContext.get().partitionId(), 0
+        if path not in _ENCODERS:
+            _ENCODERS[path] = WordEncoder(path)
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            row = 0
-            while row < len(texts):
-                stop, size = row, 0
-                while stop < len(texts) and (stop == row or size + len(texts[stop]) <= chunk_bytes):
-                    size += len(texts[stop])
-                    stop += 1
-                flat, totals = encoder.encode(texts[row:stop], end_id)
+            for row, flat, totals in _ENCODERS[path].encode_column(batch.column(1)):
+                n = len(totals)
+                if end_id is not None:
+                    flat = np.insert(flat, np.cumsum(totals), end_id).astype(np.int32, copy=False)
+                    totals = totals + 1
                 ends = np.cumsum(totals)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, type=pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, stop - row), pa.array(np.full(stop - row, part, np.int32)), pa.array(start + ends - totals), pa.array(totals.astype(np.int32)), lists],
+                    [batch.column(0).slice(row, n), pa.array(np.full(n, part, np.int32)), pa.array(start + ends - totals), pa.array(totals.astype(np.int32)), lists],
                     names=[f.name for f in FILE_SCHEMA],
                 )
                 start += int(ends[-1])
-                row = stop
 
     return run
 
@@ -110,7 +174,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, out: str, *, en
     alone or a range of documents. A null text is empty and gives the end id alone; a null id
     sorts first; equal ids stand together, in the order of their texts.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         placed.mapInArrow(_encoded(tokenizer_path, end_id), FILE_SCHEMA)
