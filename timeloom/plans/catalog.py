@@ -6,5 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from timeloom.plans import extensions, table_queries, text_queries, time_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+for _part in (time_queries, text_queries, table_queries, extensions):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
+
+
