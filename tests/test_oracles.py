@@ -1,0 +1,21 @@
+import compare
+import pytest
+
+from timeloom.plans.catalog import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return compare.duck(small)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, small, con, name):
+    assert compare.same(QUERIES[name](spark, small), con, ORACLES[name]) is None
+
+
+def test_entry_and_keys(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
