@@ -145,11 +145,16 @@ def skeleton(md: Column, chars: int = 120) -> Column:
 
 
 def repeated_ngram_share(text: Column, n: int = 3) -> Column:
-    """Share of a text's word n-grams that repeat an earlier one: a health check of captions."""
+    """Share of a text's word n-grams that repeat an earlier one: a health check of captions.
+
+    The words are laid side by side with themselves, shifted, so that no lambda splits the text anew.
+    """
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    k = F.size(words) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(k > 0, 1 - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+    grams = words
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    whole = F.filter(grams, lambda g: g.isNotNull())
+    return F.coalesce(1 - F.size(F.array_distinct(whole)) / F.nullif(F.size(whole), F.lit(0)), F.lit(0.0))
 
 
 def script_share(text: Column, pattern: str) -> Column:

@@ -130,14 +130,14 @@ def t1_vtt(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@_query(f"""WITH {SEGMENTS}, st AS (SELECT video_id, seg_idx, CAST("start" * 3 AS BIGINT) AS x FROM segments), both_ AS (
+@_query(f"""WITH {SEGMENTS}, st AS (SELECT video_id, seg_idx, CAST(floor("start" * 3) AS BIGINT) AS x FROM segments), both_ AS (
  SELECT video_id, seg_idx, 0 AS p, x  AS at_ FROM st UNION ALL SELECT video_id, seg_idx, 1, x + 40 FROM st),
 fixed AS (SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM segments s WHERE s.video_id = b.video_id AND b.at_ >= s."start" - 5 AND b.at_ <= greatest(s."start", s."end") + 5) THEN CAST(at_ AS DOUBLE)
   ELSE (SELECT min_by(s."start", [abs(s."start" - b.at_), s."start"]) FROM segments s WHERE s.video_id = b.video_id) END AS now_ FROM both_ b)
 SELECT video_id, seg_idx, 'a [' || max({hms_sql('now_')}) FILTER (p = 0) || '] b [' || max({hms_sql('now_')}) FILTER (p = 1) || '] c' AS repaired FROM fixed GROUP BY video_id, seg_idx""")
 def t2_stamps(spark: SparkSession, d: str) -> DataFrame:
     seg = segments(spark, d)
-    x = F.round(F.col("start") * 3).cast("long")
+    x = F.floor(F.col("start") * 3)
     md = F.concat(F.lit("a ["), scalars.hms(x), F.lit("] b ["), scalars.hms(x + 40), F.lit("] c"))
     s = seg.select("video_id", "seg_idx", md.alias("md"))
     return text.repair_stamps(s, seg, "video_id", "seg_idx", "md").select("video_id", "seg_idx", "repaired")
