@@ -27,6 +27,8 @@ def test_kernel_words_and_shingles():
 def test_threshold_is_centred():
     m, y = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 0.0, 1.0, 1.0])
     assert labelled.centred_threshold(m, y) == 1.5
+    assert labelled.centred_threshold(np.zeros(4), y) == 1.0
+    assert labelled.centred_threshold(np.zeros(4), np.ones(4)) == -1.0
 
 
 def held_out_accuracy(spark, folder, query, label, modulus, rest):

@@ -28,11 +28,16 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, modulus:
 
 
 def centred_threshold(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin at which a cut makes the fewest errors, midway between its neighbours."""
+    """The margin at which a cut makes the fewest errors, midway between its neighbours.
+
+    Equal margins are not parted; if either side will do, all fall below the cut.
+    """
     order = np.argsort(margin, kind="stable")
     m, t = margin[order], y[order]
     errors = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
-    k = int(np.flatnonzero(errors == errors.min()).mean().round())
+    between = np.concatenate([[True], m[1:] > m[:-1], [True]])
+    places = np.flatnonzero(between & (errors == errors[between].min()))
+    k = int(places[len(places) // 2])
     if k == 0 or k == len(m):
         return float(m[0] - 1 if k == 0 else m[-1] + 1)
     return float((m[k - 1] + m[k]) / 2)

@@ -61,12 +61,15 @@ class FactorizationMachine:
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, *, kept_terms: int = 1024, factors: int = 6, rounds: int = 250, rate: float = 0.03, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
-    """Fit by full-batch adaptive gradient steps on the terms that best tell the classes apart."""
+    """Fit by full-batch adaptive gradient steps on the terms that best tell the classes apart.
+
+    Without rows of both classes there is nothing to learn, and no text is called toxic.
+    """
     n_buckets = 1 << BUCKET_BITS
     place = np.full(n_buckets, -1, dtype=np.int32)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
-        return FactorizationMachine(place, np.zeros(1), np.zeros((1, 1)), -1.0 if not n1 else 1.0)
+        return FactorizationMachine(place, np.zeros(1), np.zeros((1, 1)), -1.0)
     doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     flat = np.concatenate(terms)
     a = np.bincount(flat, weights=y[doc], minlength=n_buckets)
