@@ -19,7 +19,7 @@ from timeloom.llm.support import bounded_batches, clean_text, shared_dir
 from timeloom.llm.textkernel import Block, blocks, string_buffers
 
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
 
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -59,8 +59,8 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.begin = self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for k in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
@@ -79,7 +79,7 @@ class WordEncoder:
         letters, odd = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         for k in range(0, len(letters), 512):
             at = letters[k : k + 512]
-            flat = np.array(self.plain.encode_batch_fast([" ".join([texts[i] for i in at])], add_special_tokens=False)[0].ids, np.int32)
+            flat = np.array(self.plain.encode_batch_fast([" ".join([texts[i] for i in at])], add_special_tokens=False)[0].ids, self.pool.dtype)
             ends = np.flatnonzero(self.closes[flat]) + 1
             if len(ends) != len(at):
                 odd += at
@@ -90,10 +90,11 @@ class WordEncoder:
             used += len(flat)
         for i, ids in zip(odd, self._ids([words[i].decode() for i in odd]), strict=True):
             size[i], begin[i] = len(ids), used
-            flats.append(np.array(ids, np.int32))
+            flats.append(np.array(ids, self.pool.dtype))
             used += len(ids)
         at = np.searchsorted(self.known, fresh)
-        self.begin, self.size, self.known = np.insert(self.begin, at, begin), np.insert(self.size, at, size), np.insert(self.known, at, fresh)
+        self.begin, self.size = np.insert(self.begin, at, begin.astype(np.uint32)), np.insert(self.size, at, size.astype(np.int32))
+        self.known = np.insert(self.known, at, fresh)
         self.pool = np.concatenate(flats)
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +111,10 @@ class WordEncoder:
         if not len(which):
             return np.zeros(0, np.int32), np.zeros(len(block), np.int64)
         at = at[which]
-        size, begin = self.size[at], self.begin[at]
+        size, begin = self.size[at].astype(np.int64), self.begin[at].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        return flat, np.diff(ends[block.first])
+        return flat.astype(np.int32, copy=False), np.diff(ends[block.first])
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, number of ids of each row) of stretches of a column.
@@ -127,7 +128,7 @@ class WordEncoder:
                 ids = np.array(self._ids([raw[offset[row] : offset[row + 1]].decode()])[0], np.int32)
                 yield row, ids, np.array([len(ids)], np.int64)
             return
-        for block in blocks(texts, fold_case=True, split_marks=True, block_bytes=1_000_000):
+        for block in blocks(texts, fold_case=True, split_marks=True, block_bytes=600_000):
             flat, totals = self.encode(block)
             if b"<|" in (raw := block.data.tobytes()):
                 ends = np.cumsum(totals)
@@ -174,7 +175,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, out: str, *, en
     alone or a range of documents. A null text is empty and gives the end id alone; a null id
     sorts first; equal ids stand together, in the order of their texts.
     """
-    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
+    rows = bounded_batches(documents, "3m").select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         placed.mapInArrow(_encoded(tokenizer_path, end_id), FILE_SCHEMA)
