@@ -122,6 +122,15 @@ def test_compact_windows_equal_the_recursion():
         assert {tuple(map(int, x)) for x in zip(*substring.compact_windows(value, first, length), strict=True)} == want
 
 
+def test_repeats_fold_into_series():
+    import numpy as np
+
+    key = np.array([5, 7, 5, 5, 7, 5, 9], dtype=np.uint64)
+    row, step, times = substring._fold_repeats(key, np.array([0, 1, 10, 20, 21, 50, 60]))
+    got = {(int(r), int(s), int(t)) for r, s, t in zip(row, step, times, strict=True)}
+    assert got == {(0, 10, 3), (1, 20, 2), (5, 0, 1), (6, 0, 1)}
+
+
 def test_common_and_edited_passages(spark):
     """One passage in many documents, each with its own context, and one with an edited word."""
     passage, far = prose(11, 60), prose(12, 90).split()

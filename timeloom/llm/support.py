@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,11 +20,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session sets none (tests on one machine), a temporary folder is used.
+    Where the session sets none (tests on one machine), a temporary folder is used, which goes
+    when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="timeloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/timeloom-{uuid.uuid4().hex}"
 
