@@ -160,3 +160,20 @@ def test_passages_of_odd_rows(spark):
     assert left[4] is None and left[5] == "" and left[1] is not None and len(words(left.get(11))) >= 200 and len(words(left.get(2) or "")) < 12
     assert substring.repeated_passages(empty_documents(spark)).count() == 0
     assert substring.remove_passages(empty_documents(spark), substring.repeated_passages(empty_documents(spark))).count() == 0
+
+
+def test_neighbouring_lines_of_different_documents_are_no_passage(spark):
+    """Three common lines in a row, each from another document, are held by none as a whole."""
+    one, two, three = prose(21, 30), prose(22, 30), prose(23, 30)
+    rows = {1: f"{one} {prose(31, 60)}", 2: f"{prose(32, 60)} {two}", 3: f"{three} {prose(33, 60)}", 4: f"{prose(34, 40)} {one} {two} {three} {prose(35, 40)}"}
+    # The same lines far apart in one document are no passage either.
+    rows |= {5: f"{prose(41, 40)} {prose(42, 30)} {prose(43, 40)} {prose(44, 30)}", 6: f"{prose(45, 40)} {prose(44, 30)} {prose(42, 30)} {prose(46, 40)}"}
+    rows |= {7: f"{prose(51, 60)} {prose(52, 60)}", 8: f"{prose(53, 20)} {prose(52, 60)} {prose(51, 60)}"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    made = [(4, a, a + 25, d, s) for a, d, s in ((40, 1, -40), (70, 2, -10), (100, 3, -100))]
+    made += [(6, 40, 65, 5, 70), (6, 70, 95, 5, -30), (8, 20, 75, 7, 40), (8, 80, 135, 7, -80)]
+    intervals = spark.createDataFrame(made, "doc_id long, low long, high long, ref_doc_id long, shift long")
+    assert sorted(map(tuple, substring._verified(intervals, 46, 0.8).collect())) == [(8, 20, 60, 7, 60), (8, 80, 60, 7, 0)]
+    for r in substring.repeated_passages(docs).collect():
+        w, ref = words(rows[r.doc_id]), words(rows[r.ref_doc_id])
+        assert r.doc_id == 8 and w[r.start_word : r.start_word + r.n_words] == ref[r.ref_start_word : r.ref_start_word + r.n_words]
