@@ -177,3 +177,29 @@ def test_neighbouring_lines_of_different_documents_are_no_passage(spark):
     for r in substring.repeated_passages(docs).collect():
         w, ref = words(rows[r.doc_id]), words(rows[r.ref_doc_id])
         assert r.doc_id == 8 and w[r.start_word : r.start_word + r.n_words] == ref[r.ref_start_word : r.ref_start_word + r.n_words]
+
+
+def test_common_run_inside_a_rarer_passage(spark):
+    """Runs of 41 words in six documents each, and a passage of 50 around each run that two more documents share."""
+    rows = {}
+    for r in range(36):
+        # k words of the passage stand before the run, so that it lies otherwise around the run's centre.
+        run, k = prose(60 + r, 41), r % 10
+        left, right = prose(3000 + r, k), prose(4000 + r, 9 - k)
+        for j in range(8):
+            i = 10 * r + j
+            rows[i] = f"{prose(5000 + i, 40)} {left if j > 5 else ''} {run} {right if j > 5 else ''} {prose(9000 + i, 40)}"
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = exact_runs(rows, 50)
+    assert set(want) == {10 * r + 7 for r in range(36)}
+    # One hash function: each has to find every passage by itself.
+    for hashes in (1, 3):
+        got = defaultdict(set)
+        for r in substring.repeated_passages(docs, hashes=hashes).collect():
+            if r.doc_id not in want:
+                continue  # a run that a block's hash of 15 bits makes a block longer by chance
+            assert r.ref_doc_id == r.doc_id - 1
+            w, ref = words(rows[r.doc_id]), words(rows[r.ref_doc_id])
+            assert w[r.start_word : r.start_word + r.n_words] == ref[r.ref_start_word : r.ref_start_word + r.n_words]
+            got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+        assert set(got) == set(want) and all(len(want[i] - got[i]) <= 5 for i in want)
