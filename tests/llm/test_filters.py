@@ -166,3 +166,16 @@ def test_decontamination_of_odd_rows(spark):
     assert sorted(r.doc_id for r in decontam.contaminated(odd_documents(spark), bench).collect()) == [1, 2, 3, 11]
     assert decontam.contaminated(empty_documents(spark), bench).count() == 0
     assert decontam.contaminated(odd_documents(spark), bench.limit(0)).count() == 0
+
+
+def test_items_after_variants_of_themselves(spark):
+    """An inconsistent variant before, after or beside a consistent one does not hide it."""
+    item = "the merchant sold 12 apples to Alice and then Alice paid 30 euros for the basket of pears in total"
+    good = "the merchant sold 45 apples to Carol and then Carol paid 99 euros for the basket of pears in total"
+    bad = "the merchant sold 45 apples to Carol and then Bob paid 99 euros for the basket of pears in total"
+    short, plain, odd = "so give 7 plums and 7 figs", "so give 9 plums and 9 figs", "so give 8 plums and 9 figs"
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    rows = {1: f"{bad} {item}", 2: f"{item} {bad}", 3: f"{bad} {prose(1, 40)} {good}", 4: f"{bad} {bad}", 5: f"{prose(2, 500)} {bad} {bad} {good} {bad}", 6: f"{odd} {plain}", 7: f"{odd} {odd}", 8: f"{odd} {short} {odd}"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_slots, r.n_changed) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (5, 0), (2, 1): (5, 0), (3, 1): (5, 4), (5, 1): (5, 4), (6, 2): (2, 2), (8, 2): (2, 0)}

@@ -83,7 +83,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     An item is found if a stretch of a document holds at least ``similarity`` of the item's
     distinct five-word template windows, at places that agree to within eight words, and the
     slots agree: at every place the kind is the item's, and a value that the item repeats is
-    replaced by one value throughout. ``n_changed`` of ``n_slots`` values differ, so 0 means a
+    replaced by one value throughout. Every place of an item in a document is checked by itself,
+    and the best of those that pass is given. ``n_changed`` of ``n_slots`` values differ, so 0 means a
     plain copy and more a re-parameterised one. Clean documents give no row.
 
     Windows of all documents meet the items' in one hash join. The items' windows are broadcast
@@ -101,19 +102,35 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     found = (
         hits.withColumn("lane", lane)
         .groupBy("doc_id", "item_id", "n_wins", "lane")
-        .agg(F.count_distinct("win").alias("n_hits"), F.mode(F.col("at") - F.col("item_at"), True).alias("shift"))
+        .agg(F.collect_set(F.struct("win", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))).alias("hits"))
+        .withColumn("n_hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["win"]))))
         .where(F.col("n_hits") >= similarity * F.col("n_wins") - 1e-9)
     )
-    best = found.groupBy("doc_id", "item_id", "n_wins").agg(F.max_by(F.struct("n_hits", "shift"), F.struct("n_hits", -F.abs("lane"), "lane")).alias("best"))
-    best = best.select("doc_id", "item_id", "n_wins", "best.n_hits", "best.shift")
-    matched = join_checked(documents.select("doc_id", "text"), best, ["doc_id"], "inner")
+    # Every place in every lane is a candidate; a document's tokens are made once for all of them.
+    one = F.struct("item_id", "n_wins", "n_hits", F.transform("hits", lambda h: h.dropFields("win")).alias("hits"))
+    matched = join_checked(documents.select("doc_id", "text"), found.groupBy("doc_id").agg(F.collect_set(one).alias("found")), ["doc_id"], "inner")
+    low = F.array_min(F.transform("found.hits", lambda h: h["shift"]))
     named = items.select("item_id", "n_wins", F.col("tokens").alias("item_tokens"))
-    aligned = cut(matched.withColumn("tokens", template_tokens(F.col("text"))).drop("text").join(named, ["item_id", "n_wins"]))
-    pairs = F.filter(
-        F.transform("item_tokens", lambda w, i: F.struct(w.alias("a"), F.when(i + F.col("shift") >= 0, F.get("tokens", i + F.col("shift"))).alias("b"))),
-        lambda p: _is_slot(p["a"]) & _is_slot(p["b"]) & (F.substring(p["a"], 1, 2) == F.substring(p["b"], 1, 2)),
-    )
-    checked = aligned.withColumn("pairs", pairs).where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
+    lanes = matched.select("doc_id", template_tokens(F.col("text")).alias("tokens"), F.explode("found").alias("found"))
+    # Of a document's tokens each row keeps those that lie under the item at one of its places.
+    low = F.greatest(low, F.lit(0))
+    high = F.array_max(F.transform("found.hits", lambda h: h["shift"]))
+    near = lanes.select("doc_id", "found.*", low.alias("low"), high.alias("high"), "tokens").join(named, ["item_id", "n_wins"])
+    near = cut(near.withColumn("tokens", F.slice("tokens", F.col("low") + 1, F.greatest(F.col("high") - F.col("low") + F.size("item_tokens"), F.lit(0)))))
+    aligned = cut(near.withColumn("shift", F.explode(F.array_distinct(F.transform("hits", lambda h: h["shift"])))))
+
+    def place(i: Column) -> Column:
+        """The shift at an item's word: that of the hit nearest to it, of equally near ones the one nearest to ``shift``."""
+        far = lambda h: F.struct(F.greatest(h["item_at"] - i, i - h["item_at"] - (WIDTH - 1), F.lit(0)), F.abs(h["shift"] - F.col("shift")), h["shift"].alias("shift"))
+        return F.array_min(F.transform("hits", far))["shift"]
+
+    def under(w: Column, i: Column) -> Column:
+        at = i + F.col("place")[i] - F.col("low")
+        return F.struct(w.alias("a"), F.when(at >= 0, F.get("tokens", at)).alias("b"))
+
+    spread = cut(aligned.withColumn("place", F.transform("item_tokens", lambda w, i: F.when(_is_slot(w), place(i)))))
+    pairs = F.filter(F.transform("item_tokens", under), lambda p: _is_slot(p["a"]) & _is_slot(p["b"]) & (F.substring(p["a"], 1, 2) == F.substring(p["b"], 1, 2)))
+    checked = cut(spread.withColumn("pairs", pairs).drop("tokens", "hits", "place")).where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
     result = checked.select(
         "doc_id", "item_id", F.col("n_wins").alias("n_windows"), "n_hits",
         F.size("pairs").alias("n_slots"),
