@@ -179,3 +179,18 @@ def test_items_after_variants_of_themselves(spark):
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_slots, r.n_changed) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(1, 1): (5, 0), (2, 1): (5, 0), (3, 1): (5, 4), (5, 1): (5, 4), (6, 2): (2, 2), (8, 2): (2, 0)}
+
+
+def test_names_that_begin_sentences_and_long_insertions(spark):
+    item = "Alice has 5 apples. Bob gives her 3 more. How many apples does Alice have now?"
+    told = prose(5, 60)
+    bench = spark.createDataFrame([(1, item), (2, told)], "item_id long, text string")
+    rows = {
+        1: item.replace("Alice", "Carol").replace("Bob", "Dave"), 2: "He said:\n" + item.replace("Alice", "Carol").replace("Bob", "Dave").replace("5", "9"),
+        3: item.replace("does Alice", "does Erin").replace("Alice", "Carol"), 4: item.lower(), 5: f"{prose(6, 30)}. {item}", 6: "So Carol has 5 apples. Then Dave gives her 3 more. How many apples does Carol have now?",
+        7: " ".join([*told.split()[:30], prose(7, 40), *told.split()[30:]]), 8: " ".join([*told.split()[:30], prose(8, 400), *told.split()[:20]]),
+    }
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_slots, r.n_changed) for r in decontam.contaminated(docs, bench).collect()}
+    assert got.keys() == {(1, 1), (2, 1), (5, 1), (7, 2)}
+    assert got[5, 1][1] == 0 and got[1, 1] == (4, 2) and got[2, 1] == (4, 3)

@@ -30,8 +30,9 @@ def template_tokens(text: Column) -> Column:
 
     A number becomes ``\\1n`` and its value, a number with a unit attached ``\\1q``, a unit
     after a number ``\\1u``, and a name ``\\1p``: a capitalised word that follows a word or a
-    comma, hence begins no sentence. Other words lose their marks and their case. Null counts
-    as empty.
+    comma, hence begins no sentence. Any other capitalised word becomes ``\\1c``: it may be a name
+    or a word that begins a sentence, a line or a quotation, and windows are read both ways.
+    Other words lose their marks and their case. Null counts as empty.
     """
     t = clean_text(text)
     t = F.regexp_replace(t, _SLOT, " ")
@@ -41,32 +42,59 @@ def template_tokens(text: Column) -> Column:
     with_numbers = F.regexp_replace(with_numbers, rf"(?i)(?<={_SLOT}n[^ ]{{1,24}} )({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})[^\p{{L}}\p{{N}}\s]*{_EDGE}", f"{_SLOT}u$1")
     t = F.when(t.rlike(r"\p{N}"), with_numbers).otherwise(t)
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},] )(\p{Lu}[\p{L}'’-]+)", f"{_SLOT}p$1")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{_SLOT}'’.-])(\p{{Lu}}[\p{{L}}'’-]+)", f"{_SLOT}c$1")
     words = F.split(F.lower(t), rf"{_GAP}+")
     bare = F.transform(words, lambda w: F.when(w.rlike(r"^[a-z]+$"), w).otherwise(F.regexp_replace(w, rf"[^\p{{L}}\p{{N}}{_SLOT}]+", "")))
     return F.filter(bare, lambda w: w != "")
 
 
 def _is_slot(w: Column) -> Column:
-    return w.startswith(_SLOT)
+    return w.startswith(_SLOT) & ~_is_open(w)
 
 
-def _with_windows(rows: DataFrame) -> DataFrame:
+def _is_open(w: Column) -> Column:
+    """Whether a token may be a name or a word."""
+    return w.startswith(_SLOT + "c")
+
+
+def _bare(w: Column) -> Column:
+    return F.when(_is_open(w), F.substring(w, 3, 1 << 30)).otherwise(w)
+
+
+def _key(w: Column) -> Column:
+    """A slot's kind, or the word."""
+    return F.when(_is_slot(w), F.substring(w, 1, 2)).otherwise(_bare(w))
+
+
+def _hashed(parts: list[Column]) -> Column:
+    """Hash of a window's keys; null if too few are literal words."""
+    return F.when(sum(((~p.startswith(_SLOT)).cast("int") for p in parts), F.lit(0)) >= MIN_LITERALS, F.xxhash64(*parts))
+
+
+def _with_windows(rows: DataFrame, names: bool = False) -> DataFrame:
     """Hashes of each row's template windows in an array ``wins``; null for those of too few
     literal words, which any table of numbers would match.
 
+    With ``names``, as many again follow, in which all words that may be names are names; null
+    where that changes nothing.
+
     The lambda looks into ``keys``. No filter on ``wins`` may follow before it is exploded or
     written: the optimizer would push a copy of the whole expression below, with ``keys``
     spelt out inside the lambda and made anew at every word.
     """
     n = F.size("tokens")
-    keyed = rows.withColumn("keys", F.transform("tokens", lambda w: F.when(_is_slot(w), F.substring(w, 1, 2)).otherwise(w)))
+    keyed = rows.withColumn("keys", F.transform("tokens", _key))
+    if names:
+        keyed = keyed.withColumn("named", F.when(F.exists("tokens", _is_open), F.transform("tokens", lambda w: F.when(_is_open(w), _SLOT + "p").otherwise(_key(w)))))
 
-    def window(w: Column, i: Column) -> Column:
-        parts = [w, *(F.get("keys", i + k) for k in range(1, WIDTH))]
-        literals = sum(((~_is_slot(p)).cast("int") for p in parts), F.lit(0))
-        return F.when(literals >= MIN_LITERALS, F.xxhash64(*parts))
+    def windows(keys: str) -> Column:
+        return F.transform(F.slice(keys, 1, n - (WIDTH - 1)), lambda w, i: _hashed([w, *(F.get(keys, i + k) for k in range(1, WIDTH))]))
 
-    return keyed.withColumn("wins", F.when(n >= WIDTH, F.transform(F.slice("keys", 1, n - (WIDTH - 1)), window)))
+    keyed = keyed.withColumn("wins", F.when(n >= WIDTH, windows("keys")))
+    if names:
+        other = F.when((n >= WIDTH) & F.col("named").isNotNull(), windows("named"))
+        keyed = keyed.withColumn("wins", F.when(other.isNotNull(), F.concat("wins", other)).otherwise(F.col("wins")))
+    return keyed
 
 
 def benchmark_templates(benchmark: DataFrame) -> DataFrame:
@@ -77,12 +105,31 @@ def benchmark_templates(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("n_wins", F.size(F.filter(F.array_distinct("wins"), lambda h: h.isNotNull()))).where("n_wins > 0")
 
 
+def _readings(items: DataFrame) -> DataFrame:
+    """(item_id, n_wins, reach, item_at, win, reading): each window with each choice of its
+    words that may be names as names; ``win`` is the window without any."""
+    part = F.slice("tokens", F.col("item_at") + 1, WIDTH)
+    reach = F.greatest(F.size("tokens"), F.lit(8)).alias("reach")
+    rows = items.select("item_id", "n_wins", reach, "tokens", F.posexplode("wins").alias("item_at", "win")).where("win is not null")
+    rows = rows.select("item_id", "n_wins", "reach", "item_at", "win", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1))).alias("mask"))
+    parts = [F.get("part", F.lit(k)) for k in range(WIDTH)]
+    chosen = [F.col("mask").bitwiseAND(1 << k) != 0 for k in range(WIDTH)]
+    rows = rows.where(sum((F.when(c & ~_is_open(p), 1).otherwise(0) for c, p in zip(chosen, parts, strict=True)), F.lit(0)) == 0)
+    reading = _hashed([F.when(c, _SLOT + "p").otherwise(_key(p)) for c, p in zip(chosen, parts, strict=True)])
+    return rows.select("item_id", "n_wins", "reach", "item_at", "win", reading.alias("reading")).where("reading is not null")
+
+
+def _as_kind(b: Column, a: Column) -> Column:
+    """A document's token that may be a name, as one where the item has a name."""
+    return F.when(_is_open(b) & a.startswith(_SLOT + "p"), F.concat(F.lit(_SLOT + "p"), F.substring(b, 3, 1 << 30))).otherwise(b)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, n_slots, n_changed, at_word) of items found in documents.
 
     An item is found if a stretch of a document holds at least ``similarity`` of the item's
-    distinct five-word template windows, at places that agree to within eight words, and the
-    slots agree: at every place the kind is the item's, and a value that the item repeats is
+    distinct five-word template windows, at places that agree to within the item's own length
+    (eight words at least), and the slots agree: at every place the kind is the item's, and a value that the item repeats is
     replaced by one value throughout. Every place of an item in a document is checked by itself,
     and the best of those that pass is given. ``n_changed`` of ``n_slots`` values differ, so 0 means a
     plain copy and more a re-parameterised one. Clean documents give no row.
@@ -94,11 +141,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     rows with a null doc_id hold nothing. An item whose id repeats counts once for each text.
     """
     items = benchmark_templates(benchmark)
-    placed = items.select("item_id", F.posexplode("wins").alias("item_at", "win"), "n_wins").where("win is not null")
+    placed = cut(_readings(items))
     rows = documents.where("doc_id is not null").select("doc_id", template_tokens(F.col("text")).alias("tokens"))
-    wins = _with_windows(rows).select("doc_id", F.posexplode_outer("wins").alias("at", "win")).where("win is not null")
-    hits = join_checked(wins, placed, ["win"], "inner")
-    lane = F.explode(F.array(F.floor((F.col("at") - F.col("item_at")) / 16) * 2, F.floor((F.col("at") - F.col("item_at") + 8) / 16) * 2 + 1))
+    n_places = F.greatest(F.size("tokens") - (WIDTH - 1), F.lit(1))
+    wins = _with_windows(rows, names=True).select("doc_id", n_places.alias("n_places"), F.posexplode_outer("wins").alias("at", "reading")).where("reading is not null")
+    wins = wins.select("doc_id", (F.col("at") % F.col("n_places")).alias("at"), "reading")
+    hits = join_checked(wins, placed, ["reading"], "inner")
+    moved = F.col("at") - F.col("item_at")
+    lane = F.explode(F.array(F.floor(moved / (2 * F.col("reach"))) * 2, F.floor((moved + F.col("reach")) / (2 * F.col("reach"))) * 2 + 1))
     found = (
         hits.withColumn("lane", lane)
         .groupBy("doc_id", "item_id", "n_wins", "lane")
@@ -110,7 +160,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     one = F.struct("item_id", "n_wins", "n_hits", F.transform("hits", lambda h: h.dropFields("win")).alias("hits"))
     matched = join_checked(documents.select("doc_id", "text"), found.groupBy("doc_id").agg(F.collect_set(one).alias("found")), ["doc_id"], "inner")
     low = F.array_min(F.transform("found.hits", lambda h: h["shift"]))
-    named = items.select("item_id", "n_wins", F.col("tokens").alias("item_tokens"))
+    names = F.transform(F.filter("tokens", lambda w: w.startswith(_SLOT + "p")), lambda w: F.substring(w, 3, 1 << 30))
+    named = items.select("item_id", "n_wins", F.col("tokens").alias("item_tokens"), names.alias("item_names"))
     lanes = matched.select("doc_id", template_tokens(F.col("text")).alias("tokens"), F.explode("found").alias("found"))
     # Of a document's tokens each row keeps those that lie under the item at one of its places.
     low = F.greatest(low, F.lit(0))
@@ -119,6 +170,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     near = cut(near.withColumn("tokens", F.slice("tokens", F.col("low") + 1, F.greatest(F.col("high") - F.col("low") + F.size("item_tokens"), F.lit(0)))))
     aligned = cut(near.withColumn("shift", F.explode(F.array_distinct(F.transform("hits", lambda h: h["shift"])))))
 
+    # A place that has enough windows by itself is judged by them alone.
+    own = F.filter("hits", lambda h: h["shift"] == F.col("shift"))
+    aligned = aligned.withColumn("hits", F.when(F.size(own) >= similarity * F.col("n_wins") - 1e-9, own).otherwise(F.col("hits")))
+    # A word that may be a name is one if its text has it elsewhere as a name.
+    aligned = aligned.withColumn("item_tokens", F.transform("item_tokens", lambda w: F.when(_is_open(w) & F.array_contains("item_names", F.substring(w, 3, 1 << 30)), F.concat(F.lit(_SLOT + "p"), F.substring(w, 3, 1 << 30))).otherwise(w)))
+
     def place(i: Column) -> Column:
         """The shift at an item's word: that of the hit nearest to it, of equally near ones the one nearest to ``shift``."""
         far = lambda h: F.struct(F.greatest(h["item_at"] - i, i - h["item_at"] - (WIDTH - 1), F.lit(0)), F.abs(h["shift"] - F.col("shift")), h["shift"].alias("shift"))
@@ -126,7 +183,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
 
     def under(w: Column, i: Column) -> Column:
         at = i + F.col("place")[i] - F.col("low")
-        return F.struct(w.alias("a"), F.when(at >= 0, F.get("tokens", at)).alias("b"))
+        return F.struct(w.alias("a"), F.when(at >= 0, _as_kind(F.get("tokens", at), w)).alias("b"))
 
     spread = cut(aligned.withColumn("place", F.transform("item_tokens", lambda w, i: F.when(_is_slot(w), place(i)))))
     pairs = F.filter(F.transform("item_tokens", under), lambda p: _is_slot(p["a"]) & _is_slot(p["b"]) & (F.substring(p["a"], 1, 2) == F.substring(p["b"], 1, 2)))
