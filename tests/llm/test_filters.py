@@ -194,3 +194,17 @@ def test_names_that_begin_sentences_and_long_insertions(spark):
     got = {(r.doc_id, r.item_id): (r.n_slots, r.n_changed) for r in decontam.contaminated(docs, bench).collect()}
     assert got.keys() == {(1, 1), (2, 1), (5, 1), (7, 2)}
     assert got[5, 1][1] == 0 and got[1, 1] == (4, 2) and got[2, 1] == (4, 3)
+
+
+def test_small_sources_and_tables_are_judged(spark):
+    odd = " ".join(f"#{w}$%&" for w in prose(1, 80).split())
+    line = prose(2, 17)
+    repeats = f"{line} {prose(3, 150)} {line}"
+    rare = [(900 + i, prose(900 + i, 100), "en", "rare") for i in range(8)] + [(1, odd, "en", "rare"), (2, repeats, "en", "rare"), (3, odd, "xx", None)]
+    big = [(1000 + i, prose(1000 + i, 100), "en", "web") for i in range(220)]
+    schema = "doc_id long, text string, lang string, source string"
+    for rows in (rare, big + rare):
+        got = robust_rules.robust_verdicts(spark.createDataFrame(rows, schema)).toPandas().set_index("doc_id")
+        assert not got.base_failed.any() and got.distance.notna().all()
+        assert set(got.index[~got.kept]) == {1, 2, 3}
+    assert abs(robust_rules.CUT - 23.51) < 0.01

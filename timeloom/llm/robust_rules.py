@@ -27,8 +27,10 @@ PRIOR_CHARS = 6.0
 #: Part of a group that the covariance is fitted to, and the factor that makes it consistent
 #: for a normal law of four entries.
 SUBSET, CONSISTENCY = 0.6, 1.82
-#: Rows below which a group is pooled, rounds of concentration, and the squared distance of an outlier.
-MIN_ROWS, ROUNDS, CUT = 200, 4, 50.0
+#: Rows below which a group is pooled, and rounds of concentration.
+MIN_ROWS, ROUNDS = 200, 4
+#: The squared distance of an outlier: the 0.9999 quantile of the chi-square law of four entries.
+CUT = 23.51
 
 
 def _names(rows: DataFrame) -> DataFrame:
@@ -87,14 +89,30 @@ def statistic_vector(counts: DataFrame) -> DataFrame:
     })
 
 
-def _pooled(rows: DataFrame) -> DataFrame:
-    """The rows with ``grp``: their language and source; groups that are too small are pooled by
-    language, and languages that are still too small together."""
-    fine = F.concat_ws("\u0001", "lang", "source")
-    small = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_fine")).where(F.col("n_fine") < MIN_ROWS)
-    by_lang = small.groupBy("lang").agg(F.sum("n_fine").alias("n_lang"))
-    names = small.join(by_lang, "lang").select("lang", "source", F.when(F.col("n_lang") >= MIN_ROWS, F.concat_ws("\u0001", "lang", F.lit("\u0002"))).otherwise(F.lit("\u0002")).alias("_pool"))
-    return join_checked(rows, names, ["lang", "source"], "left").withColumn("grp", F.coalesce("_pool", fine)).drop("_pool")
+def _pooled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``grp``, whose estimate they are held against, and the rows (grp and vector) it is fitted to.
+
+    That is their language and source. Groups that are too small are pooled by language; a pool
+    still too small is held against all rows of its language; languages that are too small as
+    a whole are pooled together, and that pool, if too small, is held against the whole table.
+    """
+    fine, rest, table = F.concat_ws("\u0001", "lang", "source"), "\u0002", "\u0004"
+    sizes = cut(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_fine")))
+    small = F.col("n_fine") < MIN_ROWS
+    by_lang = sizes.groupBy("lang").agg(F.sum("n_fine").alias("n_lang"), F.sum(F.when(small, F.col("n_fine"))).alias("n_small"))
+    pool = F.when(F.col("n_small") >= MIN_ROWS, F.concat_ws("\u0001", "lang", F.lit("\u0002"))).when(F.col("n_lang") >= MIN_ROWS, F.concat_ws("\u0001", "lang", F.lit("\u0003"))).otherwise(rest)
+    names = cut(sizes.where(small).join(by_lang, "lang").select("lang", "source", "n_fine", pool.alias("_pool")))
+    n_rest = names.where(F.col("_pool") == rest).agg(F.sum("n_fine")).first()[0] or 0
+    if 0 < n_rest < MIN_ROWS:
+        names = names.withColumn("_pool", F.when(F.col("_pool") == rest, F.lit(table)).otherwise(F.col("_pool")))
+    names = names.drop("n_fine")
+    judged = cut(join_checked(rows, names, ["lang", "source"], "left").withColumn("grp", F.coalesce("_pool", fine)))
+    wide = F.coalesce(F.col("_pool").endswith("\u0001\u0003") | (F.col("_pool") == table), F.lit(False))
+    langs = names.where(F.col("_pool").endswith("\u0001\u0003")).select("lang", F.col("_pool").alias("_all")).distinct()
+    fit = judged.where(~wide).select("grp", *VECTOR).unionAll(join_checked(judged, langs, ["lang"], "inner").select(F.col("_all").alias("grp"), *VECTOR))
+    if 0 < n_rest < MIN_ROWS:
+        fit = fit.unionAll(judged.select(F.lit(table).alias("grp"), *VECTOR))
+    return judged.drop("_pool"), fit
 
 
 _PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
@@ -161,17 +179,16 @@ def robust_verdicts(documents: DataFrame) -> DataFrame:
     Texts of fewer than ten words, or with more than a fifth of their words in repeated
     windows, fail the base rules. The others are held against the robust estimate of their
     language and source (made from those alone), and go if their squared Mahalanobis distance
-    exceeds ``CUT``. Languages and sources of fewer than ``MIN_ROWS`` such rows are pooled; a
-    pool that is still smaller gives no verdict and its rows are kept, without a distance. Null
+    exceeds ``CUT``. Languages and sources of fewer than ``MIN_ROWS`` such rows are pooled, and
+    a pool that is still smaller is held against its language or the whole table, so that every
+    row has a distance. A language of few rows may thus be judged by the table's others. Null
     languages and sources are groups of their own. Rows are as many as the documents.
     """
     counts = written(statistic_vector(base_counts(documents)).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
-    judged = _pooled(counts.where("not base_failed"))
-    enough = judged.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS).select("grp")
-    judged = cut(join_checked(judged.withColumn("_fit", F.lit(True)), enough.withColumn("_enough", F.lit(True)), ["grp"], "left"))
-    estimate = minimum_covariance(judged.where("_enough").select("grp", *VECTOR))
+    judged, fit = _pooled(counts.where("not base_failed"))
+    estimate = minimum_covariance(cut(fit))
     measured = _squared_distance(join_checked(judged, estimate, ["grp"], "left"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = measured.select(*columns, (F.coalesce("d2", F.lit(0.0)) <= CUT).alias("kept"), F.sqrt("d2").alias("distance"))
+    passed = measured.select(*columns, (F.col("d2") <= CUT).alias("kept"), F.sqrt("d2").alias("distance"))
     failed = counts.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return passed.unionAll(failed)
