@@ -94,13 +94,113 @@ def test_pieces_equal_the_library(spark, small):
     assert [b.decode() for b in back] == [t.replace("▁", " ") for t in texts]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of n letters and its complement, which sums of byte values times powers can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_complementary_words_keep_their_own_ids():
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    words_path, pieces_path = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    texts = [t for n in (1024, 2048, 4096) for a, b in [thue_morse(n)] for t in (a, b, f"{a} {a}", f"{a} {b}")]
+    for own, want in (
+        (tokenfiles.WordEncoder(words_path), [e.ids for e in Tokenizer.from_file(words_path).encode_batch(texts, add_special_tokens=False)]),
+        (spm.Encoder(pieces_path), sentencepiece.SentencePieceProcessor(model_file=pieces_path).encode(texts)),
+    ):
+        for column in (texts, texts[::-1]):
+            flat = [list(map(int, ids)) for _, f, n in own.encode_column(pa.array(column)) for ids in np.split(f, np.cumsum(n)[:-1])]
+            assert flat == (want if column is texts else want[::-1])
+
+
+def test_hashes_that_collide_change_no_ids(monkeypatch):
+    """Even if most words share a hash, ids are the library's: bytes are compared."""
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from timeloom.llm import textkernel
+
+    real = textkernel.hash_ranges
+    few = lambda data, start, end: real(data, start, end) % np.uint64(14)
+    monkeypatch.setattr(textkernel, "hash_ranges", few)
+    monkeypatch.setattr(spm, "hash_ranges", few)
+    texts = ["the cat sat on a mat", "", "12 cats, 13 dogs (or more)!", "mat a on sat cat the", "odd"] * 3
+    words_path, pieces_path = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    for own, want in (
+        (tokenfiles.WordEncoder(words_path), [e.ids for e in Tokenizer.from_file(words_path).encode_batch(texts, add_special_tokens=False)]),
+        (spm.Encoder(pieces_path), sentencepiece.SentencePieceProcessor(model_file=pieces_path).encode(texts)),
+    ):
+        assert [list(map(int, ids)) for _, f, n in own.encode_column(pa.array(texts)) for ids in np.split(f, np.cumsum(n)[:-1])] == want
+
+
+def unigram_model(path, bytes_too: bool, seed: int = 5) -> list[str]:
+    """Write a unigram model file with random scores, put together by hand; returns its letters."""
+    import random
+    import struct
+
+    def number(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(tag: int, value: bytes | int) -> bytes:
+        return number(tag << 3) + number(value) if isinstance(value, int) else number(tag << 3 | 2) + number(len(value)) + value
+
+    r = random.Random(seed)
+    letters = list("abcdeéß日")
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if bytes_too:
+        pieces += [(f"<0x{b:02X}>", -30.0, 6) for b in range(256)]
+    own = {x for x in [*letters, "▁", *("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(300))]}
+    own |= {"▁" + x for x in sorted(own)[:150]}
+    pieces += [(x, -r.uniform(2, 12) - 1.5 * len(x) ** 0.5, 1) for x in sorted(own) if x != "ß"]
+    body = b"".join(field(1, field(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
+    trainer = field(3, 1) + field(35, int(bytes_too))
+    path.write_bytes(body + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)))
+    return letters
+
+
+@pytest.mark.parametrize("bytes_too", [True, False])
+def test_unigram_search_equals_the_library(tmp_path, bytes_too, monkeypatch):
+    """Sums of scores choose the path, in a window that is bounded however long the text is."""
+    import random
+
+    import pyarrow as pa
+    import sentencepiece
+
+    letters = unigram_model(tmp_path / "m.model", bytes_too)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    own = spm.Encoder(str(tmp_path / "m.model"))
+    assert not own.v.by_merges
+    r = random.Random(1)
+    texts = ["", " ", "zz", "a zz b", "z▁z", "x" * 30] + ["".join(r.choice([*letters, " ", "z", "Q"]) for _ in range(r.randint(1, 200))) for _ in range(300)]
+    texts += ["".join(r.choices(letters, k=6000))]
+    assert [list(map(int, ids)) for _, f, n in own.encode_column(pa.array(texts)) for ids in np.split(f, np.cumsum(n)[:-1])] == library.encode(texts)
+    monkeypatch.setattr(spm, "COMMIT_EVERY", 16)
+    widest = []
+    for n in (2000, 20_000):
+        search = spm.StreamingViterbi(own.v)
+        text = "".join(r.choices(letters, k=n))
+        assert search.encode("▁" + text) == library.encode(text)
+        widest.append(search.widest)
+    assert max(widest) < 200
+
+
 def test_search_commits_early():
     """The paths that the window keeps are forgotten; what is committed is the whole text's."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     search = spm.StreamingViterbi(spm.Vocabulary(path))
-    text = "thequickbrownfoxjumpsover" * 400
-    first = next(iter(search.pieces(text)))
-    assert "".join(search.pieces(text)) == text and text.startswith(first)
+    text = "thequickbrownfoxjumpsover" * 4000
+    stream = search.pieces(text)
+    next(stream)
+    # The first piece comes out before the text is read to its end.
+    assert stream.gi_frame.f_locals["end"] == spm.COMMIT_EVERY
+    assert "".join(search.pieces(text)) == text and search.widest < 2 * spm.COMMIT_EVERY + search.v.longest
 
 
 def test_pieces_of_odd_rows(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from timeloom.llm.labelled import SAMPLE_PER_CLASS, centred_threshold, sigmoid, training_rows
 from timeloom.llm.support import crc_of_id
-from timeloom.llm.textkernel import Block, blocks, shingles
+from timeloom.llm.textkernel import Block, blocks, hash_ranges, shingles
 
 MODULUS, HELD_OUT = 3, 1
 
@@ -68,10 +68,7 @@ def statistics_of(block: Block) -> np.ndarray:
     lines = np.flatnonzero(block.data == 10)
     edges = np.unique(np.concatenate([block.offset[:-1], lines + 1, block.offset[1:]]))
     edges = edges[edges <= len(block.data)]
-    line_hash = block.running[edges[1:]] - block.running[edges[:-1]] if len(edges) > 1 else np.zeros(0, np.uint64)
-    from timeloom.llm.textkernel import _Powers, mix
-
-    line_hash = mix(line_hash * _Powers.of(len(block.data) + 1)[1][edges[:-1]]) if len(edges) > 1 else line_hash
+    line_hash = hash_ranges(block.data, edges[:-1], edges[1:]) if len(edges) > 1 else np.zeros(0, np.uint64)
     doc_of_line = np.searchsorted(block.offset, edges[:-1], side="right") - 1 if len(edges) > 1 else np.zeros(0, np.int64)
     n_lines = np.maximum(np.bincount(doc_of_line, minlength=n), 1)
     columns = [

@@ -11,30 +11,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from timeloom.llm.idpool import IdPool
 from timeloom.llm.support import bounded_batches
-from timeloom.llm.textkernel import _BASE, Block, _Powers, blocks, mix
+from timeloom.llm.textkernel import Block, blocks, hash_ranges
 
 #: The character that stands for a space inside pieces.
 META = "▁"
-#: Distinct units whose ids a worker keeps, and characters beyond which a unit is not kept.
-CACHE_UNITS, CACHE_CHARS = 500_000, 64
+#: Distinct units whose ids a worker keeps.
+CACHE_UNITS = 500_000
 #: Characters after which the search looks for a boundary to commit.
-COMMIT_EVERY = 1024
+COMMIT_EVERY = 256
+#: What an unknown character scores below the least piece, and its decoded form.
+UNKNOWN_PENALTY, UNKNOWN_SURFACE = 10.0, " ⁇ "
+#: Model types of the file format.
+UNIGRAM, MERGES = 1, 2
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message; groups do not occur."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or varint()
+        yield tag >> 3, message[at : at + size]
+        at += size
 
 
 class Vocabulary:
-    """Pieces and ranks of a byte-fallback model whose pieces were made by merges."""
+    """Pieces and scores of a model that leaves texts as they are but for a space put first.
+
+    ``by_merges`` tells models made by merges, whose scores are ranks of merges, from unigram
+    models, whose scores are added up. Models of other kinds, or that normalise texts, are an
+    error.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = {number: value for number, value in _fields(model.serialized_model_proto()) if number in (2, 3)}
+        kind, normalizer = dict(_fields(spec.get(2, b""))).get(3, UNIGRAM), dict(_fields(spec.get(3, b"")))
+        if kind not in (UNIGRAM, MERGES):
+            raise ValueError(f"models of type {kind} are not supported")
+        if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1):
+            raise ValueError("models that normalise texts are not supported")
+        self.by_merges = kind == MERGES
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
+        self.unknown = model.unk_id()
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in normal}
         self.score = {self.pieces[i]: model.get_score(i) for i in normal}
+        self.unknown_score = min(self.score.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
         if any(META in p.lstrip(META) for p in self.ids):
             raise ValueError("pieces that go on beyond a space are not supported")
@@ -46,10 +91,11 @@ class Vocabulary:
             b = np.frombuffer(p.replace(META, " ").encode(), dtype=np.uint8)
             self.joined[b[:-1], b[1:]] = True
         self.joined[:, 0x80:0xC0] = True  # never within a character
-        raw = [bytes([int(p[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if i not in set(normal) else p.replace(META, " ").encode() for i, p in enumerate(self.pieces)]
-        self.out_size = np.array([len(r) for r in raw], dtype=np.int64)
+        surface = dict.fromkeys(range(n), b"") | {i: self.pieces[i].replace(META, " ").encode() for i in normal} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        surface[self.unknown] = UNKNOWN_SURFACE.encode()
+        self.out_size = np.array([len(surface[i]) for i in range(n)], dtype=np.int64)
         self.out_begin = np.cumsum(self.out_size) - self.out_size
-        self.out_bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.out_bytes = np.frombuffer(b"".join(surface[i] for i in range(n)), dtype=np.uint8)
         self._fits: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -73,36 +119,65 @@ class Vocabulary:
 
 
 class StreamingViterbi:
-    """The one path of pieces that a text's merges give, in a window of bounded length.
-
-    A path is valid if every two pieces on it stay apart when merged together, and each prefix
-    has just one valid path; so the search keeps one backpointer for each end in the window of
-    the longest piece. Whenever the paths from all these ends meet in one boundary, the pieces
-    before it are committed and forgotten. A character that is no piece stands alone and becomes
-    its bytes.
+    """The best path of pieces, searched from left to right in a window of bounded length.
+
+    Each end keeps one backpointer, the last piece of the best path to it. Only ends within the
+    longest piece of the newest one can be gone on from; whenever the paths from all of these
+    meet in one boundary, the pieces before it are committed and forgotten. ``widest`` is the
+    greatest number of backpointers held so far.
+
+    * ``add_scores``: the best path has the greatest sum of scores; of equal sums the one whose
+      last piece is longest. A character that is no piece is unknown and scores less than all.
+    * Else (models made by merges): a path is valid if every two neighbours on it stay apart
+      when merged together. Each prefix has just one valid path, so it is the best one, and it
+      is the one that merging the whole text gives. A character that is no piece stands alone.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, add_scores: bool | None = None):
         self.v = vocabulary
+        self.add_scores = not vocabulary.by_merges if add_scores is None else add_scores
+        self.widest = 0
+
+    def _valid(self, text: str, begin: int, end: int, last: dict[int, str]) -> None:
+        """One more end, by merges: the first piece that fits is the last of the only valid path."""
+        ids, fits, endings = self.v.ids, self.v.fits, self.v.endings
+        for at in range(end - 1, begin - 1, -1):
+            piece = text[at:end]
+            if piece in ids or end - at == 1:
+                before = last.get(at)
+                if at == 0 or (before is not None and fits(before, piece)):
+                    last[end] = piece
+                    return
+            if piece not in endings:
+                return
+
+    def _best(self, text: str, begin: int, end: int, last: dict[int, str], sums: dict[int, float]) -> None:
+        """One more end, by sums of scores."""
+        score, endings = self.v.score, self.v.endings
+        best, chosen = -np.inf, ""
+        for at in range(end - 1, begin - 1, -1):
+            piece = text[at:end]
+            own = score.get(piece, self.v.unknown_score if end - at == 1 else None)
+            if own is not None and at in sums and sums[at] + own >= best:
+                best, chosen = sums[at] + own, piece
+            if piece not in endings:
+                break
+        last[end], sums[end] = chosen, best
 
     def pieces(self, text: str) -> Iterator[str]:
-        v, longest = self.v, self.v.longest
-        ids, fits, endings = v.ids, v.fits, v.endings
-        last: dict[int, str] = {}  # end -> last piece of the path to it
+        longest = self.v.longest
+        last: dict[int, str] = {}  # end -> last piece of the best path to it
+        sums = {0: 0.0}
         done = 0
         for end in range(1, len(text) + 1):
-            for begin in range(end - 1, max(done, end - longest) - 1, -1):
-                piece = text[begin:end]
-                if piece in ids or end - begin == 1:
-                    before = last.get(begin)
-                    if begin == 0 or (before is not None and fits(before, piece)):
-                        last[end] = piece
-                        break
-                if piece not in endings:
-                    break
+            begin = max(done, end - longest)
+            if self.add_scores:
+                self._best(text, begin, end, last, sums)
+            else:
+                self._valid(text, begin, end, last)
             if end % COMMIT_EVERY == 0:
-                # Paths from the ends in the window; they meet in their greatest common boundary.
-                heads = {e for e in range(max(done + 1, end - longest + 1), end + 1) if e in last}
+                self.widest = max(self.widest, len(last))
+                heads = {e for e in range(max(done, end - longest) + 1, end + 1) if e in last}
                 while len(heads) > 1:
                     far = max(heads)
                     heads.remove(far)
@@ -110,7 +185,9 @@ class StreamingViterbi:
                 meet = heads.pop()
                 if meet > done:
                     yield from self._path(last, done, meet)
-                    last = {e: p for e, p in last.items() if e >= meet}
+                    last = {e: p for e, p in last.items() if e > meet}
+                    # Sums count from the boundary, so they stay exact however long the text is.
+                    sums = {e: s - sums[meet] for e, s in sums.items() if e >= meet} if self.add_scores else sums
                     done = meet
         yield from self._path(last, done, len(text))
 
@@ -126,7 +203,12 @@ class StreamingViterbi:
         out: list[int] = []
         for piece in self.pieces(text):
             known = self.v.ids.get(piece)
-            out += [known] if known is not None else [self.v.byte_ids[b] for b in piece.encode()]
+            if known is not None:
+                out.append(known)
+            elif self.v.byte_ids:
+                out += [self.v.byte_ids[b] for b in piece.encode()]
+            elif not out or out[-1] != self.v.unknown:  # unknown characters in a row are one
+                out.append(self.v.unknown)
         return out
 
 
@@ -134,30 +216,26 @@ class Encoder:
     """Whole texts by units, cut wherever no piece holds the two bytes side by side.
 
     At such places all paths meet (a space after a word, many a mark). Distinct units are
-    searched once and their ids kept, found by a 64-bit hash. A text with the pieces' own space
-    character in it is searched in one go.
+    searched once and their ids kept; a unit's bytes are compared with those that its hash
+    found. A text with the pieces' own space character in it, or with a unit that only shares
+    its hash, is searched in one go.
     """
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.search = StreamingViterbi(self.v)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin = self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.pool = IdPool(np.int32, CACHE_UNITS)
 
     def _ids(self, unit: bytes, first: bool) -> list[int]:
         text = unit.decode().replace(" ", META)
         return self.search.encode(META + text if first else text)
 
-    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block's documents, and the number of each."""
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a block's documents, the number of each, and the documents to search in one go."""
         data, offset = block.data, block.offset
         lead = offset[:-1][offset[:-1] < offset[1:]]
         if not len(lead):
-            return np.zeros(0, np.int32), np.zeros(len(block), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(block), np.int64), np.zeros(0, np.int64)
         cut = np.ones(len(data), bool)
         cut[1:] = ~self.v.joined[data[:-1], data[1:]]
         # The space that encoding puts first belongs to the first unit, if pieces hold the two.
@@ -167,42 +245,34 @@ class Encoder:
         head = np.zeros(len(data), bool)
         head[lead] = True
         head = head[begin]
-        per_doc = np.diff(np.searchsorted(begin, offset))
-        key = mix((block.running[end] - block.running[begin]) * _Powers.of(len(data) + 1)[1][begin] + np.where(head, np.uint64(_BASE), np.uint64(0)))
-        distinct, seen, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_UNITS:
-            self._reset()
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
-        raw = data.tobytes()
-        fresh = [self._ids(raw[begin[k] : end[k]], bool(head[k])) for k in seen[new].tolist()]
-        size, start = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        old = np.setdiff1d(np.arange(len(distinct)), new, assume_unique=True)
-        size[old], start[old] = self.size[at[old]], self.begin[at[old]]
-        size[new] = [len(f) for f in fresh]
-        start[new] = len(self.pool) + np.cumsum(size[new]) - size[new]
-        pool = np.concatenate([self.pool, np.array([i for f in fresh for i in f], dtype=np.int32)])
-        ends = np.concatenate([[0], np.cumsum(size[which])])
-        flat = pool[np.repeat(start[which] - ends[:-1], size[which]) + np.arange(ends[-1])]
-        keep = new[(end - begin)[seen[new]] <= CACHE_CHARS]
-        place = np.searchsorted(self.known, distinct[keep])
-        self.known, self.begin, self.size, self.pool = np.insert(self.known, place, distinct[keep]), np.insert(self.begin, place, start[keep]), np.insert(self.size, place, size[keep]), pool
-        if len(pool) > 16 * CACHE_UNITS:
-            self._reset()
-        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(per_doc)])])
+        edge = np.searchsorted(begin, offset)
+
+        def learn(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            raw = data.tobytes()
+            found = [self._ids(raw[a:b], h) for a, b, h in zip(begin[rows].tolist(), end[rows].tolist(), head[rows].tolist(), strict=True)]
+            return np.array([i for f in found for i in f], dtype=np.int32), np.array([len(f) for f in found], dtype=np.int64)
+
+        # Hashes are odd for units that begin a text and even for others.
+        key = (hash_ranges(data, begin, end) & ~np.uint64(1)) | head.astype(np.uint64)
+        flat, ends, wrong = self.pool.encode(data, begin, end, key, learn)
+        odd = np.unique(np.searchsorted(edge, np.flatnonzero(wrong), side="right") - 1)
+        return flat, np.diff(ends[edge]), odd
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, number of ids of each row) of stretches of a column."""
         mark = META.encode()
         for block in blocks(texts, block_bytes=1_000_000):
-            flat, totals = self.encode(block)
-            raw = block.data.tobytes()
+            flat, totals, odd = self.encode(block)
+            raw, whole = block.data.tobytes(), set(odd.tolist())
+            spans = list(zip(block.offset[:-1].tolist(), block.offset[1:].tolist(), strict=True))
             if mark in raw:
+                whole.update(d for d, (a, b) in enumerate(spans) if mark in raw[a:b])
+            if whole or not self.v.byte_ids:
                 parts = np.split(flat, np.cumsum(totals)[:-1])
-                for d in range(len(block)):
-                    text = raw[block.offset[d] : block.offset[d + 1]]
-                    if mark in text:
-                        parts[d] = np.array(self._ids(text, True), np.int32)
+                for d in whole:
+                    parts[d] = np.array(self._ids(raw[slice(*spans[d])], True), np.int32)
+                if not self.v.byte_ids:  # unknown characters on both sides of a cut are one
+                    parts = [p[np.concatenate([[True], (p[1:] != self.v.unknown) | (p[:-1] != self.v.unknown)])] if len(p) else p for p in parts]
                 flat, totals = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
             yield block.row0, flat, totals
 

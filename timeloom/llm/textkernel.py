@@ -1,12 +1,13 @@
 """Vectorised word positions and hashes over Arrow string columns (numpy only).
 
-All documents of a block are handled at once on the raw UTF-8 bytes. A word's hash is a
-polynomial hash modulo 2**64, taken from one running sum over the block, so that hashes of
-words and of word prefixes cost a few array operations for each byte.
+All documents of a block are handled at once on the raw UTF-8 bytes. A range of bytes is hashed
+eight bytes at a time, each lane going through a finaliser together with all before it, so the
+hash is no sum over its bytes and swapped or complementary parts do not cancel out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +16,11 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer document is a block of its own.
 BLOCK_BYTES = 2_000_000
+#: Bytes of a range up to which it is hashed and compared by lanes, all ranges side by side.
+LANE_BYTES = 512
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _SHINGLE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 SPACES = np.zeros(256, dtype=bool)
@@ -44,25 +46,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = np.arange(97, 123)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand and kept by the worker."""
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                a = np.full(n, base & _MASK, dtype=np.uint64)
-                a[0] = 1
-                setattr(cls, name, np.cumprod(a, dtype=np.uint64))
-        return cls.up, cls.down
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range [start, end)."""
+    wide, size = _lanes(data), end - start
+    value = mix((wide[start] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _LENGTH))
+    live, k = np.flatnonzero(size > 8), 8
+    while len(live) and k < LANE_BYTES:
+        rest = size[live] - k
+        value[live] = mix((value[live] * _SHINGLE[0]) ^ (wide[start[live] + k] & _KEEP[np.minimum(rest, 8)]))
+        live, k = live[rest > 8], k + 8
+    for i in live.tolist():
+        value[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return value
+
+
+def same_ranges(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from ``start_a`` of ``a`` equal those from ``start_b`` of ``b``."""
+    wide_a = _lanes(a)
+    wide_b = wide_a if b is a else _lanes(b)
+    same = ((wide_a[start_a] ^ wide_b[start_b]) & _KEEP[np.minimum(size, 8)]) == 0
+    live, k = np.flatnonzero(same & (size > 8)), 8
+    while len(live) and k < LANE_BYTES:
+        rest = size[live] - k
+        same[live] = ((wide_a[start_a[live] + k] ^ wide_b[start_b[live] + k]) & _KEEP[np.minimum(rest, 8)]) == 0
+        live, k = live[same[live] & (rest > 8)], k + 8
+    for i in live.tolist():
+        same[i] = np.array_equal(a[start_a[i] : start_a[i] + size[i]], b[start_b[i] : start_b[i] + size[i]])
+    return same
 
 
 @dataclass
@@ -70,7 +91,8 @@ class Block:
     """Words of consecutive documents.
 
     ``first[d]:first[d + 1]`` are the words of document ``row0 + d``; ``start`` and ``end``
-    are their byte ranges in ``data``, and ``hash`` their hashes.
+    are their byte ranges in ``data``, and ``hash`` their hashes. ``folded`` are the bytes that
+    are hashed: those of ``data``, in lower case if case is folded.
     """
 
     row0: int
@@ -80,7 +102,7 @@ class Block:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
-    running: np.ndarray
+    folded: np.ndarray
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -89,9 +111,13 @@ class Block:
         return np.diff(self.first)
 
     def prefix_hash(self, n_bytes: int) -> np.ndarray:
-        """Hash of each word's first ``n_bytes`` bytes (of the word, where it is shorter)."""
+        """Hash of each word's beginning: of the whole characters among its first ``n_bytes`` bytes."""
         stop = np.minimum(self.end, self.start + n_bytes)
-        return mix((self.running[stop] - self.running[self.start]) * _Powers.of(len(self.data) + 1)[1][self.start] + np.uint64(n_bytes))
+        inside = np.flatnonzero(stop < self.end)
+        for _ in range(3):  # a character has at most three bytes after its first
+            inside = inside[(self.data[stop[inside]] & 0xC0) == 0x80]
+            stop[inside] -= 1
+        return mix(hash_ranges(self.folded, self.start, np.maximum(stop, self.start)) + np.uint64(n_bytes))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +164,8 @@ def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fol
             after[turn - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = _Powers.of(n + 1)
-    running = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_FOLDED if fold_case else _BYTE)[data] * up[:n], out=running[1:], dtype=np.uint64)
-    value = mix((running[end] - running[start]) * down[start])
-    return Block(row0, data, off, start, end, np.searchsorted(start, off), value, running)
+    folded = _FOLD[data] if fold_case else data
+    return Block(row0, data, off, start, end, np.searchsorted(start, off), hash_ranges(folded, start, end), folded)
 
 
 def shingles(block: Block, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timeloom.llm.idpool import IdPool
 from timeloom.llm.support import bounded_batches, clean_text, shared_dir
 from timeloom.llm.textkernel import Block, blocks, string_buffers
 
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 700_000
-
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("part", T.IntegerType(), False),
@@ -36,8 +34,8 @@ class WordEncoder:
     The vocabulary is caseless, drops white space, and no piece spans white space or the edge
     between a letter and a following mark, so the ids of a text are those of its words in turn.
     Each distinct word is encoded once and its ids stay in a pool, found by the word's 64-bit
-    hash (two of the words kept share one with a chance below 1e-7). Texts that hold the opening
-    of a special token go to the tokenizer whole.
+    hash. The bytes of every word are compared with those that its hash found; a text with a word
+    that only shares its hash, or with the text of an added token, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -49,24 +47,20 @@ class WordEncoder:
             spec = json.load(f)
         steps = json.dumps(spec.get("normalizer") or {}) + json.dumps(spec.get("pre_tokenizer") or {})
         suffix = spec["model"].get("end_of_word_suffix")
+        self.added = [t["content"].lower().encode() for t in spec.get("added_tokens") or []]
         self.by_word = bool(suffix) and "Lowercase" in steps and '"Removed"' in steps
         if self.by_word:
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = None
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.closes = np.array([(self.plain.id_to_token(i) or "").endswith(suffix) for i in range(self.plain.get_vocab_size())])
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
+        self.pool = IdPool(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for k in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
 
-    def _learn(self, fresh: np.ndarray, words: list[bytes]) -> None:
-        """Add distinct words, given with their hashes in ascending order.
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, and the number of each.
 
         A word of lower-case letters alone passes the normaliser unchanged and is one piece
         before merges, so such words are encoded many at a time; ids that close a word part
@@ -74,8 +68,7 @@ class WordEncoder:
         """
         texts = [w.decode().lower() if max(w) >= 128 else w.lower().decode() for w in words]
         plain = np.array([t.isalpha() and (t.isascii() or (max(t) < "\u0250" and unicodedata.is_normalized("NFC", t))) for t in texts], bool)
-        size, begin, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), len(self.pool)
-        flats = [self.pool]
+        size, begin, used, flats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0, []
         letters, odd = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         for k in range(0, len(letters), 512):
             at = letters[k : k + 512]
@@ -92,29 +85,20 @@ class WordEncoder:
             size[i], begin[i] = len(ids), used
             flats.append(np.array(ids, self.pool.dtype))
             used += len(ids)
-        at = np.searchsorted(self.known, fresh)
-        self.begin, self.size = np.insert(self.begin, at, begin.astype(np.uint32)), np.insert(self.size, at, size.astype(np.int32))
-        self.known = np.insert(self.known, at, fresh)
-        self.pool = np.concatenate(flats)
-
-    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block's documents in one array, and the number of each document."""
-        distinct, seen, which = np.unique(block.hash, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
-            self._reset()
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if new.any():
+        ends = np.cumsum(size)
+        return np.concatenate(flats)[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])], size
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a block's documents in one array, the number of each document, and the
+        documents with a word whose bytes are not those that its hash found."""
+
+        def learn(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             raw = block.data.tobytes()
-            self._learn(distinct[new], [raw[s:e] for s, e in zip(block.start[seen[new]].tolist(), block.end[seen[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.known, distinct)
-        if not len(which):
-            return np.zeros(0, np.int32), np.zeros(len(block), np.int64)
-        at = at[which]
-        size, begin = self.size[at].astype(np.int64), self.begin[at].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        return flat.astype(np.int32, copy=False), np.diff(ends[block.first])
+            return self._learn([raw[s:e] for s, e in zip(block.start[rows].tolist(), block.end[rows].tolist(), strict=True)])
+
+        flat, ends, wrong = self.pool.encode(block.folded, block.start, block.end, block.hash, learn)
+        odd = np.unique(np.searchsorted(block.first, np.flatnonzero(wrong), side="right") - 1)
+        return flat.astype(np.int32, copy=False), np.diff(ends[block.first]), odd
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, number of ids of each row) of stretches of a column.
@@ -129,14 +113,15 @@ class WordEncoder:
                 yield row, ids, np.array([len(ids)], np.int64)
             return
         for block in blocks(texts, fold_case=True, split_marks=True, block_bytes=600_000):
-            flat, totals = self.encode(block)
-            if b"<|" in (raw := block.data.tobytes()):
-                ends = np.cumsum(totals)
-                parts = np.split(flat, ends[:-1])
-                for d in range(len(block)):
-                    text = raw[block.offset[d] : block.offset[d + 1]]
-                    if b"<|" in text:
-                        parts[d] = np.array(self._ids([text.decode()])[0], np.int32)
+            flat, totals, odd = self.encode(block)
+            folded, whole = block.folded.tobytes(), set(odd.tolist())
+            if any(t in folded for t in self.added):
+                texts_of = (folded[a:b] for a, b in zip(block.offset[:-1], block.offset[1:], strict=True))
+                whole.update(d for d, text in enumerate(texts_of) if any(t in text for t in self.added))
+            if whole:
+                parts = np.split(flat, np.cumsum(totals)[:-1])
+                for d in whole:
+                    parts[d] = np.array(self._ids([block.data[block.offset[d] : block.offset[d + 1]].tobytes().decode()])[0], np.int32)
                 flat, totals = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
             yield block.row0, flat, totals
 
