@@ -25,18 +25,20 @@ PRIOR_WORDS = 20
 PRIOR_CHARS = 6.0
 
 #: Part of a group that the covariance is fitted to, and the factor that makes it consistent
-#: for a normal law of four entries.
+#: for a normal law of four entries: SUBSET over the chi-square law of six at its own quantile.
 SUBSET, CONSISTENCY = 0.6, 1.82
-#: Rows below which a group is pooled, and rounds of concentration.
-MIN_ROWS, ROUNDS = 200, 4
+#: Quantiles of the entries at which the searches of a group start.
+STARTS = [0.25, 0.5, 0.75]
+#: Classes of a factor of two in squared distance; rows of one class enter a subset together.
+CLASSES = 1024
+#: Rows that a language lends to each of its sources, and the table to each language.
+LENT = 100
+#: Rounds of concentration at most; each settles long before.
+MAX_ROUNDS = 60
 #: The squared distance of an outlier: the 0.9999 quantile of the chi-square law of four entries.
 CUT = 23.51
 
 
-def _names(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
-
-
 def base_counts(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of whole texts.
 
@@ -45,13 +47,13 @@ def base_counts(documents: DataFrame) -> DataFrame:
     """
     text = documents.select("doc_id", "lang", "source", clean_text(F.col("text")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    cells = _names(text).select("doc_id", "lang", "source", F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
+    held = text.select("doc_id", "lang", "source", F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
     n = F.size("words")
     grams = F.when(
         n > WINDOW,
         F.transform(F.slice("words", 1, n - (WINDOW - 1)), lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, WINDOW)))),
     )
-    counted = cells.select(
+    counted = held.select(
         "doc_id", "lang", "source", "n_symbols",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -89,47 +91,36 @@ def statistic_vector(counts: DataFrame) -> DataFrame:
     })
 
 
-def _pooled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with ``grp``, whose estimate they are held against, and the rows (grp and vector) it is fitted to.
-
-    That is their language and source. Groups that are too small are pooled by language; a pool
-    still too small is held against all rows of its language; languages that are too small as
-    a whole are pooled together, and that pool, if too small, is held against the whole table.
-    """
-    fine, rest, table = F.concat_ws("\u0001", "lang", "source"), "\u0002", "\u0004"
-    sizes = cut(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_fine")))
-    small = F.col("n_fine") < MIN_ROWS
-    by_lang = sizes.groupBy("lang").agg(F.sum("n_fine").alias("n_lang"), F.sum(F.when(small, F.col("n_fine"))).alias("n_small"))
-    pool = F.when(F.col("n_small") >= MIN_ROWS, F.concat_ws("\u0001", "lang", F.lit("\u0002"))).when(F.col("n_lang") >= MIN_ROWS, F.concat_ws("\u0001", "lang", F.lit("\u0003"))).otherwise(rest)
-    names = cut(sizes.where(small).join(by_lang, "lang").select("lang", "source", "n_fine", pool.alias("_pool")))
-    n_rest = names.where(F.col("_pool") == rest).agg(F.sum("n_fine")).first()[0] or 0
-    if 0 < n_rest < MIN_ROWS:
-        names = names.withColumn("_pool", F.when(F.col("_pool") == rest, F.lit(table)).otherwise(F.col("_pool")))
-    names = names.drop("n_fine")
-    judged = cut(join_checked(rows, names, ["lang", "source"], "left").withColumn("grp", F.coalesce("_pool", fine)))
-    wide = F.coalesce(F.col("_pool").endswith("\u0001\u0003") | (F.col("_pool") == table), F.lit(False))
-    langs = names.where(F.col("_pool").endswith("\u0001\u0003")).select("lang", F.col("_pool").alias("_all")).distinct()
-    fit = judged.where(~wide).select("grp", *VECTOR).unionAll(join_checked(judged, langs, ["lang"], "inner").select(F.col("_all").alias("grp"), *VECTOR))
-    if 0 < n_rest < MIN_ROWS:
-        fit = fit.unionAll(judged.select(F.lit(table).alias("grp"), *VECTOR))
-    return judged.drop("_pool"), fit
+_PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
 
 
-_PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
+_MEANS = [f"m{i}" for i in range(len(VECTOR))]
+_COVARIANCES = [f"c{i}_{j}" for i, j in _PAIRS]
+_SUMS = ["n", *(f"s{i}" for i in range(len(VECTOR))), *(f"s{i}_{j}" for i, j in _PAIRS)]
 
 
-def _factor(moments: DataFrame, factor: float) -> DataFrame:
-    """Group means, and the Cholesky factor of the covariance with its floors, from exact sums."""
+def _estimated(moments: DataFrame, *keys: str) -> DataFrame:
+    """Means, and covariances with their floors, from exact sums."""
     n = F.col("n").cast("double")
-    out = moments.withColumns({f"m{i}": F.col(f"s{i}") / n / UNIT for i in range(len(VECTOR))})
+    out = moments.withColumns({m: F.col(f"s{i}") / n / UNIT for i, m in enumerate(_MEANS)})
     for i, j in _PAIRS:
-        value = (F.col(f"s{i}_{j}") / n / UNIT / UNIT - F.col(f"m{i}") * F.col(f"m{j}")) * factor
-        if i == j:
-            value = F.greatest(value, F.lit(0.0)) + FLOORS[i] ** 2
+        value = (F.col(f"s{i}_{j}") / n / UNIT / UNIT - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
+        out = out.withColumn(f"c{i}_{j}", F.greatest(value, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else value)
+    return out.select(*keys, *_MEANS, *_COVARIANCES)
+
+
+def _factored(estimate: DataFrame) -> DataFrame:
+    """The estimates with their Cholesky factors, and ``det``, the determinant."""
+    out = estimate
+    for i, j in _PAIRS:
+        value = F.col(f"c{i}_{j}")
         for k in range(j):
             value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
         out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}_{j}"))
-    return out.select("grp", *(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}_{j}" for i, j in _PAIRS))
+    det = F.lit(1.0)
+    for i in range(len(VECTOR)):
+        det = det * F.col(f"l{i}_{i}") * F.col(f"l{i}_{i}")
+    return out.withColumn("det", det)
 
 
 def _squared_distance(rows: DataFrame) -> DataFrame:
@@ -144,33 +135,59 @@ def _squared_distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d2", total).drop(*(f"_y{i}" for i in range(len(VECTOR))))
 
 
-def _moments(rows: DataFrame, *keys: str) -> DataFrame:
-    sums = [F.sum(q).alias(f"s{i}") for i, q in enumerate(VECTOR)]
-    cross = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}_{j}") for i, j in _PAIRS]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *cross)
+def _moments(cells: DataFrame, *keys: str) -> DataFrame:
+    sums = [F.sum(F.col(q) * F.col("n")).alias(f"s{i}") for i, q in enumerate(VECTOR)]
+    cross = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j]) * F.col("n")).alias(f"s{i}_{j}") for i, j in _PAIRS]
+    return cells.groupBy(*keys).agg(F.sum("n").alias("n"), *sums, *cross)
 
 
-def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """Means and Cholesky factors of the minimum-covariance-determinant estimate of each ``grp``.
+def minimum_covariance(cells: DataFrame) -> DataFrame:
+    """(grp, size, means, covariances) of the minimum-covariance-determinant estimate of each ``grp``.
 
-    A round of concentration takes the ``SUBSET`` of each group that lies nearest to the
-    present estimate and fits the next one to it, which never raises the determinant. The
-    first centre is the entries' medians, with the floors as spread. Rows are summed by group
-    and distance class in one pass (partial sums before the shuffle, exact integers, so the
-    outcome does not depend on partitioning); the classes of a group up to the one that fills
-    the subset are then added up.
+    ``cells`` are distinct vectors of a group and the number ``n`` of their rows. A round of
+    concentration ranks a group's rows by their distance to the present estimate, takes the
+    nearest ``SUBSET`` of them and fits the next estimate to these. The covariance is that of
+    the subset, made consistent, plus the floors: a fixed multiple and a fixed target, for which
+    such rounds never raise the determinant (minimum regularized covariance determinant). They
+    go on until no group's subset changes, from each of the ``STARTS`` (the entries' quantiles,
+    with the floors as spread), and the least determinant of the three is kept.
+
+    Ranks come from counts by distance class, 1024 to a factor of two, so no task holds a
+    group's rows; rows of the class that fills the subset enter together. Sums are exact
+    integers, so the outcome does not depend on partitioning.
     """
-    medians = rows.groupBy("grp").agg(*(F.percentile(q, F.lit(0.5)).alias(q) for q in VECTOR))
-    zero = {f"l{i}_{j}": F.lit(FLOORS[i] if i == j else 0.0) for i, j in _PAIRS}
-    estimate = medians.select("grp", *((F.col(q) / UNIT).alias(f"m{i}") for i, q in enumerate(VECTOR)), *(c.alias(k) for k, c in zero.items()))
-    for _ in range(ROUNDS):
-        placed = _squared_distance(join_checked(rows, estimate, ["grp"], "inner"))
-        sums = _moments(placed.withColumn("_class", F.floor(F.log2(F.col("d2") + 0.001) * 8)), "grp", "_class")
-        upto = Window.partitionBy("grp").orderBy("_class")
-        inside = sums.withColumn("_before", F.sum("n").over(upto) - F.col("n")).withColumn("_all", F.sum("n").over(Window.partitionBy("grp"))).where(F.col("_before") < SUBSET * F.col("_all"))
-        totals = [F.sum(c).alias(c) for c in inside.columns if c not in ("grp", "_class", "_before", "_all")]
-        estimate = _factor(inside.groupBy("grp").agg(*totals), CONSISTENCY)
-    return estimate
+    sizes = cut(cells.groupBy("grp").agg(F.sum("n").alias("size"), *(F.percentile(q, F.array(*map(F.lit, STARTS)), F.col("n")).alias(q) for q in VECTOR)))
+    begin = sizes.select("grp", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))).alias("start"), *VECTOR)
+    spread = {f"c{i}_{j}": F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    estimate = begin.select("grp", "start", *((F.get(q, F.col("start")) / UNIT).alias(m) for q, m in zip(VECTOR, _MEANS, strict=True)), *(v.alias(k) for k, v in spread.items()))
+    cells = cells.join(sizes.select("grp", "size"), "grp")
+    mark = None
+    for _ in range(MAX_ROUNDS):
+        placed = _squared_distance(join_checked(cells, _factored(estimate), ["grp"], "inner"))
+        sums = _moments(placed.withColumn("_class", F.floor(F.log2(F.col("d2") + 0.001) * CLASSES)), "grp", "start", "size", "_class")
+        upto = Window.partitionBy("grp", "start").orderBy("_class")
+        inside = sums.withColumn("_before", F.sum("n").over(upto) - F.col("n")).where(F.col("_before") < SUBSET * F.col("size"))
+        totals = cut(inside.groupBy("grp", "start").agg(*(F.sum(c).alias(c) for c in _SUMS)))
+        new = totals.agg(F.bit_xor(F.xxhash64(*totals.columns))).first()[0]
+        estimate = _estimated(totals, "grp", "start")
+        if new == mark:
+            break
+        mark = new
+    best = _factored(estimate).groupBy("grp").agg(*(F.min_by(c, F.struct("det", "start")).alias(c) for c in (*_MEANS, *_COVARIANCES)))
+    return best.join(sizes.select("grp", "size"), "grp")
+
+
+def _lent(estimate: DataFrame, parents: DataFrame) -> DataFrame:
+    """Estimates mixed with ``LENT`` rows of their parent's: the fewer rows, the more the parent counts."""
+    names = [*_MEANS, *_COVARIANCES]
+    both = join_checked(estimate, parents.select(F.col("grp").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in names)), ["parent"], "left")
+    own = F.col("size") / (F.col("size") + LENT)
+
+    def mixed(c: str, between: Column | float = 0.0) -> Column:
+        return F.when(F.col(f"p_{c}").isNull(), F.col(c)).otherwise(own * F.col(c) + (1 - own) * F.col(f"p_{c}") + between)
+
+    apart = [F.col(m) - F.col(f"p_{m}") for m in _MEANS]
+    return both.select("grp", "size", *(mixed(m).alias(m) for m in _MEANS), *(mixed(f"c{i}_{j}", own * (1 - own) * apart[i] * apart[j]).alias(f"c{i}_{j}") for i, j in _PAIRS))
 
 
 def robust_verdicts(documents: DataFrame) -> DataFrame:
@@ -179,15 +196,24 @@ def robust_verdicts(documents: DataFrame) -> DataFrame:
     Texts of fewer than ten words, or with more than a fifth of their words in repeated
     windows, fail the base rules. The others are held against the robust estimate of their
     language and source (made from those alone), and go if their squared Mahalanobis distance
-    exceeds ``CUT``. Languages and sources of fewer than ``MIN_ROWS`` such rows are pooled, and
-    a pool that is still smaller is held against its language or the whole table, so that every
-    row has a distance. A language of few rows may thus be judged by the table's others. Null
-    languages and sources are groups of their own. Rows are as many as the documents.
+    exceeds ``CUT``. Every language and source has its own estimate, however few rows it has; it
+    is mixed with ``LENT`` rows of its language's, and that with as many of the whole table's,
+    whose weight fades as the rows of its own grow. So every row has a distance. A null language
+    or source is one apart from an empty one. Rows are as many as the documents.
+
+    Estimates are made from distinct vectors and their counts, which are far fewer than rows and
+    do not grow in proportion: entries are held in steps of 1 / ``UNIT``.
     """
     counts = written(statistic_vector(base_counts(documents)).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
-    judged, fit = _pooled(counts.where("not base_failed"))
-    estimate = minimum_covariance(cut(fit))
-    measured = _squared_distance(join_checked(judged, estimate, ["grp"], "left"))
+    fine, lang, table = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
+    judged = counts.where("not base_failed").withColumn("grp", fine)
+    cells = cut(judged.groupBy("lang", "grp", *VECTOR).agg(F.count(F.lit(1)).alias("n")))
+    pools = cells.select(F.explode(F.array("grp", lang, table)).alias("grp"), *VECTOR, "n").groupBy("grp", *VECTOR).agg(F.sum("n").alias("n"))
+    estimate = cut(minimum_covariance(cut(pools)))
+    parent = cut(cells.select("grp", lang.alias("parent")).distinct())
+    langs = _lent(estimate.join(parent.select(F.col("parent").alias("grp")).distinct(), "grp").withColumn("parent", table), estimate)
+    final = _factored(_lent(estimate.join(parent, "grp"), langs)).drop("size", "det", *_COVARIANCES)
+    measured = _squared_distance(join_checked(judged, final, ["grp"], "left"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = measured.select(*columns, (F.col("d2") <= CUT).alias("kept"), F.sqrt("d2").alias("distance"))
     failed = counts.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
