@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontam, jaccard, spm, substring, toxicity_fm
-from timeloom.llm.support import shared_dir
+from timeloom.llm import decontam, jaccard, spm, substring, support, toxicity_fm
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,7 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; the model learns from the labelled ones of them."""
     model = toxicity_fm.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
-    return toxicity_fm.score_toxicity(docs, model).where("score < 0.5").select(docs.columns)
+    name = support.free_name(docs, "score")
+    return toxicity_fm.score_toxicity(docs, model, name).where(f"{name} < 0.5").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = support.spread(_table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
-        out = shared_dir(spark)
+        out = support.shared_dir(spark)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

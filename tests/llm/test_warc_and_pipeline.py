@@ -86,9 +86,40 @@ def test_pipeline_stages(spark):
 def test_pipeline_on_odd_rows(spark, make, tmp_path):
     import corpus_pipeline as p
 
-    make(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    make(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = p.run(spark, str(tmp_path))
     assert {"doc_id", "n_tokens", "ids"} <= set(got.columns)
     assert got.count() == 0 if make is empty_documents else 0 < got.count() <= 16
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns called as the stages' own keep their values."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    names = ["score", "_score", "_spans_", "wins", "keys", "tokens", "found", "family", "block", "links", "rep", "win", "shift"]
+    docs = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0))).alias(n) for n in names))
+    spark.createDataFrame([(1, 1, 0, "x"), (9, 0, 1, "x"), (2, 1, 0, "x"), (10, 0, 1, "x")], "doc_id long, quality int, toxic int, score string").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven", "x", "x")], "item_id long, text string, tokens string, wins string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id or 0}" for r in rows for n in names)
+    assert p.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 16
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from timeloom.llm import support
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    kept = dict(support._LOCAL)
+    support._LOCAL.clear()
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        support.shared_dir(away)
+    support._LOCAL.update(kept)
+    assert spark.conf.get("spark.checkpoint.dir", None) is None or "timeloom" not in spark.conf.get("spark.checkpoint.dir")

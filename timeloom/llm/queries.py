@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from timeloom.llm import decontam, jaccard, quality_gbt, robust_rules, sharding, spm, substring, tokenfiles, toxicity_fm, warc
+from timeloom.llm.support import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _tokenizer(name: str) -> str:

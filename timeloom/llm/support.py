@@ -17,18 +17,26 @@ BROADCAST_ROWS = 1_000_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: The temporary folder of sessions on one machine.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors share; it goes when the driver's JVM ends.
 
-    Where the session sets none (tests on one machine), a temporary folder is used, which goes
-    when Python ends.
+    Where the setting is unset, a session on one machine gets a temporary folder, which goes
+    when Python ends; on a cluster that is an error, as executors would not see each other's parts.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("base")
     if not base:
-        base = tempfile.mkdtemp(prefix="timeloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL["base"] = tempfile.mkdtemp(prefix="timeloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/timeloom-{uuid.uuid4().hex}"
+    out = f"{base.rstrip('/')}/timeloom-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
 
 
 def bounded_batches(df: DataFrame, size: str = "6m") -> DataFrame:
@@ -77,3 +85,20 @@ def crc_of_id(col: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """The text, or the empty string for null."""
     return F.coalesce(col, F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of the table is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scan's rows, dealt out evenly if the scan has fewer splits than the cluster has cores.
+
+    Such a table is small or one unsplittable file; any other is read as it lies.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timeloom.llm.labelled import SAMPLE_PER_CLASS, centred_threshold, sigmoid, training_rows
 from timeloom.llm.support import crc_of_id
@@ -117,7 +118,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPL
     return fit([np.asarray(t.values) for t in terms], got.column("y").to_numpy().astype(np.float64))
 
 
-def _scored(model: FactorizationMachine):
+def _scored(model: FactorizationMachine, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), BREAKS, fold_case=True):
@@ -125,22 +126,20 @@ def _scored(model: FactorizationMachine):
                 doc = np.tile(np.repeat(np.arange(len(block)), block.counts()), len(buckets))
                 score = sigmoid(model.margins(doc, buckets.ravel(), len(block)))
                 rest = batch.slice(block.row0, len(block))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     return run
 
 
-def score_toxicity(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """The documents with ``score`` (0 to 1), from whole texts; all columns are kept.
+def score_toxicity(documents: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
+    """The documents with a column ``name`` (0 to 1), from whole texts; all columns are kept.
 
     Null and empty texts, and texts without a known term, get the bias's score, which is below
-    one half. A column called ``score`` is replaced.
+    one half. A column that is called ``name`` already is replaced.
     """
-    from pyspark.sql import types as T
-
-    rows = documents.drop("score")
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType(), False)])
-    return rows.mapInArrow(_scored(model), schema)
+    rows = documents.drop(name)
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType(), False)])
+    return rows.mapInArrow(_scored(model, name), schema)
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
