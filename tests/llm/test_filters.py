@@ -254,3 +254,93 @@ def test_small_sources_and_tables_are_judged(spark):
         assert not got.base_failed.any() and got.distance.notna().all()
         assert set(got.index[~got.kept]) == {1, 2, 3}
     assert abs(robust_rules.CUT - 23.51) < 0.01
+
+
+def test_slots_of_another_kind_fail(spark):
+    """A literal where the item has a name, or a name where it has a number, is no copy; repeated ids don't add up."""
+    item = "the merchant sold 12 apples to Alice and then the clerk of the old shop paid for the large basket of ripe pears in total and went home"
+    first, second = prose(71, 24).split(), prose(72, 24).split()
+    bench = spark.createDataFrame([(1, item), (2, " ".join(first)), (2, " ".join(second))], "item_id long, text string")
+    rows = {
+        1: item, 2: item.replace("Alice", "somebody"), 3: item.replace("12", "Carol"), 4: " ".join(first[:13] + second[-11:]), 5: " ".join(second),
+        6: item.replace("sold 12", "sold exactly 12").replace("paid for", "paid in cash for"), 7: item.replace("12", "77").replace("to Alice", "only to Erin"),
+    }
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_slots, r.n_changed) for r in decontam.contaminated(docs, bench, similarity=0.6).collect()}
+    assert got == {(1, 1): (2, 0), (5, 2): (0, 0), (6, 1): (2, 0), (7, 1): (2, 2)}
+
+
+def test_short_items_and_tables_of_numbers(spark):
+    bench = spark.createDataFrame([(1, "what is two plus"), (2, "hello"), (3, "1 2 3 4 5 6 7"), (4, "Pay Bob 7"), (5, "two words"), (6, "..."), (7, "a 12345678901234567890123456 kg box of figs")], "item_id long, text string")
+    rows = {
+        1: "So: what is two plus three?", 2: "hello there", 3: "Hello!", 4: "9 1 2 3 4 5 6 7", 5: "1 2 3 4 5 6 8", 6: "they pay Bob 7 now", 7: "they pay Carol 9 now",
+        8: "two words", 9: "two words more", 10: None, 11: "send a 98765432109876543210987654 lb box of figs",
+    }
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (4, 3), (6, 4), (8, 5), (11, 7)}
+
+
+def plain_tokens(text):
+    """Kinds of the words of lower-case prose with numbers and mid-sentence names, restated in Python."""
+    out, before = [], ""
+    for w in words(text):
+        if re.fullmatch(r"[0-9]+", w):
+            out.append(("n", w))
+        elif w[0].isupper() and re.search(r"[a-z0-9,]$", before):
+            out.append(("p", w.lower()))
+        else:
+            out.append((w.lower(), w.lower()))
+        before = w
+    return out
+
+
+def test_items_equal_brute_force(spark):
+    """All pairs of documents and items with planted variants: replaced values, lost and inserted words."""
+    rng = np.random.default_rng(4)
+    names, items, docs = [f"N{a}x" for a in "abcdefgh"], {}, {}
+    for i in range(12):
+        w = prose(200 + i, 40).split()
+        for k in (5, 12, 20, 28, 35):
+            w[k] = str(rng.integers(1, 99)) if k % 2 else names[rng.integers(0, 8)]
+        w[28] = w[12]
+        items[i] = w
+    for d in range(120):
+        i = int(rng.integers(0, 12))
+        w, kind = list(items[i]), d % 6
+        if kind in (1, 2):  # re-parameterised, once with one value in two places and once not
+            w[12] = w[28] = "Zed"
+            w[5] = "777"
+            w[28] = "Zed" if kind == 1 else "Yan"
+        if kind == 3:
+            for k in rng.choice(40, 4, replace=False):
+                w[k] = f"edit{k}" if k not in (5, 12, 20, 28, 35) else w[k]
+        if kind == 4:
+            w = w[: int(rng.integers(20, 40))]
+        if kind == 5:
+            w = prose(900 + d, 40).split()
+        docs[d] = " ".join([*prose(500 + d, 30).split(), *w, *prose(700 + d, 30).split()])
+    docs |= {200: docs[1], 201: " ".join(items[0] + items[1])}
+
+    def found(text, item):
+        a, b = plain_tokens(" ".join(item)), plain_tokens(text)
+        grams = {}
+        for k in range(len(b) - 4):
+            grams.setdefault(tuple(x[0] for x in b[k : k + 5]), []).append(k)
+        hits = [(k, p) for k in range(len(a) - 4) for p in grams.get(tuple(x[0] for x in a[k : k + 5]), [])]
+        if len({tuple(x[0] for x in a[k : k + 5]) for k, _ in hits}) < 0.8 * len({tuple(x[0] for x in a[k : k + 5]) for k in range(len(a) - 4)}):
+            return False
+        shift = {p - k for k, p in hits}
+        assert len(shift) == 1  # edits of this test move nothing
+        s = shift.pop()
+        seen = {}
+        for k in range(min(k for k, _ in hits), max(k for k, _ in hits) + 5):
+            if a[k][0] in ("n", "p"):
+                if b[k + s][0] != a[k][0] or seen.setdefault(a[k], b[k + s][1]) != b[k + s][1]:
+                    return False
+        return True
+
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = {(d, i) for d, t in docs.items() for i, w in items.items() if found(t, w)}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table, bench).collect()} == want
+    assert 40 < len(want) < 100

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.llm.support import clean_text, cut, join_checked
+from timeloom.llm.support import clean_text, cut, join_checked, written
 
-#: Words of a template window, and words of it that must not be slots.
-WIDTH, MIN_LITERALS = 5, 2
+#: Words of a template window, words of it that must not be slots, and words of the shortest item
+#: that is sought inside documents.
+WIDTH, MIN_LITERALS, SHORTEST = 5, 2, 3
 
 #: Names of units that may follow a number.
 UNITS = [
@@ -20,32 +21,56 @@ UNITS = [
 ]
 
 _SLOT = "\u0001"
-_GAP = r"[\x20\x09-\x0D]"
-_EDGE = rf"(?={_GAP}|$)"
-_HEAD = rf"(?<={_GAP}|^)"
+_SPACE = r"\x20\x09-\x0D"
+_EDGE = rf"(?=[{_SPACE}]|$)"
+_HEAD = rf"(?<![^{_SPACE}])"
+_MARKS = r"[^\p{L}\p{N}\s]*"
+_NUMBER = r"\p{N}[\p{N}.,:/]*"
 
 
-def template_tokens(text: Column) -> Column:
-    """The words of a text, with slots marked: one token for each word that holds a letter or digit.
+def canonical(text: Column) -> Column:
+    """The words of a text in lower case and without marks, with slots marked.
 
     A number becomes ``\\1n`` and its value, a number with a unit attached ``\\1q``, a unit
     after a number ``\\1u``, and a name ``\\1p``: a capitalised word that follows a word or a
     comma, hence begins no sentence. Any other capitalised word becomes ``\\1c``: it may be a name
     or a word that begins a sentence, a line or a quotation, and windows are read both ways.
-    Other words lose their marks and their case. Null counts as empty.
+    Words are apart by blanks. Null counts as empty.
     """
-    t = clean_text(text)
-    t = F.regexp_replace(t, _SLOT, " ")
-    # A quick test spares texts without a digit the three passes for numbers and units.
-    with_numbers = F.regexp_replace(t, rf"{_HEAD}[^\p{{L}}\p{{N}}\s]*(\p{{N}}[\p{{N}}.,:/]*(?:%|\p{{L}}{{1,5}}))[^\p{{L}}\p{{N}}\s]*{_EDGE}", f"{_SLOT}q$1")
-    with_numbers = F.regexp_replace(with_numbers, rf"{_HEAD}[^\p{{L}}\p{{N}}\s{_SLOT}]*(\p{{N}}[\p{{N}}.,:/]*)[^\p{{L}}\p{{N}}\s]*{_EDGE}", f"{_SLOT}n$1")
-    with_numbers = F.regexp_replace(with_numbers, rf"(?i)(?<={_SLOT}n[^ ]{{1,24}} )({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})[^\p{{L}}\p{{N}}\s]*{_EDGE}", f"{_SLOT}u$1")
-    t = F.when(t.rlike(r"\p{N}"), with_numbers).otherwise(t)
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},] )(\p{Lu}[\p{L}'’-]+)", f"{_SLOT}p$1")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{_SLOT}'’.-])(\p{{Lu}}[\p{{L}}'’-]+)", f"{_SLOT}c$1")
-    words = F.split(F.lower(t), rf"{_GAP}+")
-    bare = F.transform(words, lambda w: F.when(w.rlike(r"^[a-z]+$"), w).otherwise(F.regexp_replace(w, rf"[^\p{{L}}\p{{N}}{_SLOT}]+", "")))
-    return F.filter(bare, lambda w: w != "")
+    t = F.replace(clean_text(text), F.lit(_SLOT), F.lit(" "))
+    # A quick test spares texts without a digit the passes for numbers and units. Patterns begin
+    # with what is rare, so the engine leaves most places at once.
+    numbers = F.regexp_replace(t, rf"(?=[^\p{{L}}{_SPACE}]){_HEAD}{_MARKS}({_NUMBER})(%|\p{{L}}{{1,5}}|){_MARKS}{_EDGE}", f"{_SLOT}n$1{_SLOT}$2")
+    numbers = F.regexp_replace(numbers, rf"{_SLOT}n([\p{{N}}.,:/]+){_SLOT}(?=[%\p{{L}}])", f"{_SLOT}q$1")
+    numbers = F.regexp_replace(numbers, rf"{_SLOT}(?=[{_SPACE}]|$)", "")
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    numbers = F.regexp_replace(numbers, rf"(?i)({_SLOT}n[^{_SPACE}]*[{_SPACE}])({units}){_MARKS}{_EDGE}", f"$1{_SLOT}u$2")
+    t = F.when(t.rlike(r"\p{N}"), numbers).otherwise(t)
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{_SLOT}'’.-])(?=\p{{Lu}}[\p{{L}}'’-])", f"{_SLOT}c")
+    t = F.regexp_replace(t, rf"{_SLOT}(?<=[\p{{L}}\p{{N}},] {_SLOT})c", f"{_SLOT}p")
+    t = F.regexp_replace(F.lower(t), rf"[^a-z0-9{_SLOT}{_SPACE}\p{{L}}\p{{N}}]", "")
+    for space in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(space), F.lit(" "))
+    return t
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def template_tokens(text: Column) -> Column:
+    """The words of :func:`canonical` as an array."""
+    return _words(canonical(text))
+
+
+def _template(line: Column) -> Column:
+    """A canonical text without the values of its slots; words that may be names stay marked."""
+    return F.regexp_replace(line, rf"({_SLOT}[nqup])[^ ]*", "$1")
+
+
+def _plain(line: Column) -> Column:
+    """A canonical text without the marks of its slots."""
+    return F.regexp_replace(line, rf"{_SLOT}[nqupc]", "")
 
 
 def _is_slot(w: Column) -> Column:
@@ -67,56 +92,92 @@ def _key(w: Column) -> Column:
 
 
 def _hashed(parts: list[Column]) -> Column:
-    """Hash of a window's keys; null if too few are literal words."""
+    """Hash of a window's keys; null if too few are literal words, which any table of numbers has."""
     return F.when(sum(((~p.startswith(_SLOT)).cast("int") for p in parts), F.lit(0)) >= MIN_LITERALS, F.xxhash64(*parts))
 
 
-def _with_windows(rows: DataFrame, names: bool = False) -> DataFrame:
-    """Hashes of each row's template windows in an array ``wins``; null for those of too few
-    literal words, which any table of numbers would match.
-
-    With ``names``, as many again follow, in which all words that may be names are names; null
-    where that changes nothing.
+def _valued(parts: list[Column]) -> Column:
+    """Hash of a window's words as they are."""
+    return F.xxhash64(F.lit(_SLOT + "v"), *parts)
 
-    The lambda looks into ``keys``. No filter on ``wins`` may follow before it is exploded or
-    written: the optimizer would push a copy of the whole expression below, with ``keys``
-    spelt out inside the lambda and made anew at every word.
-    """
-    n = F.size("tokens")
-    keyed = rows.withColumn("keys", F.transform("tokens", _key))
-    if names:
-        keyed = keyed.withColumn("named", F.when(F.exists("tokens", _is_open), F.transform("tokens", lambda w: F.when(_is_open(w), _SLOT + "p").otherwise(_key(w)))))
 
-    def windows(keys: str) -> Column:
-        return F.transform(F.slice(keys, 1, n - (WIDTH - 1)), lambda w, i: _hashed([w, *(F.get(keys, i + k) for k in range(1, WIDTH))]))
+def _placed_windows(rows: DataFrame, line: Column, width: int) -> tuple[DataFrame, list[Column]]:
+    """(doc_id, at) and the words of each window of ``width`` words.
 
-    keyed = keyed.withColumn("wins", F.when(n >= WIDTH, windows("keys")))
-    if names:
-        other = F.when((n >= WIDTH) & F.col("named").isNotNull(), windows("named"))
-        keyed = keyed.withColumn("wins", F.when(other.isNotNull(), F.concat("wins", other)).otherwise(F.col("wins")))
-    return keyed
+    Neighbours are zipped, so all is compiled. No filter on the words may come before they are
+    exploded: the optimizer would push a copy of all the expressions below it.
+    """
+    words = rows.select("doc_id", _words(line).alias("words"))
+    shifted = [F.col("words"), *(F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) for k in range(1, width))]
+    zipped = F.arrays_zip(*(c.alias(f"w{k}") for k, c in enumerate(shifted)))
+    placed = words.select("doc_id", F.posexplode(zipped).alias("at", "w"))
+    placed = placed.select("doc_id", "at", *(F.col("w").getField(f).alias(f"w{k}") for k, f in enumerate(placed.schema["w"].dataType.names)))
+    parts = [F.col(f"w{k}") for k in range(width)]
+    return placed.where(parts[-1].isNotNull()), parts
+
+
+def _document_windows(rows: DataFrame, width: int, by_value: bool) -> DataFrame:
+    """(doc_id, at, reading) of all windows; those with words that may be names are read both ways."""
+    if by_value:
+        whole = width < SHORTEST
+        placed, parts = _placed_windows(rows, _plain(F.col("line")), width)
+        if whole:  # so short an item has to be all that the document says
+            placed = placed.join(rows.select("doc_id", F.size(_words(F.col("line"))).alias("n")).where(F.col("n") == width).select("doc_id").distinct(), "doc_id", "left_semi")
+        return placed.select("doc_id", "at", _valued(parts).alias("reading"))
+    placed, parts = _placed_windows(rows, _template(F.col("line")), width)
+    plain = _hashed([_bare(p) for p in parts])
+    named = _hashed([F.when(_is_open(p), F.lit(_SLOT + "p")).otherwise(p) for p in parts])
+    some = sum((_is_open(p).cast("int") for p in parts), F.lit(0)) > 0
+    both = placed.select("doc_id", "at", plain.alias("plain"), F.when(some, named).alias("named"))
+    return both.select("doc_id", "at", F.explode(F.when(F.col("named").isNull(), F.array("plain")).otherwise(F.array("plain", "named"))).alias("reading")).where("reading is not null")
+
+
+_ITEM = ["item_id", "item_key"]
 
 
 def benchmark_templates(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens, wins, n_wins) of each item; repeated and null rows are left out."""
+    """(item_id, item_key, tokens, width, by_value, n_wins, item_at, win, part), a row for each window of an item.
+
+    ``item_key`` tells the texts of one id apart. Repeated and null rows are left out. Items of
+    fewer than ``WIDTH`` words are one window. An item without a window of ``MIN_LITERALS``
+    literal words, or with fewer than ``SHORTEST`` words, goes by its words as they are.
+    """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    rows = _with_windows(items.select("item_id", template_tokens(F.col("text")).alias("tokens")))
-    rows = cut(rows.select("item_id", "tokens", "wins"))
-    return rows.withColumn("n_wins", F.size(F.filter(F.array_distinct("wins"), lambda h: h.isNotNull()))).where("n_wins > 0")
-
-
-def _readings(items: DataFrame) -> DataFrame:
-    """(item_id, n_wins, reach, item_at, win, reading): each window with each choice of its
-    words that may be names as names; ``win`` is the window without any."""
-    part = F.slice("tokens", F.col("item_at") + 1, WIDTH)
-    reach = F.greatest(F.size("tokens"), F.lit(8)).alias("reach")
-    rows = items.select("item_id", "n_wins", reach, "tokens", F.posexplode("wins").alias("item_at", "win")).where("win is not null")
-    rows = rows.select("item_id", "n_wins", "reach", "item_at", "win", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1))).alias("mask"))
+    rows = items.select("item_id", F.md5(F.col("text").cast("binary")).alias("item_key"), template_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = cut(rows).withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH)))
+    placed = rows.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width")))).withColumn("part", F.slice("tokens", F.col("item_at") + 1, F.col("width")))
+
+    def of_width(make) -> Column:
+        found = F.lit(None).cast("long")
+        for w in range(1, WIDTH + 1):
+            found = F.when(F.col("width") == w, make([F.get("part", F.lit(k)) for k in range(w)])).otherwise(found)
+        return found
+
+    placed = placed.withColumn("_template", F.when(F.col("width") >= SHORTEST, of_width(lambda parts: _hashed([_key(p) for p in parts]))))
+    placed = placed.withColumn("_valued", of_width(lambda parts: _valued([F.when(p.startswith(_SLOT), F.substring(p, 3, 1 << 30)).otherwise(p) for p in parts])))
+    whole = Window.partitionBy(*_ITEM)
+    placed = placed.withColumn("by_value", F.count("_template").over(whole) == 0).withColumn("win", F.when(F.col("by_value"), F.col("_valued")).otherwise(F.col("_template")))
+    placed = placed.where("win is not null").withColumn("n_wins", F.size(F.collect_set("win").over(whole)))
+    return placed.select(*_ITEM, "tokens", "width", "by_value", "n_wins", "item_at", "win", "part")
+
+
+def _readings(windows: DataFrame) -> DataFrame:
+    """The windows with ``reading``: each with each choice of its words that may be names as names.
+
+    ``reach`` is how far the parts of a copy may be moved against each other.
+    """
+    rows = windows.withColumn("reach", F.greatest(F.size("tokens"), F.lit(8))).drop("tokens")
+    valued = rows.where("by_value").withColumn("reading", F.col("win"))
+    masked = rows.where("not by_value").withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1))))
     parts = [F.get("part", F.lit(k)) for k in range(WIDTH)]
     chosen = [F.col("mask").bitwiseAND(1 << k) != 0 for k in range(WIDTH)]
-    rows = rows.where(sum((F.when(c & ~_is_open(p), 1).otherwise(0) for c, p in zip(chosen, parts, strict=True)), F.lit(0)) == 0)
-    reading = _hashed([F.when(c, _SLOT + "p").otherwise(_key(p)) for c, p in zip(chosen, parts, strict=True)])
-    return rows.select("item_id", "n_wins", "reach", "item_at", "win", reading.alias("reading")).where("reading is not null")
+    masked = masked.where(sum((F.when(c & ~F.coalesce(_is_open(p), F.lit(False)), 1).otherwise(0) for c, p in zip(chosen, parts, strict=True)), F.lit(0)) == 0)
+    reading = F.lit(None).cast("long")
+    for w in range(SHORTEST, WIDTH + 1):
+        read = [F.when(c, F.lit(_SLOT + "p")).otherwise(_key(p)) for c, p in zip(chosen[:w], parts[:w], strict=True)]
+        reading = F.when(F.col("width") == w, _hashed(read)).otherwise(reading)
+    masked = masked.withColumn("reading", reading).drop("mask").where("reading is not null")
+    return masked.unionByName(valued).drop("part", "width", "by_value")
 
 
 def _as_kind(b: Column, a: Column) -> Column:
@@ -124,77 +185,125 @@ def _as_kind(b: Column, a: Column) -> Column:
     return F.when(_is_open(b) & a.startswith(_SLOT + "p"), F.concat(F.lit(_SLOT + "p"), F.substring(b, 3, 1 << 30))).otherwise(b)
 
 
+def _candidates(met: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, item) of documents that hold one of an item's rarest windows.
+
+    A copy may lack ``n_wins`` - ceil(``similarity`` * ``n_wins``) windows, so it holds at least
+    one of any set of one more. Taking the rarest ones keeps windows that many items or
+    documents have from making rows for each pair of them.
+    """
+    often = met.groupBy("reading").agg(F.count(F.lit(1)).alias("n"))
+    of_item = placed.select(*_ITEM, "n_wins", "win", "reading").distinct()
+    wins = join_checked(of_item, often, ["reading"], "left").groupBy(*_ITEM, "n_wins", "win").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*_ITEM).orderBy("n", "win"))
+    rare = wins.withColumn("rank", rank).where(F.col("rank") <= F.col("n_wins") - F.ceil(similarity * F.col("n_wins") - 1e-9) + 1).select(*_ITEM, "win")
+    keys = of_item.join(rare, [*_ITEM, "win"]).select(*_ITEM, "reading").distinct()
+    return join_checked(met, keys, ["reading"], "inner").select("doc_id", *_ITEM).distinct()
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, n_slots, n_changed, at_word) of items found in documents.
 
     An item is found if a stretch of a document holds at least ``similarity`` of the item's
     distinct five-word template windows, at places that agree to within the item's own length
-    (eight words at least), and the slots agree: at every place the kind is the item's, and a value that the item repeats is
+    (eight words at least), and the slots agree: from the first to the last word of the copy,
+    the document has a slot of the same kind at every slot of the item (aligned by the windows
+    on either side, so inserted words move what follows), and a value that the item repeats is
     replaced by one value throughout. Every place of an item in a document is checked by itself,
     and the best of those that pass is given. ``n_changed`` of ``n_slots`` values differ, so 0 means a
     plain copy and more a re-parameterised one. Clean documents give no row.
 
-    Windows of all documents meet the items' in one hash join. The items' windows are broadcast
-    only if they are few enough; beyond that both sides are shuffled on the window hash. The
-    documents' tokens are made again only for the documents with a candidate. Items of fewer
-    than five words, or without a window of two literal words, cannot be found; null texts and
-    rows with a null doc_id hold nothing. An item whose id repeats counts once for each text.
+    * An item of three or four words is one window of that length.
+    * An item without a window of two literal words (a table of numbers) is sought by its
+      words as they are, values included.
+    * An item of one or two words is found in a document that says nothing else.
+
+    Windows of all documents meet the items' in one hash join, which keeps a row for each window
+    that any item has. Items are paired with documents by their rarest windows alone
+    (:func:`_candidates`), exactly. The items' windows are broadcast only if they are few enough;
+    beyond that both sides are shuffled on the window hash. The documents' tokens are made again
+    only for the documents with a candidate. Null texts and rows with a null doc_id hold nothing.
+    Each text of an item id that repeats is sought by itself; the best one is given.
     """
-    items = benchmark_templates(benchmark)
-    placed = cut(_readings(items))
-    rows = documents.where("doc_id is not null").select("doc_id", template_tokens(F.col("text")).alias("tokens"))
-    n_places = F.greatest(F.size("tokens") - (WIDTH - 1), F.lit(1))
-    wins = _with_windows(rows, names=True).select("doc_id", n_places.alias("n_places"), F.posexplode_outer("wins").alias("at", "reading")).where("reading is not null")
-    wins = wins.select("doc_id", (F.col("at") % F.col("n_places")).alias("at"), "reading")
-    hits = join_checked(wins, placed, ["reading"], "inner")
+    windows = cut(benchmark_templates(benchmark))
+    placed = cut(_readings(windows))
+    rows = documents.where("doc_id is not null").select("doc_id", canonical(F.col("text")).alias("line"))
+    kinds = {(r.width, r.by_value) for r in windows.select("width", "by_value").distinct().collect()} | {(WIDTH, False)}
+    wins = None
+    for width, by_value in sorted(kinds):
+        more = _document_windows(rows, width, by_value)
+        wins = more if wins is None else wins.unionAll(more)
+    met = written(join_checked(wins, placed.select("reading").distinct(), ["reading"], "left_semi"))
+    pairs = _candidates(met, placed, similarity)
+    hits = join_checked(join_checked(met, pairs, ["doc_id"], "inner"), placed, [*_ITEM, "reading"], "inner")
     moved = F.col("at") - F.col("item_at")
     lane = F.explode(F.array(F.floor(moved / (2 * F.col("reach"))) * 2, F.floor((moved + F.col("reach")) / (2 * F.col("reach"))) * 2 + 1))
     found = (
         hits.withColumn("lane", lane)
-        .groupBy("doc_id", "item_id", "n_wins", "lane")
-        .agg(F.collect_set(F.struct("win", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))).alias("hits"))
+        .groupBy("doc_id", *_ITEM, "n_wins", "lane")
+        .agg(F.collect_set(F.struct("win", "item_at", moved.alias("shift"))).alias("hits"))
         .withColumn("n_hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["win"]))))
         .where(F.col("n_hits") >= similarity * F.col("n_wins") - 1e-9)
     )
     # Every place in every lane is a candidate; a document's tokens are made once for all of them.
-    one = F.struct("item_id", "n_wins", "n_hits", F.transform("hits", lambda h: h.dropFields("win")).alias("hits"))
+    one = F.struct(*_ITEM, "n_wins", "n_hits", F.transform("hits", lambda h: h.dropFields("win")).alias("hits"))
     matched = join_checked(documents.select("doc_id", "text"), found.groupBy("doc_id").agg(F.collect_set(one).alias("found")), ["doc_id"], "inner")
-    low = F.array_min(F.transform("found.hits", lambda h: h["shift"]))
+    low = F.greatest(F.array_min(F.transform("found.hits", lambda h: h["shift"])), F.lit(0))
+    high = F.array_max(F.transform("found.hits", lambda h: h["shift"]))
     names = F.transform(F.filter("tokens", lambda w: w.startswith(_SLOT + "p")), lambda w: F.substring(w, 3, 1 << 30))
-    named = items.select("item_id", "n_wins", F.col("tokens").alias("item_tokens"), names.alias("item_names"))
+    named = windows.select(*_ITEM, "width", F.col("tokens").alias("item_tokens"), names.alias("item_names")).distinct()
     lanes = matched.select("doc_id", template_tokens(F.col("text")).alias("tokens"), F.explode("found").alias("found"))
     # Of a document's tokens each row keeps those that lie under the item at one of its places.
-    low = F.greatest(low, F.lit(0))
-    high = F.array_max(F.transform("found.hits", lambda h: h["shift"]))
-    near = lanes.select("doc_id", "found.*", low.alias("low"), high.alias("high"), "tokens").join(named, ["item_id", "n_wins"])
+    near = lanes.select("doc_id", "found.*", low.alias("low"), high.alias("high"), "tokens").join(named, _ITEM)
     near = cut(near.withColumn("tokens", F.slice("tokens", F.col("low") + 1, F.greatest(F.col("high") - F.col("low") + F.size("item_tokens"), F.lit(0)))))
     aligned = cut(near.withColumn("shift", F.explode(F.array_distinct(F.transform("hits", lambda h: h["shift"])))))
 
-    # A place that has enough windows by itself is judged by them alone.
+    # A place that has enough windows by itself is judged by them, and where it has none by those that an edit may have moved.
     own = F.filter("hits", lambda h: h["shift"] == F.col("shift"))
-    aligned = aligned.withColumn("hits", F.when(F.size(own) >= similarity * F.col("n_wins") - 1e-9, own).otherwise(F.col("hits")))
+    slack = F.greatest(F.lit(1), F.floor((1 - similarity) * F.size("item_tokens")))
+    aligned = aligned.withColumn("own", own)
+    moved_by_edits = F.filter("hits", lambda h: (F.abs(h["shift"] - F.col("shift")) <= slack) & ~F.exists("own", lambda o: o["item_at"] == h["item_at"]))
+    aligned = cut(aligned.withColumn("hits", F.when(F.size("own") >= similarity * F.col("n_wins") - 1e-9, F.concat("own", moved_by_edits)).otherwise(F.col("hits"))).drop("own"))
     # A word that may be a name is one if its text has it elsewhere as a name.
     aligned = aligned.withColumn("item_tokens", F.transform("item_tokens", lambda w: F.when(_is_open(w) & F.array_contains("item_names", F.substring(w, 3, 1 << 30)), F.concat(F.lit(_SLOT + "p"), F.substring(w, 3, 1 << 30))).otherwise(w)))
-
-    def place(i: Column) -> Column:
-        """The shift at an item's word: that of the hit nearest to it, of equally near ones the one nearest to ``shift``."""
-        far = lambda h: F.struct(F.greatest(h["item_at"] - i, i - h["item_at"] - (WIDTH - 1), F.lit(0)), F.abs(h["shift"] - F.col("shift")), h["shift"].alias("shift"))
-        return F.array_min(F.transform("hits", far))["shift"]
-
-    def under(w: Column, i: Column) -> Column:
-        at = i + F.col("place")[i] - F.col("low")
-        return F.struct(w.alias("a"), F.when(at >= 0, _as_kind(F.get("tokens", at), w)).alias("b"))
-
-    spread = cut(aligned.withColumn("place", F.transform("item_tokens", lambda w, i: F.when(_is_slot(w), place(i)))))
-    pairs = F.filter(F.transform("item_tokens", under), lambda p: _is_slot(p["a"]) & _is_slot(p["b"]) & (F.substring(p["a"], 1, 2) == F.substring(p["b"], 1, 2)))
-    checked = cut(spread.withColumn("pairs", pairs).drop("tokens", "hits", "place")).where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
+    edges = {"first": F.array_min(F.transform("hits", lambda h: h["item_at"])), "last": F.array_max(F.transform("hits", lambda h: h["item_at"])) + F.col("width") - 1}
+    aligned = cut(aligned.withColumns(edges))
+
+    def nearest(i: Column, before: bool) -> Column:
+        """The shift of the hit nearest to an item's word, of those not after or not before it; of equally near ones the one nearest to ``shift``."""
+        side = F.filter("hits", lambda h: h["item_at"] <= i if before else h["item_at"] + F.col("width") > i)
+        gap = lambda h: F.struct(F.greatest(h["item_at"] - i, i - h["item_at"] - F.col("width") + 1, F.lit(0)), F.abs(h["shift"] - F.col("shift")), h["shift"].alias("shift"))
+        return F.array_min(F.transform(side, gap))["shift"]
+
+    def places(w: Column, i: Column) -> Column:
+        return F.struct(w.alias("a"), i.alias("i"), F.array_compact(F.array(nearest(i, True), nearest(i, False))).alias("shifts"))
+
+    def same(a: Column, b: Column) -> Column:
+        kind = _is_slot(b) & (F.substring(b, 1, 2) == F.substring(a, 1, 2))
+        return F.when(_is_slot(a), kind).otherwise((_bare(b) == _bare(a)) | (_is_open(a) & (_is_open(b) | b.startswith(_SLOT + "p"))))
+
+    def under(p: Column) -> Column:
+        """The item's word, and the document's word under it if it is the same or a slot of the same kind."""
+        words = F.transform(p["shifts"], lambda s: F.when(p["i"] + s >= F.col("low"), _as_kind(F.get("tokens", (p["i"] + s - F.col("low")).cast("int")), p["a"])))
+        return F.struct(p["a"].alias("a"), p["i"].alias("i"), F.get(F.filter(words, lambda b: same(p["a"], b)), F.lit(0)).alias("b"))
+
+    laid = cut(aligned.withColumn("words", F.transform("item_tokens", places)).drop("item_tokens", "item_names", "hits"))
+    laid = cut(laid.withColumn("words", F.transform("words", under)).drop("tokens"))
+    # The copy reaches as far as its words agree, beyond its outermost windows by less than one.
+    reached = F.transform(F.filter("words", lambda p: p["b"].isNotNull() & p["i"].between(F.col("first") - WIDTH + 1, F.col("last") + WIDTH - 1)), lambda p: p["i"])
+    laid = cut(laid.withColumn("reached", reached))
+    begin, end = F.array_min("reached"), F.array_max("reached")
+    laid = cut(laid.withColumn("slots", F.filter("words", lambda p: _is_slot(p["a"]) & (p["b"].isNotNull() | p["i"].between(begin, end)))).drop("words"))
+    checked = laid.where(~F.exists("slots", lambda p: p["b"].isNull())).withColumn("slots", F.transform("slots", lambda p: p.dropFields("i")))
+    checked = cut(checked).where(F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda p: p["a"]))))
     result = checked.select(
         "doc_id", "item_id", F.col("n_wins").alias("n_windows"), "n_hits",
-        F.size("pairs").alias("n_slots"),
-        F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"),
-        F.greatest("shift", F.lit(0)).alias("at_word"),
+        F.size("slots").alias("n_slots"),
+        F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("n_changed"),
+        F.greatest("shift", F.lit(0)).cast("int").alias("at_word"),
     )
-    return result.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("n_hits", -F.col("n_changed"), -F.col("at_word"))).alias(c) for c in ("n_windows", "n_hits", "n_slots", "n_changed", "at_word")))
+    best = F.struct("n_hits", -F.col("n_changed"), -F.col("n_windows"), -F.col("at_word"))
+    return result.groupBy("doc_id", "item_id").agg(*(F.max_by(c, best).alias(c) for c in ("n_windows", "n_hits", "n_slots", "n_changed", "at_word")))
 
 
 def remove_contaminated(documents: DataFrame, found: DataFrame) -> DataFrame:
