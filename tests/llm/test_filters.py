@@ -63,6 +63,54 @@ def test_toxicity_learns_pairs():
     assert right.mean() > 0.97 > ((np.c_[bits, np.ones(len(bits))] @ linear >= 0.5) == (y == 1)).mean()
 
 
+def test_toxicity_learns_exclusive_or():
+    """Neither term tells anything alone, among many that tell nothing at all."""
+    rng = np.random.default_rng(3)
+    bits = rng.random((4000, 2)) < 0.5
+    y = (bits[:, 0] ^ bits[:, 1]).astype(float)
+    noise = [rng.choice(20_000, 60, replace=False) + 1000 for _ in bits]
+    common = [rng.choice(200, 30, replace=False) + 100 for _ in bits]
+    terms = [np.unique(np.concatenate([np.flatnonzero(r) + 10, n, c])).astype(np.int32) for r, n, c in zip(bits, noise, common, strict=True)]
+    model = toxicity_fm.fit(terms[:3000], y[:3000])
+    rest = terms[3000:]
+    doc = np.repeat(np.arange(len(rest)), [len(t) for t in rest])
+    assert ((model.margins(doc, np.concatenate(rest), len(rest)) >= 0) == (y[3000:] == 1)).mean() > 0.95
+
+
+def test_margins_equal_explicit_pair_sums():
+    rng = np.random.default_rng(5)
+    place = np.full(1 << toxicity_fm.BUCKET_BITS, -1, dtype=np.int32)
+    place[[3, 7, 11, 500]] = range(4)
+    model = toxicity_fm.FactorizationMachine(place, rng.normal(size=4), rng.normal(size=(4, 3)), 0.3)
+    docs = [[3, 7, 7, 9], [], [500, 11, 7, 3, 3], [42]]
+    got = model.margins(np.repeat(np.arange(4), [len(d) for d in docs]), np.array([t for d in docs for t in d], dtype=np.int64), 4)
+    for g, d in zip(got, docs, strict=True):
+        at = sorted({int(place[t]) for t in d if place[t] >= 0})
+        want = 0.3 + sum(model.w[i] for i in at) + sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(g - want) < 1e-9
+
+
+def test_trees_equal_a_naive_walk():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 5))
+    model = quality_gbt.fit(x[:400], (x[:400, 1] > 0.2).astype(float), trees=9, depth=3)
+    for row, got in zip(x, model.margins(x), strict=True):
+        total = model.base
+        for t in range(9):
+            node = 0
+            while node < 7:
+                node = 2 * node + (2 if row[model.feature[t, node]] > model.cut[t, node] else 1)
+            total += model.leaf[t, node - 7]
+        assert abs(total - got) < 1e-9
+
+
+def test_sample_bounds_rows(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    got = labelled.training_rows(docs, labels, "toxic", 5, 9).collect()
+    assert sorted(map(tuple, got)) == [(1, "t0", 1), (2, "a", 1), (3, "c", 0)]
+
+
 def test_classifiers_on_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in (1, 2, 3, 4, 5, 9, 10, 11)] + [(None, 1, 1), (12, None, None), (1, 0, 0)], "doc_id long, quality int, toxic int")
     for query in (quality_gbt.classify_quality, toxicity_fm.classify_toxicity):

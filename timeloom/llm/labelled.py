@@ -18,13 +18,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, modulus:
     """(doc_id, text, y) of at most ``per_class`` rows of each class outside the held-out fold.
 
     Rows are chosen by a hash of their id, so the sample does not depend on partitioning. Null
-    ids and labels are left out; of an id's repeated labels the highest counts. The chosen ids
-    are few by the bound above, so they are broadcast and the texts stay where they are.
+    ids and labels are left out; of an id's repeated labels the highest counts, and of its
+    repeated documents the least text, so the bound holds for rows too. The chosen ids
+    are few by the bound above, so they are broadcast, and only their texts are shuffled.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_of_id(F.col("doc_id")) % modulus != held_out))
     one_each = usable.groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = [one_each.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return documents.select("doc_id", "text").join(F.broadcast(reduce(DataFrame.unionAll, chosen)), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(reduce(DataFrame.unionAll, chosen)), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def centred_threshold(margin: np.ndarray, y: np.ndarray) -> float:

@@ -12,12 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timeloom.llm.labelled import SAMPLE_PER_CLASS, centred_threshold, sigmoid, training_rows
-from timeloom.llm.support import crc_of_id
+from timeloom.llm.support import crc_of_id, cut
 from timeloom.llm.textkernel import BREAKS, Block, blocks
 
-#: Buckets of the term hash, and lengths in bytes of the word beginnings that are terms too.
+#: Buckets of the term hash, and lengths in bytes of the word beginnings that are terms too
+#: (whole characters), which stand for stems: inflected and joined forms share them.
 BUCKET_BITS = 20
 PREFIX_BYTES = (4, 6, 7)
+#: Sampled documents that have to hold a term; one in fewer cannot be told from chance.
+MIN_SEEN = 4
+#: Chi-square over which a term tells by itself (a chance of 0.001), and squared score over which
+#: a pair does (a chance of some 1e-12, as there are up to 8 million pairs).
+ALONE, TOGETHER = 10.8, 50.0
+#: Terms whose pairs are held against each other, the most frequent ones.
+PAIR_TERMS = 4096
 
 MODULUS, HELD_OUT = 5, 0
 
@@ -61,48 +69,108 @@ class FactorizationMachine:
         return self.bias + linear + 0.5 * cross
 
 
-def fit(terms: list[np.ndarray], y: np.ndarray, *, kept_terms: int = 1024, factors: int = 6, rounds: int = 250, rate: float = 0.03, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
-    """Fit by full-batch adaptive gradient steps on the terms that best tell the classes apart.
+def _telling(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The terms that tell the classes apart by themselves (chi-square over ``ALONE``)."""
+    n_buckets, n1, n0 = 1 << BUCKET_BITS, y.sum(), (1 - y).sum()
+    doc, flat = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms)
+    a, seen, n = np.bincount(flat, weights=y[doc], minlength=n_buckets), np.bincount(flat, minlength=n_buckets), n1 + n0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num(n * (a * (n0 - seen + a) - (seen - a) * (n1 - a)) ** 2 / (n1 * n0 * seen * (n - seen)))
+    return np.flatnonzero((chi > ALONE) & (seen >= MIN_SEEN))
+
+
+def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.ndarray, block: int = 512) -> np.ndarray:
+    """The terms of pairs whose presence together tells what the model so far leaves open.
 
-    Without rows of both classes there is nothing to learn, and no text is called toxic.
+    A pair's score is the square of its documents' summed residuals over their variance. All
+    pairs of terms that at least one document in a hundred holds are scored, as products of
+    blocks of columns, of the ``PAIR_TERMS`` most frequent such terms at most.
     """
-    n_buckets = 1 << BUCKET_BITS
-    place = np.full(n_buckets, -1, dtype=np.int32)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    if not n1 or not n0:
-        return FactorizationMachine(place, np.zeros(1), np.zeros((1, 1)), -1.0)
-    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    flat = np.concatenate(terms)
-    a = np.bincount(flat, weights=y[doc], minlength=n_buckets)
-    seen = np.bincount(flat, minlength=n_buckets)
-    b = seen - a
-    n = n1 + n0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * seen * (n - seen)))
-    chosen = np.argsort(-chi, kind="stable")[:kept_terms]
-    chosen = np.sort(chosen[(chi[chosen] > 10.8) & (seen[chosen] >= 4)])
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(terms), max(1, len(chosen))), dtype=np.float32)
-    at = place[flat]
-    x[doc[at >= 0], at[at >= 0]] = 1.0
+    flat, doc = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    seen = np.bincount(flat, minlength=1 << BUCKET_BITS)
+    often = np.flatnonzero(seen >= max(MIN_SEEN, len(terms) / 100))
+    often = np.sort(often[np.argsort(-seen[often], kind="stable")][:PAIR_TERMS])
+    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
+    place[often] = np.arange(len(often))
+    doc, at = doc[place[flat] >= 0], place[flat][place[flat] >= 0]
+
+    def columns(k: int) -> np.ndarray:
+        inside = (at >= k) & (at < k + block)
+        x = np.zeros((len(terms), min(block, len(often) - k)), dtype=np.float32)
+        x[doc[inside], at[inside] - k] = 1
+        return x
+
+    told = np.zeros(len(often), dtype=bool)
+    r, s = residual.astype(np.float32)[:, None], spread.astype(np.float32)[:, None]
+    for i in range(0, len(often), block):
+        left = columns(i)
+        for j in range(i, len(often), block):
+            right = left if i == j else columns(j)
+            total, variance = (left * r).T @ right, (left * s).T @ right
+            score = np.where(variance > 1, total**2 / np.maximum(variance, 1e-6), 0)
+            if i == j:
+                np.fill_diagonal(score, 0)
+            hit = score > TOGETHER
+            told[i : i + left.shape[1]] |= hit.any(axis=1)
+            told[j : j + right.shape[1]] |= hit.any(axis=0)
+    return often[told]
+
+
+def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, factors: int = 6, rounds: int = 250, rate: float = 0.03, decay: float = 5e-3, seed: int = 7) -> FactorizationMachine:
+    """Weights and factors of the ``known`` terms by adaptive steps over all rows, classes weighing the same."""
+    n1, n0 = y.sum(), (1 - y).sum()
+    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
+    place[known] = np.arange(len(known))
+    rows = [place[t][place[t] >= 0] for t in terms]
+    size = np.array([len(t) for t in rows])
+    doc, at = np.repeat(np.arange(len(rows)), size), np.concatenate(rows)
+    full, by_term = np.flatnonzero(size), np.argsort(at, kind="stable")
+    row_begin, term_begin = (np.cumsum(size) - size)[full], np.searchsorted(at[by_term], np.arange(len(known)))
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), *values.shape[1:]), dtype=np.float32)
+        out[full] = np.add.reduceat(values, row_begin, axis=0)
+        return out
 
     rng = np.random.default_rng(seed)
-    w = np.zeros(x.shape[1], dtype=np.float32)
-    v = rng.normal(0, 0.02, (x.shape[1], factors)).astype(np.float32)
+    w = np.zeros(max(1, len(known)), dtype=np.float32)
+    v = rng.normal(0, 0.02, (len(w), factors)).astype(np.float32)
     bias, gains = np.float32(np.log(n1 / n0)), [np.full_like(w, 1e-6), np.full_like(v, 1e-6), np.float32(1e-6)]
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
-    xt = np.ascontiguousarray(x.T)
-    for _ in range(rounds):
-        xv = x @ v
-        m = bias + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
+    for _ in range(rounds if len(at) else 0):
+        value = v[at]
+        xv = by_row(value)
+        m = bias + by_row(w[at]) + 0.5 * ((xv**2).sum(1) - by_row((value**2).sum(1)))
         g = weight * (sigmoid(m) - y).astype(np.float32)
-        grads = [xt @ g + decay * w, xt @ (g[:, None] * xv) - v * (xt @ g)[:, None] + decay * v, g.sum()]
+        each = g[doc][by_term]
+        grads = [np.add.reduceat(each, term_begin) + decay * w, np.add.reduceat(each[:, None] * (xv[doc] - value)[by_term], term_begin, axis=0) + decay * v, g.sum()]
         moves = []
         for k, grad in enumerate(grads):
             gains[k] = 0.95 * gains[k] + 0.05 * grad**2
             moves.append(rate * grad / np.sqrt(gains[k] + 1e-12))
         w, v, bias = w - moves[0], v - moves[1], bias - moves[2]
-    model = FactorizationMachine(place, w.astype(np.float64), v.astype(np.float64), float(bias))
+    return FactorizationMachine(place, w.astype(np.float64), v.astype(np.float64), float(bias))
+
+
+def fit(terms: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
+    """Fit on the terms that tell the classes apart, alone or in pairs.
+
+    First a machine is fitted to the terms that tell by themselves. Then all pairs of frequent
+    terms are held against what it leaves open, and if some tell more, a machine is fitted to
+    their terms too. Other terms are left out: with some ten times as many terms as rows they
+    would only be learnt by heart. Without rows of both classes there is nothing to learn, and
+    no text is called toxic.
+    """
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    if not n1 or not n0:
+        return FactorizationMachine(np.full(1 << BUCKET_BITS, -1, dtype=np.int32), np.zeros(1), np.zeros((1, 1)), -1.0)
+    doc, flat = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms)
+    known = _telling(terms, y)
+    # Pairs are held against a machine with hardly any decay, which leaves open no more than it must.
+    close = _descend(terms, y, known, decay=2e-4)
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
+    p = sigmoid(close.margins(doc, flat, len(terms)))
+    model = _descend(terms, y, np.union1d(known, _telling_pairs(terms, weight * (y - p), weight**2 * p * (1 - p))))
     model.bias -= centred_threshold(model.margins(doc, flat, len(terms)), y)
     return model
 
@@ -110,14 +178,33 @@ def fit(terms: list[np.ndarray], y: np.ndarray, *, kept_terms: int = 1024, facto
 def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold.
 
-    Only texts are inputs. Executors send each sampled document's distinct term buckets.
+    Only texts are inputs. Terms are counted on the executors; of each sampled document they
+    send the distinct buckets of terms that at least ``MIN_SEEN`` of the documents hold. So the
+    driver gets at most 2 * ``per_class`` lists, each of at most 2 ** ``BUCKET_BITS`` numbers, and
+    as a rule of a few hundred.
     """
-    rows = training_rows(documents, labels, "toxic", MODULUS, HELD_OUT, per_class)
-    got = rows.mapInArrow(_terms_of, "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    rows = cut(training_rows(documents, labels, "toxic", MODULUS, HELD_OUT, per_class).mapInArrow(_terms_of, "doc_id long, y int, terms array<int>"))
+    often = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEN)
+    known = np.zeros(1 << BUCKET_BITS, dtype=bool)
+    known[often.select("term").toArrow().column("term").to_numpy()] = True
+    got = rows.mapInArrow(_only(known), "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     terms = got.column("terms").combine_chunks() if got.num_rows else pa.array([], type=pa.list_(pa.int32()))
     return fit([np.asarray(t.values) for t in terms], got.column("y").to_numpy().astype(np.float64))
 
 
+def _only(known: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = lists.flatten().to_numpy()
+            keep = known[flat]
+            ends = np.concatenate([[0], np.cumsum(keep)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[keep]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), kept], names=["doc_id", "y", "terms"])
+
+    return run
+
+
 def _scored(model: FactorizationMachine, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
