@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -142,8 +143,9 @@ def test_common_and_edited_passages(spark):
     got = substring.repeated_passages(docs).toPandas()
     assert set(got.doc_id) == set(range(1, 40)) | {101, 104}
     common = got[got.doc_id < 40]
-    assert ((common.start_word - 40).abs() <= 12).all() and ((common.n_words - 60).abs() <= 16).all()
-    assert got[got.doc_id == 101].n_words.sum() >= 75
+    # One document has the word before the passage in common with another by chance.
+    assert list(zip(common.start_word, common.n_words, strict=True)).count((40, 60)) == 38 and common.n_words.between(60, 61).all()
+    assert list(got[got.doc_id == 101].n_words) == [90]
     cut = {r.doc_id: r for r in substring.remove_passages(docs.withColumn("n_chars", docs.doc_id), substring.repeated_passages(docs)).collect()}
     assert cut[0].text == rows[0] and cut[102].text == rows[102]
     assert len(words(cut[5].text)) <= 100 and all(r.n_chars == len(r.text) for i, r in cut.items() if i in (5, 101))
@@ -170,10 +172,7 @@ def test_neighbouring_lines_of_different_documents_are_no_passage(spark):
     rows |= {5: f"{prose(41, 40)} {prose(42, 30)} {prose(43, 40)} {prose(44, 30)}", 6: f"{prose(45, 40)} {prose(44, 30)} {prose(42, 30)} {prose(46, 40)}"}
     rows |= {7: f"{prose(51, 60)} {prose(52, 60)}", 8: f"{prose(53, 20)} {prose(52, 60)} {prose(51, 60)}"}
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    made = [(4, a, a + 25, d, s) for a, d, s in ((40, 1, -40), (70, 2, -10), (100, 3, -100))]
-    made += [(6, 40, 65, 5, 70), (6, 70, 95, 5, -30), (8, 20, 75, 7, 40), (8, 80, 135, 7, -80)]
-    intervals = spark.createDataFrame(made, "doc_id long, low long, high long, ref_doc_id long, shift long")
-    assert sorted(map(tuple, substring._verified(intervals, 46, 0.8).collect())) == [(8, 20, 60, 7, 60), (8, 80, 60, 7, 0)]
+    assert {(r.doc_id, r.start_word, r.n_words, r.ref_doc_id, r.ref_start_word) for r in substring.repeated_passages(docs).collect()} == {(8, 20, 60, 7, 60), (8, 80, 60, 7, 0)}
     for r in substring.repeated_passages(docs).collect():
         w, ref = words(rows[r.doc_id]), words(rows[r.ref_doc_id])
         assert r.doc_id == 8 and w[r.start_word : r.start_word + r.n_words] == ref[r.ref_start_word : r.ref_start_word + r.n_words]
@@ -196,10 +195,57 @@ def test_common_run_inside_a_rarer_passage(spark):
     for hashes in (1, 3):
         got = defaultdict(set)
         for r in substring.repeated_passages(docs, hashes=hashes).collect():
-            if r.doc_id not in want:
-                continue  # a run that a block's hash of 15 bits makes a block longer by chance
             assert r.ref_doc_id == r.doc_id - 1
             w, ref = words(rows[r.doc_id]), words(rows[r.ref_doc_id])
             assert w[r.start_word : r.start_word + r.n_words] == ref[r.ref_start_word : r.ref_start_word + r.n_words]
             got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
-        assert set(got) == set(want) and all(len(want[i] - got[i]) <= 5 for i in want)
+        assert set(got) == set(want) and dict(got) == want
+
+
+def test_recall_of_edited_passages(spark):
+    """Words replaced, inserted and left out: at least 0.95 of the planted passages are found, and no clean document."""
+    r = random.Random(3)
+    rows, want, i = {}, {}, 0
+    for kind, size, edits in (("exact", 60, 0), ("replace", 60, 1), ("insert", 60, 1), ("lose", 60, 1), ("replace", 100, 2), ("insert", 100, 2), ("lose", 100, 2)):
+        for _ in range(60):
+            w = prose(10_000 + i, size).split()
+            e = list(w)
+            for k in sorted(r.sample(range(8, size - 8), edits), reverse=True):
+                e[k : k + (kind != "insert")] = [] if kind == "lose" else [f"new{k}"]
+            rows[2 * i], rows[2 * i + 1] = f"{prose(30_000 + i, 50)} {' '.join(w)} {prose(40_000 + i, 30)}", f"{prose(50_000 + i, 30)} {' '.join(e)} {prose(60_000 + i, 60)}"
+            want[2 * i + 1] = (kind, edits, len(e))
+            i += 1
+    rows |= {5000 + k: prose(80_000 + k, 150) for k in range(50)}
+    got = defaultdict(int)
+    for p in substring.repeated_passages(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect():
+        assert p.n_words >= 50 and p.ref_doc_id == p.doc_id - 1
+        got[p.doc_id] = max(got[p.doc_id], p.n_words)
+    assert set(got) <= set(want)
+    by = defaultdict(list)
+    for d, (kind, edits, n) in want.items():
+        by[kind, edits].append(got[d] >= n - 6)
+    assert all(sum(found) >= 0.95 * len(found) for found in by.values()), {k: sum(v) / len(v) for k, v in by.items()}
+    assert all(by["exact", 0])
+
+
+def test_nothing_below_the_least_length(spark):
+    rows = {}
+    for i in range(60):
+        passage = prose(i, 45 + i % 5)
+        rows[2 * i], rows[2 * i + 1] = f"{prose(1000 + i, 40)} {passage} {prose(2000 + i, 40)}", f"{prose(3000 + i, 40)} {passage} {prose(4000 + i, 40)}"
+    assert substring.repeated_passages(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).count() == 0
+
+
+def test_windows_across_the_seam(monkeypatch):
+    """Texts of more n-grams than a segment lose no window: every stretch of the least length still holds a centre it shares."""
+    import numpy as np
+
+    monkeypatch.setattr(substring, "SEGMENT", 64)
+    value = np.random.default_rng(1).integers(1, 2**62, 1000, dtype=np.uint64)
+    first = np.array([0, 300, 310, 1000])
+    at, left, right = substring.compact_windows(value, first, 16)
+    have = {(int(c), int(a), int(b)) for c, a, b in zip(at, left, right, strict=True)}
+    for begin, end in zip(first[:-1], first[1:], strict=True):
+        for k in range(int(begin), int(end) - 15):
+            centre = k + int(value[k : k + 16].argmin())
+            assert any(c == centre and a <= k and b >= k + 15 for c, a, b in have)
