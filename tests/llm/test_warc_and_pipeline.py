@@ -48,6 +48,51 @@ def test_chunks_put_a_payload_together(spark, compression):
         digest.update(c.data)
         assert c.digest_so_far == digest.hexdigest()
     assert b"".join(bytes(c.data) for c in chunks).decode() == ROWS[4][2]
+    ids = [r.record_id for r in warc.read_archives(spark, out, with_data=False).where("chunk_no = 0").collect()]
+    assert len(ids) == len(set(ids)) == len(ROWS)
+
+
+def test_records_are_members_of_a_bounded_archive(spark):
+    """Each record is a gzip member; a long payload runs through several archives of the series."""
+    import glob
+    import random
+    import zlib
+
+    out = warc.shared_dir(spark)
+    long = "".join(random.Random(1).choices("abcdefghij é", k=3_000_000))
+    rows = [(i, "u", f"page {i} " * 40) for i in range(200)] + [(500, "u", long)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), out, archive_bytes=500_000, segment_bytes=50_000)
+    holders, ids = 0, set()
+    for name in glob.glob(f"{out}/part-*"):
+        data, found = open(name, "rb").read(), 0
+        assert len(data) < 1_500_000
+        while data:
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            data = member.unused_data
+            assert member.eof and (not record or (record.startswith(b"WARC/1.1") and record.count(b"WARC-Record-ID") == 1))
+            found += b"X-Page-ID: 500\r" in record
+            if record:
+                ids.add(record.split(b"WARC-Record-ID: ")[1].split(b"\r")[0])
+        holders += found > 0
+    assert holders >= 3 and len(ids) == 200 + -(-len(long.encode()) // 50_000)
+    last = warc.read_archives(spark, out, with_data=False).where("is_last and page_id = 500").collect()
+    assert [(r.bytes_so_far, r.digest_so_far) for r in last] == [(len(long.encode()), hashlib.sha256(long.encode()).hexdigest())]
+
+
+def test_reader_holds_a_chunk_at_a_time():
+    """200 MB of payload pass through far less memory than that (the archive's own bytes apart)."""
+    import tracemalloc
+
+    body = bytes(200 << 20)
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nX-Payload-Length: {len(body)}\r\nContent-Length: {len(body)}\r\n\r\n"
+    content = memoryview(head.encode() + body + b"\r\n\r\n")
+    del body
+    tracemalloc.start()
+    n = sum(len(piece) for _, _, piece, *_ in warc.record_chunks(content))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200 << 20 and peak < 4 << 20
 
 
 def test_damage_is_an_error():
