@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from timeloom.llm import decontam, jaccard, quality_gbt, robust_rules, sharding, spm, substring, tokenfiles, toxicity_fm, warc
+from timeloom.llm.oracles import ORACLES as ORACLES
 from timeloom.llm.support import spread
 
 
@@ -72,5 +73,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_robust_rules": op9_robust_rules,
     "op10_jaccard": op10_jaccard,
 }
-
-ORACLES: dict[str, str] = {}
