@@ -25,7 +25,7 @@ def collected_code(sections: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def assemble(meta: DataFrame, outline: DataFrame, sections: DataFrame, issues: DataFrame, key: str = "video_id") -> DataFrame:
-    """(key, document): title, origin, warning of missing sections, topic, contents, sections,
+    """(key, document), with fixed headings: title, origin, warning of missing sections, topic, contents, sections,
     code collection and editor's notes, in this order.
 
     ``meta`` has title, uploader, duration, url and topic; ``outline`` (pos, id, title, start,

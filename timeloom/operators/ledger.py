@@ -30,9 +30,9 @@ def price_table(spark: SparkSession) -> DataFrame:
 
 
 def chat_cost(calls: DataFrame, prices: DataFrame, n_in: str, n_out: str, name: str = "cost_usd", multiplier: Column | None = None) -> DataFrame:
-    """The calls with their cost; an unknown model has the default prices. The price list is a
-    fixed dimension, hence broadcast."""
-    joined = calls.join(F.broadcast(prices), "model", "left")
+    """The calls with their cost; an unknown model has the default prices. The price list is
+    broadcast if the planner finds it small enough."""
+    joined = calls.join(prices, "model", "left")
     p_in, p_out = F.coalesce("p_in", F.lit(DEFAULT_PRICE[0])), F.coalesce("p_out", F.lit(DEFAULT_PRICE[1]))
     cost = (F.col(n_in) * p_in + F.col(n_out) * p_out) * (multiplier if multiplier is not None else F.lit(1.0)) / 1e6
     return joined.withColumn(name, cost).drop("p_in", "p_out")
@@ -60,7 +60,7 @@ def admit_until_reject(calls: DataFrame, limits: DataFrame, total_limit: float,
     the actual cost. All that follow are stopped. With that rule each sum before a call is a
     plain running sum, so two window passes are exact. Unknown stages have limits of zero.
     """
-    rows = calls.join(F.broadcast(limits), "stage", "left").fillna({"money_limit": 0.0, "call_limit": 0})
+    rows = calls.join(limits, "stage", "left").fillna({"money_limit": 0.0, "call_limit": 0})
     w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     s = Window.partitionBy(run, "stage").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"_spent": F.coalesce(F.sum("actual").over(w), F.lit(0.0)), "_stage": F.coalesce(F.sum("actual").over(s), F.lit(0.0)), "_n": F.count(F.lit(1)).over(s)})
@@ -79,7 +79,7 @@ def admit_each(calls: DataFrame, limits: DataFrame, total_limit: float, run: str
 
     What is booked depends on each verdict before, so a run's calls are folded in order.
     """
-    rows = calls.join(F.broadcast(limits), "stage", "left").fillna({"money_limit": 0.0, "call_limit": 0})
+    rows = calls.join(limits, "stage", "left").fillna({"money_limit": 0.0, "call_limit": 0})
     item = F.struct(order, "stage", "estimate", "actual", "money_limit", "call_limit")
     keyed = rows.groupBy(run).agg(F.array_sort(F.collect_list(item)).alias("calls"))
     begin = F.struct(

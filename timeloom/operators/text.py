@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeloom.functions.scalars import hms, is_placeholder, lines_of, strip
 from timeloom.operators.ranges import nearest, within_tolerance
 
+#: Patterns of time stamps and of caption timings.
 _STAMP = r"\[(\d{2}):(\d{2}):(\d{2})\]"
 _CUE = r"(\d+):(\d+):(\d+)\.(\d+)\s*-->\s*(\d+):(\d+):(\d+)\.(\d+)"
 #: Fixed value: heading of a section's complete code.
@@ -147,14 +148,14 @@ def skeleton(md: Column, chars: int = 120) -> Column:
 def repeated_ngram_share(text: Column, n: int = 3) -> Column:
     """Share of a text's word n-grams that repeat an earlier one: a health check of captions.
 
-    The words are laid side by side with themselves, shifted, so that no lambda splits the text anew.
+    The text is split once, and n-grams are told apart by 64-bit hashes of their words.
     """
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = words
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    whole = F.filter(grams, lambda g: g.isNotNull())
-    return F.coalesce(1 - F.size(F.array_distinct(whole)) / F.nullif(F.size(whole), F.lit(0)), F.lit(0.0))
+    def share(words: Column) -> Column:
+        count = F.size(words) - (n - 1)
+        grams = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+        return F.when(count > 0, 1 - F.size(F.array_distinct(grams)) / count).otherwise(F.lit(0.0))
+
+    return F.get(F.transform(F.array(F.array_remove(F.split(F.lower(text), r"\s+"), "")), share), F.lit(0))
 
 
 def script_share(text: Column, pattern: str) -> Column:

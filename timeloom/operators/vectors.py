@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,21 @@ def cosine_top_k(items: DataFrame, queries: DataFrame, item_id: str, query_id: s
     Query vectors go to every task (their number is checked against ``max_queries``); a task
     multiplies each batch of items with all of them and keeps its own k best, so what is
     shuffled is k rows for each query and task. Ties go to the lower id. Beyond the bound the
-    queries are taken in blocks.
+    queries are taken in blocks, dealt by a hash of their id; rows of one id are sliced.
     """
-    rows = queries.select(query_id, vector).where(F.col(vector).isNotNull()).limit(max_queries + 1).toArrow()
-    if rows.num_rows > max_queries:
-        cut = queries.select(query_id).orderBy(query_id).limit(max_queries).agg(F.max(query_id)).first()[0]
-        return cosine_top_k(items, queries.where(F.col(query_id) <= cut), item_id, query_id, vector, k, max_queries).unionAll(cosine_top_k(items, queries.where(F.col(query_id) > cut), item_id, query_id, vector, k, max_queries))
+    usable = queries.select(query_id, vector).where(F.col(vector).isNotNull())
+    n_blocks = -(-usable.count() // max_queries)
+    if n_blocks > 1:
+        blocks = [usable.where(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b).toArrow() for b in range(n_blocks)]
+    else:
+        blocks = [usable.toArrow()]
+    found = [_nearest_to(items, block.slice(at, max_queries), item_id, query_id, vector, k) for block in blocks for at in range(0, max(block.num_rows, 1), max_queries)]
+    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id)
+    return reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest_to(items: DataFrame, rows: pa.Table, item_id: str, query_id: str, vector: str, k: int) -> DataFrame:
+    """(query_id, item_id, score) of each task's k items nearest to each of the queries in ``rows``."""
     ids = rows.column(0).to_numpy().astype(np.int64)
     q = np.array([np.asarray(v.as_py(), dtype=np.float64) for v in rows.column(1)]).reshape(len(ids), -1)
 
@@ -51,13 +61,39 @@ def cosine_top_k(items: DataFrame, queries: DataFrame, item_id: str, query_id: s
         for batch in batches:
             lists = batch.column(1)
             m = normed(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1))
-            s = np.round(q @ m.T, 9)
-            s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), s.shape)], axis=1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            step = max(1, (1 << 22) // max(1, len(ids)))
+            for at in range(0, len(m), step):  # at most 32 MB of scores at a time
+                s = np.round(q @ m[at : at + step].T, 9)
+                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy()[at : at + step], s.shape)], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=[query_id, item_id, "score"])
 
     usable = items.select(F.col(item_id).cast("long"), vector).where(F.col(vector).isNotNull())
-    near = usable.mapInArrow(run, f"{query_id} long, {item_id} long, score double")
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return usable.mapInArrow(run, f"{query_id} long, {item_id} long, score double")
+
+
+def near_vectors(items: DataFrame, item_id: str, vector: str, threshold: float = 0.95) -> DataFrame:
+    """(a, b, score) of pairs of vectors of one table with a cosine above the threshold, exactly.
+
+    Unit vectors with such a cosine are at most ``sqrt(2 - 2 * threshold)`` apart, and so, by the
+    triangle inequality, are their distances to any fixed point. Rows meet in cells of that width in
+    their distances to two pivots (that of the least id, and the one farthest from it), one side
+    in its own cell and the other in the nine around, so only near cells are paired.
+    """
+    rows = items.where(F.col(vector).isNotNull()).select(F.col(item_id).alias("i"), unit(F.col(vector)).alias("u")).where(F.exists("u", lambda x: x != 0))
+    width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    first = rows.select(F.min_by("u", "i").alias("u")).first()[0]
+    if first is None:
+        return rows.select(F.col("i").alias("a"), F.col("i").alias("b"), F.lit(0.0).alias("score")).limit(0)
+
+    def apart(pivot: list[float]) -> Column:
+        return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("u"), F.array(*map(F.lit, pivot)))))
+
+    placed = rows.withColumn("d0", apart(first))
+    second = placed.select(F.max_by("u", F.struct("d0", "i"))).first()[0]
+    cells = placed.select("i", "u", F.floor(F.col("d0") / width).alias("x"), F.floor(apart(second) / width).alias("y"))
+    around = F.explode(F.array(*(F.struct((F.col("x") + p).alias("x"), (F.col("y") + q).alias("y")) for p in (-1, 0, 1) for q in (-1, 0, 1))))
+    a = cells.select(F.col("i").alias("a"), F.col("u").alias("au"), around.alias("c")).select("a", "au", "c.x", "c.y")
+    joined = a.join(cells.select(F.col("i").alias("b"), F.col("u").alias("bu"), "x", "y"), ["x", "y"]).where("a < b")
+    return joined.select("a", "b", dot(F.col("au"), F.col("bu")).alias("score")).where(F.col("score") > threshold)

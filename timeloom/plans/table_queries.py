@@ -148,7 +148,7 @@ def j7_embedding_rows(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {_CHARGES} SELECT run_id, call_pos, CAST(CASE stage WHEN 'user' THEN 40.0 WHEN 'assistant' THEN 30.0 ELSE 0.0 END AS DOUBLE) AS money_limit FROM charges""")
 def j9_stage_limit(spark: SparkSession, d: str) -> DataFrame:
     lim = _limits(spark).where("stage <> 'system'")
-    return _charges(spark, d).join(F.broadcast(lim), "stage", "left").select("run_id", "call_pos", F.coalesce("money_limit", F.lit(0.0)).alias("money_limit"))
+    return _charges(spark, d).join(lim, "stage", "left").select("run_id", "call_pos", F.coalesce("money_limit", F.lit(0.0)).alias("money_limit"))
 
 
 @_query("""SELECT e.event_id FROM events e SEMI JOIN (SELECT doc_id AS user_id FROM labels WHERE toxic = 0) l USING (user_id)""")
@@ -216,7 +216,10 @@ def m3_fallback(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "conversations").select("conv_id", "turn", models.first_reply([first, F.concat("text", F.lit(" and a fallback that is long enough"))]).alias("reply"))
 
 
-@_query()
+@_query("""WITH RECURSIVE o AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, turn, k, sha256('writer' || chr(10) || text || chr(10)) AS md, sha256('writer' || chr(10) || text || chr(10)) AS written FROM o WHERE k = 1
+ UNION ALL SELECT conv_id, turn, k, md, written || chr(10) || md FROM (SELECT o.conv_id, o.turn, o.k, f.written, sha256('writer' || chr(10) || o.text || chr(10) || right(f.written, 2000)) AS md FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1))
+SELECT conv_id AS video_id, turn AS section_pos, md FROM f""")
 def m6_write_in_turn(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("section_pos"), F.col("text").alias("prompt"))
     return models.write_in_turn(s, models.FakeProvider)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeloom.functions import scalars
 from timeloom.operators import assemble, select, store, text
 from timeloom.plans.inputs import FRAMES, SEGMENTS, STRIP, frames, hms_sql, segments
-from timeloom.session import load
+from timeloom.session import load, spread
 from timeloom.sources import readers
 
 QUERIES: dict = {}
@@ -118,11 +118,11 @@ def s13_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {SEGMENTS} SELECT conv_id AS video_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seg_idx,
- turn * 3600.0::DOUBLE + turn + 0.5::DOUBLE AS "start", turn * 3600.0::DOUBLE + turn + 1 AS "end", turn || ' ' || {STRIP.format("replace(left(text, 60), chr(10), ' ')")} AS text FROM conversations""")
+ turn * 3600.0::DOUBLE + turn + 0.5::DOUBLE AS "start", turn * 3600.0::DOUBLE + turn + 1 AS "end", turn || ' ' || {STRIP.format("replace(text, chr(10), ' ')")} AS text FROM conversations""")
 def t1_vtt(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "conversations")
     stamp = F.format_string("%02d:00:%02d.500 --> %02d:00:%02d.000", "turn", "turn", "turn", F.col("turn") + 1)
-    block = F.concat(F.col("turn"), F.lit("\n"), stamp, F.lit("\n"), F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")))
+    block = F.concat(F.col("turn"), F.lit("\n"), stamp, F.lit("\n"), F.replace("text", F.lit("\n"), F.lit(" ")))
     lists = c.groupBy(F.col("conv_id").alias("video_id")).agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("x"))
     files = lists.select("video_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("x", lambda b: b["b"]), "\n\n")).alias("value"))
     return text.parse_captions(files).withColumn("seg_idx", F.col("seg_idx").cast("int"))
@@ -204,7 +204,21 @@ def t10_code_collection(spark: SparkSession, d: str) -> DataFrame:
     return assemble.collected_code(s, "conv_id").select("conv_id", "pos", "code")
 
 
-@_query()
+_TEN = """WITH m AS (SELECT conv_id, turn, rtrim({md}, chr(10)) AS md, turn % 4 <> 3 AS done,
+  CASE WHEN turn % 2 = 0 THEN 'js' ELSE 'python' END AS lang, CASE WHEN turn % 2 = 0 THEN 'let total = ' || (conv_id % 3) || ' + 1;' ELSE 'value_' || (conv_id % 5) || ' = compute(' || turn || ')' END AS code FROM conversations),
+c AS (SELECT conv_id, string_agg('```' || lang || chr(10) || code || chr(10) || '```' || chr(10), chr(10) ORDER BY turn) AS codes
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, code ORDER BY turn) AS r FROM m WHERE done) WHERE r = 1 GROUP BY conv_id),
+p AS (SELECT conv_id, count(*) AS planned, count(*) FILTER (done) AS n, bool_or(turn = 0) AS noted,
+  string_agg((turn + 1) || '. [Part ' || turn || '](#s' || turn || ')' || CASE WHEN done THEN '' ELSE ' ⚠️ 未生成' END, chr(10) ORDER BY turn) AS toc,
+  string_agg('> - **s' || turn || '** Part ' || turn || ' (' || {begin} || '-' || {end} || ')', chr(10) ORDER BY turn) FILTER (NOT done) AS lost,
+  string_agg('<a id="s' || turn || '"></a>' || chr(10) || md || chr(10), chr(10) ORDER BY turn) FILTER (done) AS body FROM m GROUP BY conv_id)
+SELECT conv_id AS video_id, concat_ws(chr(10), '# Video ' || conv_id || chr(10), '> UP主: up | 时长: 01:01:01 | 原视频: http://x' || chr(10),
+  CASE WHEN lost IS NOT NULL THEN '> ⚠️ **文档不完整**: ' || n || '/' || planned || chr(10) || lost || chr(10) END, '## 这个教程做什么' || chr(10) || 'topic' || chr(10),
+  '## 目录' || chr(10) || toc || chr(10), '## 步骤详解' || chr(10) || chr(10) || coalesce(body, ''), '## 完整代码合集' || chr(10) || chr(10) || codes,
+  CASE WHEN noted THEN '## 编辑备注' || chr(10) || chr(10) || '- [s0] **terms**: check' END) AS document FROM p LEFT JOIN c USING (conv_id)"""
+
+
+@_query(_TEN.format(md=_MD, begin=hms_sql("turn * 60"), end=hms_sql("turn * 60 + 60")))
 def t10_assemble(spark: SparkSession, d: str) -> DataFrame:
     md = _markdown(spark, d)
     key = F.col("conv_id").alias("video_id")
@@ -221,17 +235,17 @@ def d2_exact(spark: SparkSession, d: str) -> DataFrame:
     return select.exact_text_dedup(load(spark, d, "documents"), "text", ["doc_id"]).select("doc_id")
 
 
-@_query(f"""WITH {FRAMES} SELECT video_id, string_agg((frame_idx + 1) || '. [' || type || '] f' || event_id, chr(10) ORDER BY frame_idx) AS plan FROM frames WHERE frame_idx < 5 GROUP BY video_id""")
+@_query(f"""WITH {FRAMES} SELECT video_id, string_agg((frame_idx + 1) || '. [' || type || '] f' || event_id, chr(10) ORDER BY frame_idx) AS plan FROM frames GROUP BY video_id""")
 def r11_plan(spark: SparkSession, d: str) -> DataFrame:
     from timeloom.operators.timeline import ordered_text
 
     line = F.concat(F.col("frame_idx") + 1, F.lit(". ["), "type", F.lit("] f"), "event_id")
-    return ordered_text(frames(spark, d).where("frame_idx < 5"), ["video_id"], "frame_idx", line, "\n", "plan")
+    return ordered_text(frames(spark, d), ["video_id"], "frame_idx", line, "\n", "plan")
 
 
-@_query("SELECT doc_id, regexp_replace(regexp_replace(left(text, 300), '(?i)\\bthe\\b', 'DIE', 'g'), '(?i)\\bof\\b', 'VON', 'g') AS text FROM documents")
+@_query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'DIE', 'g'), '(?i)\\bof\\b', 'VON', 'g') AS text FROM documents")
 def d5_glossary(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").where("true").select("doc_id", F.left("text", F.lit(300)).alias("text"))
+    rows = spread(load(spark, d, "documents")).select("doc_id", "text")
     return store.canonical_terms(rows, {"the": "DIE", "of": "VON"}, "text")
 
 
@@ -239,7 +253,7 @@ def d5_glossary(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS g FROM w)
 SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g)::DOUBLE ELSE 0 END, 6) AS share FROM g""")
 def d6_ngram_health(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").select("doc_id", F.round(text.repeated_ngram_share(F.col("text")), 6).alias("share"))
+    rows = spread(load(spark, d, "documents")).select("doc_id", F.round(text.repeated_ngram_share(F.col("text")), 6).alias("share"))
     return rows
 
 

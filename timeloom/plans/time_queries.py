@@ -74,10 +74,9 @@ def r4_transcript(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {SECTIONS} SELECT video_id, section_id, CAST(i AS INTEGER) AS frame_idx, "start" + (i + 0.5::DOUBLE) / 0.001::DOUBLE AS "timestamp"
-FROM sections, range(0, 21) r(i) WHERE section_pos < 10""")
+FROM sections, range(0, 21) r(i)""")
 def r1_clock(spark: SparkSession, d: str) -> DataFrame:
-    s = sections(spark, d).where("section_pos < 10")
-    return timeline.sample_clock(s, 0.001).select("video_id", "section_id", "frame_idx", "timestamp")
+    return timeline.sample_clock(sections(spark, d), 0.001).select("video_id", "section_id", "frame_idx", "timestamp")
 
 
 @_query(f"""WITH {FRAMES} SELECT video_id, event_id, printf('f%04d', frame_idx) AS frame_id FROM frames""")
@@ -99,13 +98,13 @@ def r12_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 _TIMELINE = f"""WITH {SEGMENTS}, {FRAMES}, both_ AS (
 SELECT video_id, "start" AS ts, 0 AS rk, 'speech' AS kind, seg_idx AS idx, text AS content FROM segments
-UNION ALL SELECT video_id, "timestamp" / 5000, 1, 'frame', frame_idx, type FROM frames WHERE video_id < 60)
+UNION ALL SELECT video_id, "timestamp" / 5000, 1, 'frame', frame_idx, type FROM frames)
 """
 
 
 @_query(_TIMELINE + "SELECT video_id, ts, kind, idx, content, row_number() OVER (PARTITION BY video_id ORDER BY ts, rk, idx) AS position FROM both_")
 def u1_timeline(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).where("video_id < 60").select("video_id", (F.col("timestamp") / 5000).alias("timestamp"), "frame_idx", F.col("type").alias("description"))
+    f = frames(spark, d).select("video_id", (F.col("timestamp") / 5000).alias("timestamp"), "frame_idx", F.col("type").alias("description"))
     return timeline.merged_timeline(segments(spark, d), f)
 
 
@@ -193,7 +192,21 @@ def k4_bucket_topk(spark: SparkSession, d: str) -> DataFrame:
     return select.bucket_rank(frames(spark, d), "video_id", "timestamp", "score", "event_id").select("event_id", "bucket", "rank_in_bucket")
 
 
-@_query()
+_SPACED = f"""WITH RECURSIVE {FRAMES}, e AS (SELECT *, min("timestamp") OVER (PARTITION BY video_id) AS lo, max("timestamp") OVER (PARTITION BY video_id) AS hi FROM frames),
+b AS (SELECT *, CAST(least(floor(("timestamp" - lo) / ((CASE WHEN hi <= lo THEN lo + 1 ELSE hi END - lo) / 6)), 5) AS INTEGER) AS bucket FROM e),
+steps AS (SELECT video_id, "timestamp" AS t, bucket, true AS first_round, row_number() OVER (PARTITION BY video_id ORDER BY bucket, score DESC, "timestamp", event_id) AS k FROM b
+  UNION ALL SELECT video_id, "timestamp", bucket, false, count(*) OVER (PARTITION BY video_id) + row_number() OVER (PARTITION BY video_id ORDER BY score DESC, "timestamp", event_id) FROM b),
+fold AS (SELECT video_id, 0::BIGINT AS k, []::DOUBLE[] AS times, -1 AS bucket, 0 AS n FROM (SELECT DISTINCT video_id FROM frames)
+  UNION ALL SELECT video_id, k, CASE WHEN take THEN list_append(times, t) ELSE times END, bucket, n + take::INT FROM (
+    SELECT s.video_id, s.k, s.t, s.bucket, f.times, CASE WHEN f.bucket = s.bucket THEN f.n ELSE 0 END AS n,
+      len(list_filter(f.times, lambda x: abs(x - s.t) < 21600)) = 0 AND CASE WHEN s.first_round THEN CASE WHEN f.bucket = s.bucket THEN f.n ELSE 0 END < 2 ELSE len(f.times) < 12 END AS take
+    FROM fold f JOIN steps s ON s.video_id = f.video_id AND s.k = f.k + 1)),
+chosen AS (SELECT video_id, unnest(arg_max(times, k)) AS t FROM fold GROUP BY video_id)
+SELECT video_id, event_id, "timestamp", score FROM (SELECT f.*, row_number() OVER (PARTITION BY f.video_id, "timestamp" ORDER BY score DESC, event_id) AS r
+  FROM frames f JOIN chosen c ON c.video_id = f.video_id AND c.t = f."timestamp") WHERE r = 1"""
+
+
+@_query(_SPACED)
 def k4_spaced(spark: SparkSession, d: str) -> DataFrame:
     return select.spaced_top_k(frames(spark, d), "video_id", "timestamp", "score", "event_id", 12, 6 * 3600.0).select("video_id", "event_id", "timestamp", "score")
 
@@ -202,6 +215,12 @@ def _codes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select(F.lit(0).alias("grp"), "vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"))
 
 
+def _with_neighbours(codes: DataFrame) -> DataFrame:
+    """The codes, and each once more with three bits turned."""
+    turned = F.col("bits").bitwiseXOR(F.call_function("shiftleft", F.lit(7).cast("long"), (F.col("vec_id") % 50).cast("int")))
+    return codes.unionAll(codes.select("grp", (F.col("vec_id") + 1_000_000).alias("vec_id"), turned.alias("bits")))
+
+
 _CODES = """codes AS (SELECT vec_id, CAST(sum(CASE WHEN embedding[i + 1] > 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << i END) ELSE 0 END) AS BIGINT) AS bits
  FROM embeddings, range(0, 64) r(i) GROUP BY vec_id)"""
 
@@ -215,9 +234,10 @@ def d1_leader(spark: SparkSession, d: str) -> DataFrame:
     return select.leader_dedup(_codes(spark, d), "grp", ["vec_id"], "bits", 20).select("vec_id")
 
 
-@_query(f"""WITH {_CODES} SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM codes x JOIN codes y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 14""")
+@_query(f"""WITH {_CODES}, both_ AS (SELECT * FROM codes UNION ALL SELECT vec_id + 1000000, xor(bits, 7::BIGINT << (vec_id % 50)) FROM codes)
+SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM both_ x JOIN both_ y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 14""")
 def j14_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return select.hamming_pairs(_codes(spark, d), "grp", "vec_id", "bits", 14).select("a", "b", "distance")
+    return select.hamming_pairs(_with_neighbours(_codes(spark, d)), "grp", "vec_id", "bits", 14).select("a", "b", "distance")
 
 
 _UNIT = """u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"""

@@ -95,7 +95,7 @@ def read_limits(spark: SparkSession, path: str, rate: float) -> DataFrame:
     money: dict[str, float] = {}
     calls: dict[str, int] = {}
     section = None
-    for raw in (r.value for r in spark.read.text(path).limit(1000).collect()):
+    for raw in (r.value for r in spark.read.text(path).toLocalIterator()):
         line = raw.split("#")[0].rstrip()
         if not line.strip() or ":" not in line:
             continue
