@@ -205,3 +205,79 @@ def test_plans_push_filters_and_columns(spark, small):
     plan = QUERIES["x_pricing_summary"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan and "l_comment" not in plan and "l_orderkey" not in plan
     assert "CartesianProduct" not in QUERIES["j2_range_join"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_picture_hash_equals_a_plain_transform(spark):
+    import numpy as np
+
+    from timeloom.operators import models
+
+    rng = np.random.default_rng(1)
+    for shape in ((32, 32), (64, 96)):
+        grey = rng.random(shape)
+        small = grey.reshape(32, shape[0] // 32, 32, shape[1] // 32).mean(axis=(1, 3))
+        low = np.array([[sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]).ravel()
+        want = sum(1 << k for k in range(64) if low[k] > np.median(low))
+        assert models.perceptual_hash(grey) % (1 << 64) == want
+    files = spark.createDataFrame([("a", bytes(range(256)) * 4), ("b", None), ("c", b"short")], "path string, content binary")
+    decode = lambda b: np.frombuffer(b, np.uint8).astype(float).reshape(32, 32) if len(b) == 1024 else None
+    got = {r.path: r.phash_bits for r in models.hash_pictures(files, decode).collect()}
+    assert got["b"] is None and got["c"] is None and got["a"] is not None
+
+
+def test_near_vectors_and_odd_ones(spark):
+    from timeloom.operators import vectors
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [-1.0, 0.0]), (7, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    assert sorted((r.a, r.b) for r in vectors.near_vectors(df, "i", "v").collect()) == [(1, 2), (1, 7), (2, 7)]
+    assert vectors.near_vectors(df.limit(0), "i", "v").count() == 0
+    # More rows of one query id than a block holds, in slices.
+    queries = spark.createDataFrame([(9, [1.0, 0.0])] * 7, "q long, v array<double>")
+    best = vectors.cosine_top_k(df.where("i in (1, 3, 6)"), queries, "i", "q", "v", k=2, max_queries=3).collect()
+    assert sorted((r.i, r.rank) for r in best) == [(1, 1), (3, 2)]
+    assert vectors.cosine_top_k(df, queries.limit(0), "i", "q", "v").count() == 0
+
+
+def test_pairs_and_leaders_equal_brute_force(spark):
+    import random
+
+    from timeloom.operators import select
+
+    r = random.Random(2)
+    seeds = [r.getrandbits(64) for _ in range(20)]
+    codes = [s ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 20))) for s in seeds for _ in range(12)]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    df = spark.createDataFrame([(i % 2, i, c) for i, c in enumerate(signed)] + [(0, 999, None)], "k long, i long, h long")
+    for threshold in (3, 5, 14):
+        want = {(a, b) for b in range(len(codes)) for a in range(b) if a % 2 == b % 2 and bin(codes[a] ^ codes[b]).count("1") <= threshold}
+        got = select.hamming_pairs(df, "k", "i", "h", threshold).collect()
+        assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
+        kept: dict[int, list[int]] = {0: [], 1: []}
+        for i, c in enumerate(codes):
+            if all(bin(c ^ codes[j]).count("1") > threshold for j in kept[i % 2]):
+                kept[i % 2].append(i)
+        assert sorted(x.i for x in select.leader_dedup(df, "k", ["i"], "h", threshold).collect()) == sorted(kept[0] + kept[1])
+
+
+def test_running_tail_is_bounded(spark):
+    from timeloom.operators import timeline
+
+    texts = ["ab", "", "cdef", "g" * 30, "h", "", "ij"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "k long, o long, t string")
+    got = {r.o: r.written_tail for r in timeline.running_tail(df, "k", "o", "t", 8).collect()}
+    assert got == {i: "\n".join(texts[:i])[-8:] for i in range(len(texts))}
+
+
+def test_small_helpers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from timeloom.functions.scalars import render
+    from timeloom.sources import readers
+
+    assert spark.range(1).select(render("{{{a}}} {b}", a=F.lit(1), b=F.lit(None)).alias("x")).first().x == "{1} "
+    listing = spark.createDataFrame([("a",), ("a",)], "path string")
+    assert [r.path for r in readers.existing(spark.createDataFrame([("a",), ("b",)], "path string"), listing).collect()] == ["a"]
+    long = "money:\n" + "".join(f"  s{i}: {i}\n" for i in range(1500))
+    (tmp_path / "c.yaml").write_text(long)
+    assert readers.read_limits(spark, str(tmp_path / "c.yaml"), 1.0).count() == 1500

@@ -96,3 +96,19 @@ def hamming(a: Column, b: Column) -> Column:
 def hash_bits(hex16: Column) -> Column:
     """64-bit hash from 16 hex digits; null for an empty string."""
     return F.conv(F.nullif(hex16, F.lit("")), 16, -10).cast("long")
+
+
+def render(template: str, **values: Column) -> Column:
+    """A template with ``{name}`` places filled in; doubled braces stand for themselves.
+
+    A null value is an empty text, and a name without a value is an error.
+    """
+    import string
+
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(F.lit(""), *parts)

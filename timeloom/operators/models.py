@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,3 +77,86 @@ def write_in_turn(sections: DataFrame, make: Callable[[], Provider], *, key: str
 
     t = dict(sections.dtypes)
     return sections.groupBy(key).applyInPandas(run, f"{key} {t[key]}, {order} {t[order]}, md string")
+
+
+class Embedder(Protocol):
+    """A vector model: texts (or images as bytes) in, rows of floats out."""
+
+    def embed(self, inputs: list) -> np.ndarray: ...
+
+
+class FakeEmbedder:
+    """Deterministic vectors for tests: the first bytes of a hash of the input, as parts of 255."""
+
+    def __init__(self, size: int = 8):
+        self.size = size
+
+    def embed(self, inputs: list) -> np.ndarray:
+        digests = [hashlib.sha256(x if isinstance(x, bytes) else str(x).encode()).digest() for x in inputs]
+        return np.array([list(d[: self.size]) for d in digests], dtype=np.float64).reshape(len(inputs), self.size) / 255
+
+
+def embed(rows: DataFrame, make: Callable[[], Embedder], column: str, name: str = "embedding") -> DataFrame:
+    """The rows with the vector of a column (text or binary); null has none.
+
+    A model is made once in each task and gets a batch at a time. Write the result before it
+    is used twice.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            some = batch[column].notna().to_numpy()
+            vectors = iter(model.embed(batch[column][some].tolist()).tolist() if some.any() else [])
+            yield batch.assign(**{name: [next(vectors) if s else None for s in some]})
+
+    return rows.mapInPandas(run, schema)
+
+
+def perceptual_hash(grey: np.ndarray) -> int:
+    """A 64-bit hash of a grey picture, as a signed long, bit k being entry k in reading order.
+
+    The picture is averaged down to 32 by 32, and of its cosine transform the 8 by 8 lowest
+    frequencies are held against their median.
+    """
+    rows, columns = (np.linspace(0, n, 33).astype(int) for n in grey.shape)
+    small = np.array([[grey[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(columns[:-1], columns[1:], strict=True)] for a, b in zip(rows[:-1], rows[1:], strict=True)])
+    k = np.arange(32)
+    cosines = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64)[:8]
+    low = (cosines @ small @ cosines.T).ravel()
+    bits = low > np.median(low)
+    return int(np.array([sum(1 << i for i in np.flatnonzero(bits).tolist())], dtype=np.uint64).view(np.int64)[0])
+
+
+def hash_pictures(files: DataFrame, decode: Callable[[bytes], np.ndarray | None], content: str = "content", name: str = "phash_bits") -> DataFrame:
+    """The files (of a ``binaryFile`` scan) with the perceptual hash of each; null where nothing can be decoded.
+
+    ``decode`` turns a file's bytes into a grey picture.
+    """
+    schema = T.StructType([*(f for f in files.schema.fields if f.name != content), T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pictures = [decode(b) if b is not None else None for b in batch[content]]
+            yield batch.drop(columns=content).assign(**{name: pd.array([perceptual_hash(p) if p is not None and p.size else None for p in pictures], dtype="Int64")})
+
+    return files.mapInPandas(run, schema)
+
+
+def probe(models: DataFrame, make: Callable[[], Provider], *, model: str = "model", prompt: str = "ping") -> DataFrame:
+    """(model, ok, error): whether each model replies at all; an error is its first line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make()
+        for batch in batches:
+            rows = []
+            for name in batch[model]:
+                try:
+                    reply = provider.complete(name, [prompt], 16, 0.0)[0]
+                    rows.append((name, bool(reply[0] or reply[1]), None if reply[0] or reply[1] else "no reply"))
+                except Exception as e:  # a probe reports whatever goes wrong
+                    rows.append((name, False, str(e).split("\n")[0]))
+            yield pd.DataFrame(rows, columns=["model", "ok", "error"])
+
+    return models.select(model).mapInPandas(run, "model string, ok boolean, error string")

@@ -32,7 +32,8 @@ def cosine_top_k(items: DataFrame, queries: DataFrame, item_id: str, query_id: s
     Query vectors go to every task (their number is checked against ``max_queries``); a task
     multiplies each batch of items with all of them and keeps its own k best, so what is
     shuffled is k rows for each query and task. Ties go to the lower id. Beyond the bound the
-    queries are taken in blocks, dealt by a hash of their id; rows of one id are sliced.
+    queries are taken in blocks, dealt by a hash of their id; rows of one id are sliced, and an
+    item counts with its best score for any of them.
     """
     usable = queries.select(query_id, vector).where(F.col(vector).isNotNull())
     n_blocks = -(-usable.count() // max_queries)
@@ -40,9 +41,12 @@ def cosine_top_k(items: DataFrame, queries: DataFrame, item_id: str, query_id: s
         blocks = [usable.where(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b).toArrow() for b in range(n_blocks)]
     else:
         blocks = [usable.toArrow()]
-    found = [_nearest_to(items, block.slice(at, max_queries), item_id, query_id, vector, k) for block in blocks for at in range(0, max(block.num_rows, 1), max_queries)]
+    found = [_nearest_to(items, block.slice(at, max_queries), item_id, query_id, vector, k) for block in blocks for at in range(0, block.num_rows, max_queries)]
+    if not found:
+        return items.select(F.lit(None).cast("long").alias(query_id), F.col(item_id).cast("long").alias(item_id), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), item_id)
-    return reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    nearest = reduce(DataFrame.unionAll, found).groupBy(query_id, item_id).agg(F.max("score").alias("score"))
+    return nearest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _nearest_to(items: DataFrame, rows: pa.Table, item_id: str, query_id: str, vector: str, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +128,64 @@ def x_session_stream(spark: SparkSession, d: str) -> DataFrame:
     s = streams.file_stream(spark, d, events.schema, "events.parquet")
     out = streams.drain(streams.session_stream(s, "user_id", "ts", "6 hours", "1 day"), f"sessions_{uuid.uuid4().hex[:8]}")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_events")
+
+
+@_query("""SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '2000-01-01') - INTERVAL '2 hours' * i FOR i IN range(0, 3)]) AS w FROM events) GROUP BY 1, 2""")
+def x_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Counts in windows of six hours, one every two hours."""
+    return load(spark, d, "events").groupBy(F.window("ts", "6 hours", "2 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+@_query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def x_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    keys = [F.col(c) for c in rows.columns]
+    return rows.groupingSets([keys[:2], keys[2:], []], *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_regionkey <> r_regionkey")
+def x_cross(spark: SparkSession, d: str) -> DataFrame:
+    """Two fixed small dimensions."""
+    return load(spark, d, "region").crossJoin(load(spark, d, "nation")).where("n_regionkey <> r_regionkey").select("r_name", "n_name")
+
+
+@_query("SELECT p_partkey, band FROM part JOIN (VALUES ('low', 0.0, 950.0), ('mid', 950.0, 1250.0), ('high', 1250.0, 1e9)) b(band, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi")
+def x_price_bands(spark: SparkSession, d: str) -> DataFrame:
+    """A join on inequalities alone, against three bands: a nested loop over a broadcast side of three rows."""
+    bands = spark.createDataFrame([("low", 0.0, 950.0), ("mid", 950.0, 1250.0), ("high", 1250.0, 1e9)], "band string, lo double, hi double")
+    p = load(spark, d, "part")
+    return p.join(F.broadcast(bands), (p.p_retailprice >= bands.lo) & (p.p_retailprice < bands.hi)).select("p_partkey", "band")
+
+
+@_query("SELECT conv_id, turn, CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS tokens FROM conversations")
+def x_udf(spark: SparkSession, d: str) -> DataFrame:
+    """A vectorised scalar function over Arrow batches."""
+    @F.pandas_udf("long")
+    def tokens(text: pd.Series) -> pd.Series:
+        return -(-text.str.len() // 4)
+
+    return load(spark, d, "conversations").select("conv_id", "turn", tokens("text").alias("tokens"))
+
+
+@_query("SELECT event_type, round(sum(value * value) / sum(value), 6) AS weighted FROM events GROUP BY event_type")
+def x_udaf(spark: SparkSession, d: str) -> DataFrame:
+    """A vectorised aggregate: each value weighed by itself. It needs a group's values together, so they are summed by part first."""
+    @F.pandas_udf("double")
+    def ratio(above: pd.Series, below: pd.Series) -> float:
+        return above.sum() / below.sum()
+
+    parts = load(spark, d, "events").groupBy("event_type", F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")).agg(F.sum(F.col("value") * F.col("value")).alias("above"), F.sum("value").alias("below"))
+    return parts.groupBy("event_type").agg(F.round(ratio("above", "below"), 6).alias("weighted"))
+
+
+@_query("SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, parts[i] AS part FROM (SELECT page_id, string_split(url, '/') AS parts FROM pages), range(1, 100) r(i) WHERE i <= len(parts)")
+def x_udtf(spark: SparkSession, d: str) -> DataFrame:
+    """A table function: rows of the parts of each address."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="pos int, part string")
+    class Parts:
+        def eval(self, url: str):
+            yield from enumerate(url.split("/"))
+
+    return load(spark, d, "pages").lateralJoin(Parts(F.col("url").outer())).select("page_id", "pos", "part")
