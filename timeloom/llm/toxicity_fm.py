@@ -26,6 +26,8 @@ MIN_SEEN = 4
 ALONE, TOGETHER = 10.8, 50.0
 #: Terms whose pairs are held against each other, the most frequent ones.
 PAIR_TERMS = 4096
+#: Documents times terms up to which a fit holds them as a table (64 MB).
+DENSE_CELLS = 1 << 24
 
 MODULUS, HELD_OUT = 5, 0
 
@@ -69,33 +71,39 @@ class FactorizationMachine:
         return self.bias + linear + 0.5 * cross
 
 
-def _telling(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The terms that tell the classes apart by themselves (chi-square over ``ALONE``)."""
-    n_buckets, n1, n0 = 1 << BUCKET_BITS, y.sum(), (1 - y).sum()
-    doc, flat = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms)
-    a, seen, n = np.bincount(flat, weights=y[doc], minlength=n_buckets), np.bincount(flat, minlength=n_buckets), n1 + n0
+def _telling(seen: np.ndarray, toxic: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The terms that tell the classes apart by themselves (chi-square over ``ALONE``).
+
+    ``seen`` and ``toxic`` are the documents, and the toxic ones, that hold each term.
+    """
+    a, n = toxic.astype(np.float64), n1 + n0
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(n * (a * (n0 - seen + a) - (seen - a) * (n1 - a)) ** 2 / (n1 * n0 * seen * (n - seen)))
+        chi = np.nan_to_num(n * (a * (n0 - seen + a) - (seen - a) * (n1 - a)) ** 2 / (float(n1 * n0) * seen * (n - seen)))
     return np.flatnonzero((chi > ALONE) & (seen >= MIN_SEEN))
 
 
+def _frequent(seen: np.ndarray, n: int) -> np.ndarray:
+    """The terms whose pairs are scored: the ``PAIR_TERMS`` most frequent of those that one document in a hundred holds."""
+    often = np.flatnonzero(seen >= max(MIN_SEEN, n / 100))
+    return np.sort(often[np.argsort(-seen[often], kind="stable")][:PAIR_TERMS])
+
+
 def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.ndarray, block: int = 512) -> np.ndarray:
     """The terms of pairs whose presence together tells what the model so far leaves open.
 
     A pair's score is the square of its documents' summed residuals over their variance. All
-    pairs of terms that at least one document in a hundred holds are scored, as products of
-    blocks of columns, of the ``PAIR_TERMS`` most frequent such terms at most.
+    pairs of :func:`_frequent` terms are scored, as products of blocks of columns.
     """
-    flat, doc = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    seen = np.bincount(flat, minlength=1 << BUCKET_BITS)
-    often = np.flatnonzero(seen >= max(MIN_SEEN, len(terms) / 100))
-    often = np.sort(often[np.argsort(-seen[often], kind="stable")][:PAIR_TERMS])
+    flat, doc = np.concatenate(terms), np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    often = _frequent(np.bincount(flat, minlength=1 << BUCKET_BITS), len(terms))
     place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     place[often] = np.arange(len(often))
-    doc, at = doc[place[flat] >= 0], place[flat][place[flat] >= 0]
+    at = place[flat]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
 
     def columns(k: int) -> np.ndarray:
-        inside = (at >= k) & (at < k + block)
+        inside = slice(*np.searchsorted(at, [k, k + block]))
         x = np.zeros((len(terms), min(block, len(often) - k)), dtype=np.float32)
         x[doc[inside], at[inside] - k] = 1
         return x
@@ -116,7 +124,7 @@ def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.nda
     return often[told]
 
 
-def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, factors: int = 6, rounds: int = 250, rate: float = 0.03, decay: float = 5e-3, seed: int = 7) -> FactorizationMachine:
+def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, factors: int = 6, rounds: int = 80, rate: float = 0.03, decay: float = 5e-3, seed: int = 7) -> FactorizationMachine:
     """Weights and factors of the ``known`` terms by adaptive steps over all rows, classes weighing the same."""
     n1, n0 = y.sum(), (1 - y).sum()
     place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
@@ -124,26 +132,37 @@ def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, facto
     rows = [place[t][place[t] >= 0] for t in terms]
     size = np.array([len(t) for t in rows])
     doc, at = np.repeat(np.arange(len(rows)), size), np.concatenate(rows)
-    full, by_term = np.flatnonzero(size), np.argsort(at, kind="stable")
-    row_begin, term_begin = (np.cumsum(size) - size)[full], np.searchsorted(at[by_term], np.arange(len(known)))
+    dense = len(rows) * len(known) <= DENSE_CELLS
+    if dense:
+        x = np.zeros((len(rows), max(1, len(known))), dtype=np.float32)
+        x[doc, at] = 1
+    else:
+        full, by_term = np.flatnonzero(size), np.argsort(at, kind="stable")
+        row_begin, term_begin, doc_by_term = (np.cumsum(size) - size)[full], np.searchsorted(at[by_term], np.arange(len(known))), doc[by_term]
 
     def by_row(values: np.ndarray) -> np.ndarray:
+        """Sums of the terms' values over the terms of each document."""
+        if dense:
+            return x @ values
         out = np.zeros((len(rows), *values.shape[1:]), dtype=np.float32)
-        out[full] = np.add.reduceat(values, row_begin, axis=0)
+        out[full] = np.add.reduceat(values[at], row_begin, axis=0)
         return out
 
+    def by_known(values: np.ndarray) -> np.ndarray:
+        """Sums of the documents' values over the documents of each term."""
+        return x.T @ values if dense else np.add.reduceat(values[doc_by_term], term_begin, axis=0)
+
     rng = np.random.default_rng(seed)
     w = np.zeros(max(1, len(known)), dtype=np.float32)
     v = rng.normal(0, 0.02, (len(w), factors)).astype(np.float32)
     bias, gains = np.float32(np.log(n1 / n0)), [np.full_like(w, 1e-6), np.full_like(v, 1e-6), np.float32(1e-6)]
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
     for _ in range(rounds if len(at) else 0):
-        value = v[at]
-        xv = by_row(value)
-        m = bias + by_row(w[at]) + 0.5 * ((xv**2).sum(1) - by_row((value**2).sum(1)))
+        xv = by_row(v)
+        m = bias + by_row(w) + 0.5 * ((xv**2).sum(1) - by_row((v**2).sum(1)))
         g = weight * (sigmoid(m) - y).astype(np.float32)
-        each = g[doc][by_term]
-        grads = [np.add.reduceat(each, term_begin) + decay * w, np.add.reduceat(each[:, None] * (xv[doc] - value)[by_term], term_begin, axis=0) + decay * v, g.sum()]
+        each = by_known(g)
+        grads = [each + decay * w, by_known(g[:, None] * xv) - v * each[:, None] + decay * v, g.sum()]
         moves = []
         for k, grad in enumerate(grads):
             gains[k] = 0.95 * gains[k] + 0.05 * grad**2
@@ -164,8 +183,8 @@ def fit(terms: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1 or not n0:
         return FactorizationMachine(np.full(1 << BUCKET_BITS, -1, dtype=np.int32), np.zeros(1), np.zeros((1, 1)), -1.0)
-    doc, flat = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms)
-    known = _telling(terms, y)
+    doc, flat = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms]), np.concatenate(terms)
+    known = _telling(np.bincount(flat, minlength=1 << BUCKET_BITS), np.bincount(flat, weights=y[doc], minlength=1 << BUCKET_BITS), n1, n0)
     # Pairs are held against a machine with hardly any decay, which leaves open no more than it must.
     close = _descend(terms, y, known, decay=2e-4)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
@@ -178,16 +197,20 @@ def fit(terms: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
 def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold.
 
-    Only texts are inputs. Terms are counted on the executors; of each sampled document they
-    send the distinct buckets of terms that at least ``MIN_SEEN`` of the documents hold. So the
-    driver gets at most 2 * ``per_class`` lists, each of at most 2 ** ``BUCKET_BITS`` numbers, and
-    as a rule of a few hundred.
+    Only texts are inputs. Terms are counted on the executors. The counts tell which terms tell
+    by themselves or are frequent, and of each sampled document the executors send these alone:
+    at most 2 * ``per_class`` lists of as a rule some hundred numbers.
     """
     rows = cut(training_rows(documents, labels, "toxic", MODULUS, HELD_OUT, per_class).mapInArrow(_terms_of, "doc_id long, y int, terms array<int>"))
-    often = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEN)
-    known = np.zeros(1 << BUCKET_BITS, dtype=bool)
-    known[often.select("term").toArrow().column("term").to_numpy()] = True
-    got = rows.mapInArrow(_only(known), "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    n1, n0 = rows.select(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a")).where(F.col("n") >= MIN_SEEN).toArrow()
+    seen, toxic = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+    at = counts.column("term").to_numpy()
+    seen[at], toxic[at] = counts.column("n").to_numpy(), counts.column("a").to_numpy()
+    wanted = np.zeros(1 << BUCKET_BITS, dtype=bool)
+    wanted[_telling(seen, toxic, n1, n0)] = True
+    wanted[_frequent(seen, n1 + n0)] = True
+    got = rows.mapInArrow(_only(wanted), "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     terms = got.column("terms").combine_chunks() if got.num_rows else pa.array([], type=pa.list_(pa.int32()))
     return fit([np.asarray(t.values) for t in terms], got.column("y").to_numpy().astype(np.float64))
 
