@@ -12,8 +12,25 @@ from timeloom.llm.textkernel import same_ranges
 Learn = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+class _Growing:
+    """An array that is appended to; room is doubled when it runs out."""
+
+    def __init__(self, dtype: type, spare: int = 0):
+        self.spare, self.n = spare, 0
+        self.room = np.zeros(1 << 12, dtype)
+
+    def append(self, values: np.ndarray) -> None:
+        need = self.n + len(values) + self.spare
+        if need > len(self.room):
+            room = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class IdPool:
-    """Ranges of bytes and their ids, kept in flat arrays and sorted by hash.
+    """Ranges of bytes and their ids, appended to flat arrays and found by an index sorted by hash.
 
     A pool of more than ``max_keys`` ranges or ``max_bytes`` bytes is emptied, which costs time
     but changes no result.
@@ -24,19 +41,20 @@ class IdPool:
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros(0, np.uint64)
-        self.ids = np.zeros(0, self.dtype)
-        self.begin = self.size = self.text_begin = self.text_size = np.zeros(0, np.int64)
-        self.text = np.zeros(0, np.uint8)
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.text = _Growing(self.dtype), _Growing(np.uint8, spare=8)
+        self.begin, self.size, self.text_begin, self.text_size = (_Growing(np.int64) for _ in range(4))
 
     def _add(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray, texts: list[bytes]) -> None:
         at = np.searchsorted(self.key, key)
+        self.key, self.row = np.insert(self.key, at, key), np.insert(self.row, at, np.arange(self.size.n, self.size.n + len(key), dtype=np.int32))
         length = np.array([len(t) for t in texts], np.int64)
-        fields = {"key": key, "begin": len(self.ids) + np.cumsum(size) - size, "size": size, "text_begin": len(self.text) + np.cumsum(length) - length, "text_size": length}
-        for name, new in fields.items():
-            setattr(self, name, np.insert(getattr(self, name), at, new))
-        self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
-        self.text = np.concatenate([self.text, np.frombuffer(b"".join(texts), np.uint8)])
+        self.begin.append(self.ids.n + np.cumsum(size) - size)
+        self.text_begin.append(self.text.n + np.cumsum(length) - length)
+        self.size.append(size)
+        self.text_size.append(length)
+        self.ids.append(flat)
+        self.text.append(np.frombuffer(b"".join(texts), np.uint8))
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, learn: Learn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the ranges in turn, where each range's ids end (from 0 on), and which ranges are wrong.
@@ -47,7 +65,7 @@ class IdPool:
         if not len(key):
             return np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, bool)
         distinct, seen, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.key) > self.max_keys or len(self.text) > self.max_bytes:
+        if len(self.key) > self.max_keys or self.text.n > self.max_bytes:
             self.reset()
         at = np.minimum(np.searchsorted(self.key, distinct), max(len(self.key) - 1, 0))
         new = np.flatnonzero(self.key[at] != distinct) if len(self.key) else np.arange(len(distinct))
@@ -56,11 +74,13 @@ class IdPool:
             flat, size = learn(rows)
             self._add(distinct[new], flat, size, [raw[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist(), strict=True)])
             at = np.searchsorted(self.key, distinct)
-        length, own = end - start, start[seen]
+        row = self.row[at]
+        length = end - start
         first = length[seen]
-        wrong = (self.text_size[at] != first) | ~same_ranges(data, own, self.text, self.text_begin[at], np.minimum(first, self.text_size[at]))
-        wrong = wrong[which] | (length != first[which]) | ~same_ranges(data, start, data, own[which], np.minimum(length, first[which]))
-        at = at[which]
-        size = self.size[at]
+        held = self.text_size.room[row]
+        other = ~same_ranges(data, start[seen], self.text.room[: self.text.n + 8], self.text_begin.room[row], np.minimum(first, held), padded=True)
+        rep = seen[which]
+        wrong = (other | (held != first))[which] | (length != length[rep]) | ~same_ranges(data, start, data, start[rep], np.minimum(length, length[rep]))
+        size = self.size.room[row][which]
         ends = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])], ends, wrong
+        return self.ids.room[np.repeat(self.begin.room[row][which] - ends[:-1], size) + np.arange(ends[-1])], ends, wrong

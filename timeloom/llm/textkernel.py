@@ -71,10 +71,13 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return value
 
 
-def same_ranges(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether ``size`` bytes from ``start_a`` of ``a`` equal those from ``start_b`` of ``b``."""
+def same_ranges(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray, padded: bool = False) -> np.ndarray:
+    """Whether ``size`` bytes from ``start_a`` of ``a`` equal those from ``start_b`` of ``b``.
+
+    ``padded``: b has eight bytes to spare at its end, so it need not be copied.
+    """
     wide_a = _lanes(a)
-    wide_b = wide_a if b is a else _lanes(b)
+    wide_b = wide_a if b is a else np.ndarray((len(b) - 7,), dtype="<u8", buffer=b, strides=(1,)) if padded else _lanes(b)
     same = ((wide_a[start_a] ^ wide_b[start_b]) & _KEEP[np.minimum(size, 8)]) == 0
     live, k = np.flatnonzero(same & (size > 8)), 8
     while len(live) and k < LANE_BYTES:
@@ -132,21 +135,22 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), off.astype(np.int64)
 
 
-def blocks(column: pa.Array, breaks: np.ndarray = SPACES, fold_case: bool = False, block_bytes: int = BLOCK_BYTES, split_marks: bool = False) -> Iterator[Block]:
+def blocks(column: pa.Array, breaks: np.ndarray = SPACES, fold_case: bool = False, block_bytes: int = BLOCK_BYTES, split_marks: bool = False, fold_ascii_words: bool = False) -> Iterator[Block]:
     """The documents of a column, in blocks of about ``block_bytes``.
 
     ``split_marks``: words also end between an ASCII letter and an ASCII digit, and between
-    either and an ASCII mark other than the apostrophe.
+    either and an ASCII mark other than the apostrophe. ``fold_ascii_words``: case is folded in
+    words without other characters alone, as others may compose differently in either case.
     """
     data, off = string_buffers(column)
     row, n = 0, len(column)
     while row < n:
         stop = max(row + 1, int(np.searchsorted(off, off[row] + block_bytes, side="right")) - 1)
-        yield _block(row, data[off[row] : off[stop]], off[row : stop + 1] - off[row], breaks, fold_case, split_marks)
+        yield _block(row, data[off[row] : off[stop]], off[row : stop + 1] - off[row], breaks, fold_case, split_marks, fold_ascii_words)
         row = stop
 
 
-def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fold_case: bool, split_marks: bool = False) -> Block:
+def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fold_case: bool, split_marks: bool = False, fold_ascii_words: bool = False) -> Block:
     n = len(data)
     inside = ~breaks[data]
     before = np.zeros(n, dtype=bool)
@@ -165,6 +169,14 @@ def _block(row0: int, data: np.ndarray, off: np.ndarray, breaks: np.ndarray, fol
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     folded = _FOLD[data] if fold_case else data
+    if fold_ascii_words and (high := data >= 128).any():
+        seen = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(high, out=seen[1:])
+        wide = np.flatnonzero(seen[end] > seen[start])
+        edge = np.zeros(n + 1, dtype=np.int8)
+        edge[start[wide]] = 1
+        edge[end[wide]] -= 1
+        folded = np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, data, folded)
     return Block(row0, data, off, start, end, np.searchsorted(start, off), hash_ranges(folded, start, end), folded)
 
 

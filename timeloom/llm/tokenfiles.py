@@ -60,23 +60,29 @@ class WordEncoder:
         return [e.ids for k in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of distinct words, and the number of each.
+        """All ids of distinct words (ASCII words in lower case), and the number of each.
 
         A word of lower-case letters alone passes the normaliser unchanged and is one piece
         before merges, so such words are encoded many at a time; ids that close a word part
         them again.
         """
-        texts = [w.decode().lower() if max(w) >= 128 else w.lower().decode() for w in words]
-        plain = np.array([t.isalpha() and (t.isascii() or (max(t) < "\u0250" and unicodedata.is_normalized("NFC", t))) for t in texts], bool)
-        size, begin, used, flats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0, []
-        letters, odd = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        size, begin, used, flats = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0, []
+        letters, odd = [], []
+        for i, w in enumerate(words):
+            if w.isalpha():  # ASCII letters
+                letters.append((i, w))
+            elif not w.isascii() and (t := w.decode().lower()).isalpha() and max(t) < "\u0250" and unicodedata.is_normalized("NFC", t):
+                letters.append((i, t.encode()))
+            else:
+                odd.append(i)
         for k in range(0, len(letters), 512):
-            at = letters[k : k + 512]
-            flat = np.array(self.plain.encode_batch_fast([" ".join([texts[i] for i in at])], add_special_tokens=False)[0].ids, self.pool.dtype)
+            at, some = zip(*letters[k : k + 512], strict=True)
+            flat = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.pool.dtype)
             ends = np.flatnonzero(self.closes[flat]) + 1
             if len(ends) != len(at):
                 odd += at
                 continue
+            at = list(at)
             size[at] = np.diff(ends, prepend=0)
             begin[at] = used + ends - size[at]
             flats.append(flat)
@@ -93,7 +99,7 @@ class WordEncoder:
         documents with a word whose bytes are not those that its hash found."""
 
         def learn(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            raw = block.data.tobytes()
+            raw = block.folded.tobytes()
             return self._learn([raw[s:e] for s, e in zip(block.start[rows].tolist(), block.end[rows].tolist(), strict=True)])
 
         flat, ends, wrong = self.pool.encode(block.folded, block.start, block.end, block.hash, learn)
@@ -112,9 +118,9 @@ class WordEncoder:
                 ids = np.array(self._ids([raw[offset[row] : offset[row + 1]].decode()])[0], np.int32)
                 yield row, ids, np.array([len(ids)], np.int64)
             return
-        for block in blocks(texts, fold_case=True, split_marks=True, block_bytes=600_000):
+        for block in blocks(texts, fold_case=True, split_marks=True, block_bytes=600_000, fold_ascii_words=True):
             flat, totals, odd = self.encode(block)
-            folded, whole = block.folded.tobytes(), set(odd.tolist())
+            folded, whole = block.data.tobytes().lower() if self.added else b"", set(odd.tolist())
             if any(t in folded for t in self.added):
                 texts_of = (folded[a:b] for a, b in zip(block.offset[:-1], block.offset[1:], strict=True))
                 whole.update(d for d, text in enumerate(texts_of) if any(t in text for t in self.added))
