@@ -66,4 +66,57 @@ SELECT g.doc_id, (SELECT min(r.b) FROM r WHERE r.a = g.doc_id) AS class_id, coal
 FROM g LEFT JOIN c ON c.a = g.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": SHARDING, "op4_warc": ARCHIVES, "op10_jaccard": JACCARD}
+def _vector_codes(rounds: int = 4) -> str:
+    """Each round: the nearest entry by (distance, index), then the floor of the mean where an entry is used."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""
+n{r} AS MATERIALIZED (
+    SELECT i, p, v, min((list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))::HUGEINT * 256 + e) AS m
+    FROM parts JOIN c{r} USING (p) GROUP BY i, p, v
+), s{r} AS (SELECT p, m % 256 AS e, k, floor(sum(v[k]) / count(*)) AS mean FROM n{r}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM parts) + 1)) AS k) GROUP BY p, m % 256, k),
+c{r + 1} AS MATERIALIZED (
+    SELECT c{r}.p, c{r}.e, coalesce(u.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT p, e, list(mean ORDER BY k) AS c FROM s{r} GROUP BY p, e) u ON u.p = c{r}.p AND u.e = c{r}.e
+)""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, x) AS i FROM kept),
+parts AS MATERIALIZED (SELECT i, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS v FROM numbered, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, (i - 1)::HUGEINT AS e, v AS c FROM parts WHERE i <= 256),
+{",".join(steps)},
+last AS MATERIALIZED (
+    SELECT i, p, min((list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))::HUGEINT * 256 + e) AS m FROM parts JOIN c{rounds} USING (p) GROUP BY i, p
+), rows AS (SELECT i, string_agg(format('{{:02x}}', (m % 256)::INT), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM last GROUP BY i),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM numbered JOIN rows USING (i), books
+"""
+
+
+MIXING = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
+    FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2 AS lim FROM s),
+o AS (
+    SELECT *, row_number() OVER b AS rank,
+        (sum(source_size) OVER () * 150 - 100 * coalesce(sum(lim) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS rest,
+        100.0 * (sum(weight) OVER () - coalesce(sum(weight) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS heavy
+    FROM w WINDOW b AS (ORDER BY lim / weight, source NULLS LAST)
+), level AS (SELECT rest, heavy FROM o WHERE lim * heavy >= weight * rest ORDER BY rank LIMIT 1),
+t AS (SELECT source, source_size, least(lim::DOUBLE, weight * level.rest / level.heavy) AS target FROM o, level),
+g AS (SELECT source, h, count(*) AS n, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS before FROM d GROUP BY source, h),
+turns AS (SELECT t.*, least(greatest(target - k * source_size, 0), source_size) AS budget FROM t, range(2) r(k)),
+taken AS (
+    SELECT g.source, g.h, sum(CASE WHEN before + words <= budget THEN n WHEN before >= budget OR words = 0 THEN 0 ELSE least(n, floor((budget - before) * n / words + 0.5)) END) AS rows_taken, any_value(n) AS n, any_value(target) AS target, any_value(source_size) AS source_size,
+        list(CASE WHEN before + words <= budget THEN n WHEN before >= budget OR words = 0 THEN 0 ELSE least(n, floor((budget - before) * n / words + 0.5)) END) AS each
+    FROM g JOIN turns ON turns.source IS NOT DISTINCT FROM g.source GROUP BY g.source, g.h
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS number FROM d)
+SELECT doc_id, size, taken.source_size, taken.target, (size * len(list_filter(each, lambda e: numbered.number <= e)))::BIGINT AS taken, numbered.source
+FROM numbered JOIN taken ON taken.source IS NOT DISTINCT FROM numbered.source AND taken.h = numbered.h
+"""
+
+ORACLES: dict[str, str] = {"op1_sharding": SHARDING, "op4_warc": ARCHIVES, "op10_jaccard": JACCARD, "op11_vector_codes": _vector_codes(), "op12_mixing": MIXING}

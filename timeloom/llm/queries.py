@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontam, jaccard, quality_gbt, robust_rules, sharding, spm, substring, tokenfiles, toxicity_fm, warc
+from timeloom.llm import decontam, jaccard, mixing, quality_gbt, robust_rules, sharding, spm, substring, tokenfiles, toxicity_fm, vectorcodes, warc, whitening
 from timeloom.llm.oracles import ORACLES as ORACLES
 from timeloom.llm.support import spread
 
@@ -61,6 +61,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -72,4 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_robust_rules": op9_robust_rules,
     "op10_jaccard": op10_jaccard,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }

@@ -39,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return out
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of :func:`shared_dir` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_batches(df: DataFrame, size: str = "6m") -> DataFrame:
     """Let Spark hand Python workers batches of at most ``size`` (or one row, if that is longer).
 
