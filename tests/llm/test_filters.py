@@ -286,8 +286,8 @@ def test_names_that_begin_sentences_and_long_insertions(spark):
     }
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_slots, r.n_changed) for r in decontam.contaminated(docs, bench).collect()}
-    assert got.keys() == {(1, 1), (2, 1), (5, 1), (7, 2)}
-    assert got[5, 1][1] == 0 and got[1, 1] == (4, 2) and got[2, 1] == (4, 3)
+    assert got.keys() == {(1, 1), (2, 1), (4, 1), (5, 1), (7, 2)}  # case alone makes no other text
+    assert got[5, 1][1] == got[4, 1][1] == 0 and got[1, 1] == (4, 2) and got[2, 1] == (4, 3)
 
 
 def test_small_sources_and_tables_are_judged(spark):

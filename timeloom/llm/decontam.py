@@ -20,38 +20,55 @@ UNITS = [
     "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "gbp", "percent", "kb", "mb", "gb", "tb",
 ]
 
+#: English number words, those that may precede another with a hyphen first.
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+ONES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+OTHERS = ["zero", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "hundred", "thousand", "million", "billion", "dozen"]
+
 _SLOT = "\u0001"
+#: Stands before a mark that belongs to a value, until other marks are gone.
+_HOLD = "\u0002"
 _SPACE = r"\x20\x09-\x0D"
-_EDGE = rf"(?=[{_SPACE}]|$)"
+_MARKS = rf"[^\p{{L}}\p{{N}}{_SPACE}{_SLOT}{_HOLD}]"
+_EDGE = rf"(?={_MARKS}*(?:[{_SPACE}]|$))"
 _HEAD = rf"(?<![^{_SPACE}])"
-_MARKS = r"[^\p{L}\p{N}\s]*"
-_NUMBER = r"\p{N}[\p{N}.,:/]*"
+_UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+
+
+def _numbers_marked(t: Column) -> Column:
+    """Numbers, with the units on them or after them, as slots. Marks around them stay."""
+    # Patterns begin with what is rare, so the engine leaves most places at once.
+    number = r"[-+−]?\p{N}+(?:[.,:/]\p{N}+)*"
+    t = F.regexp_replace(t, rf"(?=[^\p{{L}}{_SPACE}]){_HEAD}({_MARKS}*?)({number})-?(%|°?\p{{L}}{{1,8}}|){_EDGE}", f"$1{_SLOT}n$2{_SLOT}$3")
+    value = rf"{_SLOT}n([^{_SPACE}{_SLOT}]+)"
+    t = F.regexp_replace(t, rf"(?i){value}{_SLOT}(%|°?(?:{_UNIT})(?!\p{{L}}))", f"{_SLOT}n$1 {_SLOT}u$2")
+    t = F.regexp_replace(t, rf"{value}{_SLOT}(?=[°\p{{L}}])", f"{_SLOT}q$1")
+    t = F.regexp_replace(t, rf"{_SLOT}(?![nqu])", "")
+    return F.regexp_replace(t, rf"[-+−.,:/%°](?<={_SLOT}[nqu][\p{{N}}.,:/%°+−-]{{1,40}})(?=[\p{{N}}\p{{L}}]|(?<=[%°]))", f"{_HOLD}$0")
 
 
 def canonical(text: Column) -> Column:
     """The words of a text in lower case and without marks, with slots marked.
 
-    A number becomes ``\\1n`` and its value, a number with a unit attached ``\\1q``, a unit
-    after a number ``\\1u``, and a name ``\\1p``: a capitalised word that follows a word or a
-    comma, hence begins no sentence. Any other capitalised word becomes ``\\1c``: it may be a name
-    or a word that begins a sentence, a line or a quotation, and windows are read both ways.
-    Words are apart by blanks. Null counts as empty.
+    A number becomes ``\\1n`` and its value as it is written, in digits or English words; a
+    unit that follows it, or is written on to it, ``\\1u``; a number with other letters on it ``\\1q``; and a name
+    ``\\1p``: a capitalised word that follows a word or a comma, hence begins no sentence. Any
+    other capitalised word becomes ``\\1c``: it may be a name or a word that begins a sentence,
+    a line or a quotation, and windows are read both ways. Words are apart by blanks. Null counts as
+    empty.
     """
-    t = F.replace(clean_text(text), F.lit(_SLOT), F.lit(" "))
-    # A quick test spares texts without a digit the passes for numbers and units. Patterns begin
-    # with what is rare, so the engine leaves most places at once.
-    numbers = F.regexp_replace(t, rf"(?=[^\p{{L}}{_SPACE}]){_HEAD}{_MARKS}({_NUMBER})(%|\p{{L}}{{1,5}}|){_MARKS}{_EDGE}", f"{_SLOT}n$1{_SLOT}$2")
-    numbers = F.regexp_replace(numbers, rf"{_SLOT}n([\p{{N}}.,:/]+){_SLOT}(?=[%\p{{L}}])", f"{_SLOT}q$1")
-    numbers = F.regexp_replace(numbers, rf"{_SLOT}(?=[{_SPACE}]|$)", "")
-    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    numbers = F.regexp_replace(numbers, rf"(?i)({_SLOT}n[^{_SPACE}]*[{_SPACE}])({units}){_MARKS}{_EDGE}", f"$1{_SLOT}u$2")
-    t = F.when(t.rlike(r"\p{N}"), numbers).otherwise(t)
+    t = F.translate(clean_text(text), _SLOT + _HOLD, "  ")
+    t = F.when(t.rlike(r"\p{N}"), _numbers_marked(t)).otherwise(t)
+    spelt = rf"(?i)(?=[zotfsnehmbd])(?<![\p{{L}}\p{{N}}{_SLOT}'’-])((?:(?:{'|'.join(TENS)})-)?(?:{'|'.join(ONES)})|{'|'.join(TENS + OTHERS)})(?![\p{{L}}\p{{N}}'’]|-\p{{L}})"
+    t = F.regexp_replace(t, spelt, f"{_SLOT}n$1")
+    # Words of one number are one value.
+    t = F.regexp_replace(t, rf" {_SLOT}n(?=\p{{L}})(?<={_SLOT}n[\p{{L}}-]{{1,20}} {_SLOT}n)", "-")
+    t = F.when(F.contains(t, F.lit(_SLOT)), F.regexp_replace(t, rf"(?i)({_SLOT}n[^{_SPACE}]*[{_SPACE}])({_UNIT})(?!\p{{L}}){_EDGE}", f"$1{_SLOT}u$2")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("%")), F.regexp_replace(t, rf"({_SLOT}n[^{_SPACE}]*[{_SPACE}])%{_EDGE}", f"$1{_SLOT}u{_HOLD}%")).otherwise(t)
     t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{_SLOT}'’.-])(?=\p{{Lu}}[\p{{L}}'’-])", f"{_SLOT}c")
     t = F.regexp_replace(t, rf"{_SLOT}(?<=[\p{{L}}\p{{N}},] {_SLOT})c", f"{_SLOT}p")
-    t = F.regexp_replace(F.lower(t), rf"[^a-z0-9{_SLOT}{_SPACE}\p{{L}}\p{{N}}]", "")
-    for space in "\t\n\x0b\x0c\r":
-        t = F.replace(t, F.lit(space), F.lit(" "))
-    return t
+    t = F.regexp_replace(F.lower(t), rf"[^a-z0-9{_SLOT}{_HOLD}{_SPACE}\p{{L}}\p{{N}}](?<!{_HOLD}.)", "")
+    return F.translate(t, "\t\n\x0b\x0c\r" + _HOLD, "     ")
 
 
 def _words(line: Column) -> Column:
@@ -64,8 +81,8 @@ def template_tokens(text: Column) -> Column:
 
 
 def _template(line: Column) -> Column:
-    """A canonical text without the values of its slots; words that may be names stay marked."""
-    return F.regexp_replace(line, rf"({_SLOT}[nqup])[^ ]*", "$1")
+    """A canonical text without the values of its numbers and units; names stay marked."""
+    return F.regexp_replace(line, rf"({_SLOT}[nqu])[^ ]*", "$1")
 
 
 def _plain(line: Column) -> Column:
@@ -82,8 +99,13 @@ def _is_open(w: Column) -> Column:
     return w.startswith(_SLOT + "c")
 
 
+def _is_name(w: Column) -> Column:
+    return w.startswith(_SLOT + "p")
+
+
 def _bare(w: Column) -> Column:
-    return F.when(_is_open(w), F.substring(w, 3, 1 << 30)).otherwise(w)
+    """A word without the mark of a name, or of a word that may be one."""
+    return F.when(_is_open(w) | _is_name(w), F.substring(w, 3, 1 << 30)).otherwise(w)
 
 
 def _key(w: Column) -> Column:
@@ -91,6 +113,11 @@ def _key(w: Column) -> Column:
     return F.when(_is_slot(w), F.substring(w, 1, 2)).otherwise(_bare(w))
 
 
+def _literal(w: Column) -> Column:
+    """A number's or unit's kind, or the word, names included: what is left of it in any case of letters."""
+    return F.when(_is_slot(w) & ~_is_name(w), F.substring(w, 1, 2)).otherwise(_bare(w))
+
+
 def _hashed(parts: list[Column]) -> Column:
     """Hash of a window's keys; null if too few are literal words, which any table of numbers has."""
     return F.when(sum(((~p.startswith(_SLOT)).cast("int") for p in parts), F.lit(0)) >= MIN_LITERALS, F.xxhash64(*parts))
@@ -101,35 +128,35 @@ def _valued(parts: list[Column]) -> Column:
     return F.xxhash64(F.lit(_SLOT + "v"), *parts)
 
 
-def _placed_windows(rows: DataFrame, line: Column, width: int) -> tuple[DataFrame, list[Column]]:
-    """(doc_id, at) and the words of each window of ``width`` words.
+def _document_windows(rows: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """(doc_id, at, reading) of the windows of every (width, by value) in ``kinds``, from one pass over the lines.
+
+    A template window with words that are, or may be, names has up to three readings: with
+    those that are names as slots, with all of them as slots, and with none.
 
     Neighbours are zipped, so all is compiled. No filter on the words may come before they are
     exploded: the optimizer would push a copy of all the expressions below it.
     """
-    words = rows.select("doc_id", _words(line).alias("words"))
-    shifted = [F.col("words"), *(F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) for k in range(1, width))]
-    zipped = F.arrays_zip(*(c.alias(f"w{k}") for k, c in enumerate(shifted)))
-    placed = words.select("doc_id", F.posexplode(zipped).alias("at", "w"))
-    placed = placed.select("doc_id", "at", *(F.col("w").getField(f).alias(f"w{k}") for k, f in enumerate(placed.schema["w"].dataType.names)))
-    parts = [F.col(f"w{k}") for k in range(width)]
-    return placed.where(parts[-1].isNotNull()), parts
-
-
-def _document_windows(rows: DataFrame, width: int, by_value: bool) -> DataFrame:
-    """(doc_id, at, reading) of all windows; those with words that may be names are read both ways."""
-    if by_value:
-        whole = width < SHORTEST
-        placed, parts = _placed_windows(rows, _plain(F.col("line")), width)
-        if whole:  # so short an item has to be all that the document says
-            placed = placed.join(rows.select("doc_id", F.size(_words(F.col("line"))).alias("n")).where(F.col("n") == width).select("doc_id").distinct(), "doc_id", "left_semi")
-        return placed.select("doc_id", "at", _valued(parts).alias("reading"))
-    placed, parts = _placed_windows(rows, _template(F.col("line")), width)
-    plain = _hashed([_bare(p) for p in parts])
-    named = _hashed([F.when(_is_open(p), F.lit(_SLOT + "p")).otherwise(p) for p in parts])
-    some = sum((_is_open(p).cast("int") for p in parts), F.lit(0)) > 0
-    both = placed.select("doc_id", "at", plain.alias("plain"), F.when(some, named).alias("named"))
-    return both.select("doc_id", "at", F.explode(F.when(F.col("named").isNull(), F.array("plain")).otherwise(F.array("plain", "named"))).alias("reading")).where("reading is not null")
+    widest = {by_value: max((w for w, v in kinds if v == by_value), default=0) for by_value in (False, True)}
+    words = rows.select("doc_id", _words(_template(F.col("line"))).alias("words"), _words(_plain(F.col("line"))).alias("values"))
+    shifted = [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for c, by_value in (("words", False), ("values", True)) for k in range(widest[by_value])]
+    placed = words.select("doc_id", F.size("values").alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    placed = placed.select("doc_id", "at", "n", *(F.col("w").getField(f).alias(f) for f in placed.schema["w"].dataType.names))
+    readings: list[Column] = []
+    for width, by_value in kinds:
+        parts = [F.col(f"{'values' if by_value else 'words'}{k}") for k in range(width)]
+        if by_value:
+            # So short an item has to be all that the document says.
+            readings.append(F.when(parts[-1].isNotNull() & ((F.col("n") == width) | F.lit(width >= SHORTEST)), _valued(parts)))
+            continue
+        some = sum((_is_open(p).cast("int") for p in parts), F.lit(0)) > 0
+        names = some | (sum((_is_name(p).cast("int") for p in parts), F.lit(0)) > 0)
+        readings += [
+            F.when(parts[-1].isNotNull(), _hashed([F.when(_is_name(p), F.lit(_SLOT + "p")).otherwise(_bare(p)) for p in parts])),
+            F.when(parts[-1].isNotNull() & some, _hashed([F.when(_is_open(p) | _is_name(p), F.lit(_SLOT + "p")).otherwise(p) for p in parts])),
+            F.when(parts[-1].isNotNull() & names, _hashed([_bare(p) for p in parts])),
+        ]
+    return placed.select("doc_id", "at", F.explode(F.array_distinct(F.array_compact(F.array(*readings)))).alias("reading"))
 
 
 _ITEM = ["item_id", "item_key"]
@@ -162,7 +189,7 @@ def benchmark_templates(benchmark: DataFrame) -> DataFrame:
 
 
 def _readings(windows: DataFrame) -> DataFrame:
-    """The windows with ``reading``: each with each choice of its words that may be names as names.
+    """The windows with ``reading``: each with each choice of its words that may be names as names, and with all names as words.
 
     ``reach`` is how far the parts of a copy may be moved against each other.
     """
@@ -176,8 +203,12 @@ def _readings(windows: DataFrame) -> DataFrame:
     for w in range(SHORTEST, WIDTH + 1):
         read = [F.when(c, F.lit(_SLOT + "p")).otherwise(_key(p)) for c, p in zip(chosen[:w], parts[:w], strict=True)]
         reading = F.when(F.col("width") == w, _hashed(read)).otherwise(reading)
-    masked = masked.withColumn("reading", reading).drop("mask").where("reading is not null")
-    return masked.unionByName(valued).drop("part", "width", "by_value")
+    masked = masked.withColumn("reading", reading).drop("mask")
+    literal = F.lit(None).cast("long")
+    for w in range(SHORTEST, WIDTH + 1):
+        literal = F.when(F.col("width") == w, _hashed([_literal(p) for p in parts[:w]])).otherwise(literal)
+    spelt = rows.where("not by_value").withColumn("reading", literal)
+    return masked.unionByName(spelt).where("reading is not null").unionByName(valued).drop("part", "width", "by_value").distinct()
 
 
 def _as_kind(b: Column, a: Column) -> Column:
@@ -208,8 +239,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     distinct five-word template windows, at places that agree to within the item's own length
     (eight words at least), and the slots agree: from the first to the last word of the copy,
     the document has a slot of the same kind at every slot of the item (aligned by the windows
-    on either side, so inserted words move what follows), and a value that the item repeats is
-    replaced by one value throughout. Every place of an item in a document is checked by itself,
+    on either side, so inserted words move what follows), a value that the item repeats is
+    replaced by one value throughout, and two names stay two (two numbers may become equal by
+    chance). Letters may be in any case: windows are also read with all names as words, and a
+    name in another case is unchanged. Every place of an item in a document is checked by itself,
     and the best of those that pass is given. ``n_changed`` of ``n_slots`` values differ, so 0 means a
     plain copy and more a re-parameterised one. Clean documents give no row.
 
@@ -229,10 +262,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     placed = cut(_readings(windows))
     rows = documents.where("doc_id is not null").select("doc_id", canonical(F.col("text")).alias("line"))
     kinds = {(r.width, r.by_value) for r in windows.select("width", "by_value").distinct().collect()} | {(WIDTH, False)}
-    wins = None
-    for width, by_value in sorted(kinds):
-        more = _document_windows(rows, width, by_value)
-        wins = more if wins is None else wins.unionAll(more)
+    wins = _document_windows(rows, sorted(kinds))
     met = written(join_checked(wins, placed.select("reading").distinct(), ["reading"], "left_semi"))
     pairs = _candidates(met, placed, similarity)
     hits = join_checked(join_checked(met, pairs, ["doc_id"], "inner"), placed, [*_ITEM, "reading"], "inner")
@@ -280,12 +310,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
 
     def same(a: Column, b: Column) -> Column:
         kind = _is_slot(b) & (F.substring(b, 1, 2) == F.substring(a, 1, 2))
-        return F.when(_is_slot(a), kind).otherwise((_bare(b) == _bare(a)) | (_is_open(a) & (_is_open(b) | b.startswith(_SLOT + "p"))))
+        # A name in capitals or small letters is still that name.
+        return F.when(_is_slot(a), kind | (_is_name(a) & (_bare(a) == _bare(b)))).otherwise((_bare(b) == _bare(a)) | (_is_open(a) & (_is_open(b) | b.startswith(_SLOT + "p"))))
 
     def under(p: Column) -> Column:
         """The item's word, and the document's word under it if it is the same or a slot of the same kind."""
         words = F.transform(p["shifts"], lambda s: F.when(p["i"] + s >= F.col("low"), _as_kind(F.get("tokens", (p["i"] + s - F.col("low")).cast("int")), p["a"])))
-        return F.struct(p["a"].alias("a"), p["i"].alias("i"), F.get(F.filter(words, lambda b: same(p["a"], b)), F.lit(0)).alias("b"))
+        found = F.get(F.filter(words, lambda b: same(p["a"], b)), F.lit(0))
+        return F.struct(p["a"].alias("a"), p["i"].alias("i"), F.when(_bare(found) == _bare(p["a"]), p["a"]).otherwise(found).alias("b"))
 
     laid = cut(aligned.withColumn("words", F.transform("item_tokens", places)).drop("item_tokens", "item_names", "hits"))
     laid = cut(laid.withColumn("words", F.transform("words", under)).drop("tokens"))
@@ -295,7 +327,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     begin, end = F.array_min("reached"), F.array_max("reached")
     laid = cut(laid.withColumn("slots", F.filter("words", lambda p: _is_slot(p["a"]) & (p["b"].isNotNull() | p["i"].between(begin, end)))).drop("words"))
     checked = laid.where(~F.exists("slots", lambda p: p["b"].isNull())).withColumn("slots", F.transform("slots", lambda p: p.dropFields("i")))
-    checked = cut(checked).where(F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda p: p["a"]))))
+    names_in = F.array_distinct(F.filter("slots", lambda p: _is_name(p["a"])))
+    one_for_one = F.size(names_in) == F.size(F.array_distinct(F.transform(names_in, lambda p: p["b"])))
+    checked = cut(checked).where((F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda p: p["a"])))) & one_for_one)
     result = checked.select(
         "doc_id", "item_id", F.col("n_wins").alias("n_windows"), "n_hits",
         F.size("slots").alias("n_slots"),

@@ -25,6 +25,10 @@ REACH = 16
 HINT = 2 * STEP
 #: Words of a tile, in which the words of earlier documents are handed out.
 TILE = 32
+#: First windows of a signature that one task holds; those of a more varied one are dealt out by their keys.
+MOST_HEADS = 1 << 15
+#: Low bits of a signature that tell its hash function.
+_FUNCTIONS = 15
 #: n-grams handled at once (windows of a longer text overlap at the seams).
 SEGMENT = 1 << 23
 
@@ -164,8 +168,8 @@ def _windows(length: int, hashes: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for block in blocks(batch.column("text")):
                 grams, first = shingles(block, WIDTH)
-                for seed in seeds:
-                    value = mix(grams ^ seed)
+                for number, seed in enumerate(seeds):
+                    value = (mix(grams ^ seed) & ~np.uint64(_FUNCTIONS)) | np.uint64(number)
                     at, left, right = compact_windows(value, first, length)
                     doc = np.searchsorted(first, at, side="right") - 1
                     sketch = _sketch(grams, at, first[doc], first[doc + 1])
@@ -187,19 +191,28 @@ def _windows(length: int, hashes: int):
     return run
 
 
+def _filled(grams: int) -> int:
+    """Blocks that a passage of ``grams`` n-grams fills around any centre in it."""
+    return min((grams + 1 - (STEP - 1)) // STEP, 2 * SIDE)
+
+
+def _splits(grams: int) -> list[tuple[int, int]]:
+    """(right, left) blocks that such a passage fills, for each way in which it may lie."""
+    filled = _filled(grams)
+    return [(filled - k, k) for k in range(max(0, filled - SIDE), min(filled, SIDE) + 1)]
+
+
 def _masks(grams: int) -> list[tuple[int, int, int, int]]:
     """Which bits of a sketch's four longs have to agree, for each kind of partner.
 
     None at all; the nearest four blocks to the right, to the left; the nearest two on both
-    sides; and, for each way in which ``grams`` n-grams may lie around a centre, all blocks they fill.
+    sides; and, for each of :func:`_splits`, all blocks that are filled.
     """
-    filled = min((grams + 1 - (STEP - 1)) // STEP, 2 * SIDE)
 
     def side(k: int) -> tuple[int, int]:
         return (1 << 16 * min(k, 4)) - 1, (1 << 16 * max(k - 4, 0)) - 1
 
-    split = [(*side(filled - k), *side(k)) for k in range(max(0, filled - SIDE), min(filled, SIDE) + 1)]
-    return [(*side(r), *side(l)) for r, l in ((0, 0), (4, 0), (0, 4), (2, 2))] + split
+    return [(*side(r), *side(l)) for r, l in [(0, 0), (4, 0), (0, 4), (2, 2), *_splits(grams)]]
 
 
 def _intervals(rows: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -229,44 +242,208 @@ def _intervals(rows: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarr
     return np.unique(np.stack([doc, low + moved, high + moved, ref, shift - moved], axis=1), axis=0)
 
 
-def _meetings(grams: int):
+def _mask_keys(rows: np.ndarray, masks: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """For each mask, a hash of each row's signature and of the blocks that the mask asks for."""
+    value, sketch = rows[:, 0].astype(np.uint64), np.ascontiguousarray(rows[:, -4:]).view(np.uint64)
+    weight = mix(np.arange(11, 15, dtype=np.uint64))
+    out = np.empty((len(masks), len(rows)), dtype=np.uint64)
+    for k, mask in enumerate(masks):
+        out[k] = mix(value + (mix(sketch & np.array(mask, dtype=np.uint64)) * weight).sum(axis=1, dtype=np.uint64) + np.uint64(k))
+    return out
+
+
+def _undecided(rows: np.ndarray, own: np.ndarray, other: np.ndarray, kind: np.ndarray, grams: int) -> np.ndarray:
+    """(doc_id, at, left blocks) of windows whose first partner may not hold all that they share with a later one.
+
+    A passage of ``grams`` n-grams fills some blocks around the centre and ends within the next
+    one on either side. A partner that agrees in these two as well holds whatever passage
+    another window of the group shares here. One that does not leaves it open. One hash function
+    is enough for this, since a passage that is shared word for word has a window for each.
+    """
+    spots, first = _splits(grams), len(_masks(grams)) - len(_splits(grams))
+    some = (kind >= first) & (own != other) & ((rows[own, 0] & _FUNCTIONS) == 0)
+    own, other, kind = own[some], other[some], kind[some] - first
+    packed = np.ascontiguousarray(rows[:, -4:]).view(np.uint16).reshape(-1, 2 * SIDE)
+    equal = np.zeros((len(own), 2 * SIDE + 1), dtype=bool)  # the last column stands for blocks beyond the sketch
+    equal[:, :-1] = (packed[own] == packed[other]) & (packed[own] != 0)
+    right = np.array([r if r < SIDE else 2 * SIDE for r, _ in spots])[kind]
+    left = np.array([SIDE + n if n < SIDE else 2 * SIDE for _, n in spots])[kind]
+    line = np.arange(len(own))
+    open_ = ~(equal[line, right] & equal[line, left])
+    column = {f: k for k, f in enumerate(_WINDOW_FIELDS)}
+    own = own[open_]
+    return np.unique(np.stack([rows[own, column["doc_id"]], rows[own, column["at"]], np.array([n for _, n in spots])[kind[open_]]], axis=1), axis=0)
+
+
+#: Kinds of rows that windows leave behind: an interval in which two documents agree, a window whose
+#: partner is undecided, and a window of a signature that one task does not take in.
+_INTERVAL, _SPOT, _LEFT = 0, 1, 2
+_FOUND_FIELDS = [f"c{k}" for k in range(len(_PACKED_FIELDS))]
+_FOUND_SCHEMA = ", ".join(["kind int", *(f"{f} long" for f in _FOUND_FIELDS)])
+
+
+def _found(kind: int, values: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind; columns that it has no use for are null."""
+    n = len(values)
+    columns = [pa.array(np.ascontiguousarray(values[:, k])) if k < values.shape[1] else pa.nulls(n, pa.int64()) for k in range(len(_FOUND_FIELDS))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns], names=["kind", *_FOUND_FIELDS])
+
+
+def _repacked(rows: np.ndarray) -> np.ndarray:
+    c = {f: rows[:, k] for k, f in enumerate(_WINDOW_FIELDS)}
+    return np.stack([c["value"], c["doc_id"], *_pack(c["at"], c["step"], c["times"], c["left"], c["right"]), *(c[f"s{k}"] for k in range(4))], axis=1)
+
+
+def _held_against(rows: np.ndarray, own: np.ndarray, other: np.ndarray, kind: np.ndarray, grams: int) -> Iterator[pa.RecordBatch]:
+    """Intervals and undecided windows of pairs of rows, which met by mask ``kind`` (-1: as neighbours)."""
+    spots = _undecided(rows, own, other, kind, grams)
+    if len(spots):
+        yield _found(_SPOT, spots)
+    pair = np.unique(np.stack([own, other], axis=1)[rows[other, 1] < rows[own, 1]], axis=0)
+    found = _intervals(rows, pair[:, 0], pair[:, 1])
+    if len(found):
+        yield _found(_INTERVAL, found)
+
+
+def _meetings(grams: int, most: int = MOST_HEADS):
     """Reads windows sorted by signature and order; yields intervals of each with its partners.
 
     A partner is the window before in order, or the first one of the signature that agrees in
-    the blocks of one of :func:`_masks`. Of a signature that goes on in the next batch only
-    first ones (and the last window) are kept, so memory grows with what differs in it, not
-    with its windows.
+    the blocks of one of :func:`_masks`. First ones are looked up in a table that fresh rows alone touch,
+    so time is linear in the windows. Of a signature with more than ``most`` first ones, these and all
+    windows that follow are passed on (:func:`_met_by_key`), so memory is bounded.
     """
-    masks = [np.array(m, dtype=np.uint64) for m in _masks(grams)]
-    weight = mix(np.arange(11, 15, dtype=np.uint64))
+    masks = _masks(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, len(_WINDOW_FIELDS)), dtype=np.int64)
+        none = np.zeros((0, len(_WINDOW_FIELDS)), dtype=np.int64)
+        kept, last, known, passed = none, none, {}, False
         for batch in batches:
             fresh = _unpack(batch)
-            rows, n = np.concatenate([kept, fresh]), len(kept)
-            value, sketch = rows[:, 0].astype(np.uint64), rows[:, -4:].astype(np.uint64)
-            place = np.arange(len(rows))
-            head = np.zeros(len(rows), dtype=bool)
-            same = np.flatnonzero(value[1:] == value[:-1]) + 1
-            pairs = [same * len(rows) + same - 1]
-            for mask in masks:
-                key = mix(value + (mix(sketch & mask) * weight).sum(axis=1, dtype=np.uint64))
-                _, first, which = np.unique(key, return_index=True, return_inverse=True)
-                head[first] = True
-                pairs.append(place * len(rows) + first[which])
-            pairs = np.unique(np.concatenate(pairs))
-            own, other = pairs // len(rows), pairs % len(rows)
-            use = (own >= n) & (rows[other, 1] < rows[own, 1])
-            found = _intervals(rows, own[use], other[use])
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(5)], names=["doc_id", "low", "high", "ref_doc_id", "shift"])
-            head[-1:] = True
-            kept = rows[head & (value == value[-1])] if len(rows) else rows
+            if not len(fresh):
+                continue
+            before = len(kept) + len(last)
+            rows = np.concatenate([kept, last, fresh])
+            # The rows that go on with the last batch's signature.
+            on = int(np.searchsorted(fresh[:, 0] != last[0, 0], True)) if len(last) else 0
+            skip = on if passed else 0
+            if skip:
+                yield _found(_LEFT, _repacked(fresh[:skip]))
+            if on < len(fresh):
+                passed = False
+            place = np.arange(max(1, before), len(rows))
+            place = place[rows[place, 0] == rows[place - 1, 0]]
+            owns, others, kinds = [place], [place - 1], [np.full(len(place), -1)]
+            head, names = np.zeros(len(rows), dtype=bool), []
+            ends = fresh[:, 0] == fresh[-1, 0]
+            for k, key in enumerate(_mask_keys(fresh[skip:], masks)):
+                each, first, which = np.unique(key, return_index=True, return_inverse=True)
+                target = first + skip + before
+                if known:
+                    for u in np.flatnonzero(first + skip < on).tolist():
+                        target[u] = known.get(int(each[u]), target[u])
+                new = target >= before
+                head[target[new]] = True
+                mine = new & ends[first + skip]
+                names.append((each[mine], target[mine]))
+                owns.append(np.arange(skip, len(fresh)) + before)
+                others.append(target[which])
+                kinds.append(np.full(len(fresh) - skip, k))
+            yield from _held_against(rows, *map(np.concatenate, (owns, others, kinds)), grams)
+            if on < len(fresh):
+                kept, known = none, {}
+            if not passed:
+                own = np.flatnonzero(head[before:] & ends) + before
+                for each, target in names:
+                    known.update(zip(each.tolist(), (np.searchsorted(own, target) + len(kept)).tolist(), strict=True))
+                kept = np.concatenate([kept, rows[own]])
+                if len(kept) > most:
+                    yield _found(_LEFT, _repacked(kept))
+                    kept, known, passed = none, {}, True
+            last = fresh[-1:]
+
+    return run
+
+
+def _against_heads(grams: int):
+    """Reads windows beside the first of their signature that agrees in the blocks of a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _unpack(batch)
+            head = _unpack(pa.RecordBatch.from_arrays([batch.column("value"), *(batch.column(f"h_{f}") for f in _PACKED_FIELDS[1:])], names=_PACKED_FIELDS))
+            n = len(own)
+            yield from _held_against(np.concatenate([own, head]), np.arange(n), np.arange(n) + n, batch.column("mask").to_numpy().astype(np.int64), grams)
 
     return run
 
 
+def _met_by_key(left: DataFrame, grams: int) -> DataFrame:
+    """Intervals and undecided windows of signatures that are too varied for one task.
+
+    Windows are dealt out by signature and mask: the first of each such key is a minimum, which is taken
+    before the shuffle too, and the join that hands it back is one that adaptive execution splits.
+    """
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.xxhash64("value", F.lit(k), *(F.col(f"s{i}").bitwiseAND(F.lit(signed(m)).cast("long")) for i, m in enumerate(mask))) for k, mask in enumerate(_masks(grams))]
+    rows = left.select("*", F.posexplode(F.array(*keys)).alias("mask", "key"))
+    heads = rows.groupBy("mask", "key").agg(F.min(F.struct(*_PACKED_FIELDS[1:])).alias("head"))
+    beside = rows.join(heads.select("mask", "key", *(F.col(f"head.{f}").alias(f"h_{f}") for f in _PACKED_FIELDS[1:])), ["mask", "key"])
+    return beside.drop("key").mapInArrow(_against_heads(grams), _FOUND_SCHEMA)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2 and so on, modulo 2**64."""
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _ranges(grams: int):
+    """A hash of every range of ``grams`` n-grams that may be a passage around an undecided window's centre."""
+    spare = grams + 1 - STEP * _filled(grams)
+    base = 0x9E3779B97F4A7C15
+    back = pow(base, -1, 1 << 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, spots = batch.column("doc_id").to_numpy(), batch.column("spots").to_pylist()
+            for block in blocks(batch.column("text")):
+                values, first = shingles(block, WIDTH)
+                if not len(values):
+                    continue
+                power, inverse = (_powers(b, len(values)) for b in (base, back))
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power, dtype=np.uint64)])
+                asked = [(d, s["at"], s["blocks"]) for d in range(len(block)) for s in spots[block.row0 + d]]
+                if not asked:
+                    continue
+                d, at, n = np.array(asked, dtype=np.int64).T
+                out = []
+                for left in range(max(0, spare - STEP + 1), min(spare, STEP - 1) + 1):
+                    low = first[d] + at - (STEP * n + left - 1)
+                    ok = (low >= first[d]) & (low + grams <= first[d + 1])
+                    a = low[ok]
+                    out.append(np.stack([as_signed(mix((total[a + grams] - total[a]) * inverse[a])), ids[block.row0 + d[ok]], a - first[d[ok]]], axis=1))
+                rows = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], names=["key", "doc_id", "low"])
+
+    return run
+
+
+def _decided(documents: DataFrame, spots: DataFrame, grams: int) -> DataFrame:
+    """Intervals of ``grams`` n-grams of undecided windows with the first document that holds the same.
+
+    All ranges of that length that may be meant are hashed as a whole, so the first document
+    with an equal hash holds the passage.
+    """
+    asked = spots.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "blocks")).alias("spots"))
+    texts = join_checked(documents.select("doc_id", "text"), asked, ["doc_id"], "inner", 100_000)
+    ranges = written(texts.mapInArrow(_ranges(grams), "key long, doc_id long, low long"))
+    heads = ranges.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("head"))
+    met = ranges.join(heads, "key").where(F.col("head.doc_id") < F.col("doc_id"))
+    return met.select("doc_id", "low", (F.col("low") + grams - 1).alias("high"), F.col("head.doc_id").alias("ref_doc_id"), (F.col("head.low") - F.col("low")).alias("shift"))
+
+
 def repeated_passages(documents: DataFrame, *, min_words: int = 50, similarity: float = 0.8, hashes: int = 3) -> DataFrame:
     """(doc_id, start_word, n_words, ref_doc_id, ref_start_word) of passages that an earlier document holds.
 
@@ -280,12 +457,14 @@ def repeated_passages(documents: DataFrame, *, min_words: int = 50, similarity:
     2. Windows with equal signatures meet in a sort on (signature, doc_id). Each is held against
        the first window of its signature, the one before it, and the first windows of
        those that agree with it in the blocks to its right, to its left, or next to it on both
-       sides. For word-for-word passages it is also held, for each way in which a passage of
-       the least length may lie around the centre, against the first window that agrees in all
-       blocks that the passage fills (41 n-grams of 46). So a passage meets an earlier document
-       that holds it up to five words at its ends, however common its signature is, and even if a
-       shorter run in it is far more common. No pairs within a signature are listed, and none
-       are dropped.
+       sides, or in all blocks that a passage of the least length fills, for each way in which it
+       may lie around the centre. Where that first window parts from another within the next
+       block, it may not hold all of a passage that others share. Of such windows (those of one hash function)
+       all ranges of ``min_words`` words around the centre are hashed as a whole, and the first
+       document with the same range is a partner too. So every passage that is shared word for
+       word meets an earlier document that holds all of it, however common runs inside it are. No pairs within a
+       signature are listed, and none are dropped. A signature with more than ``MOST_HEADS``
+       windows of different surroundings is dealt out over tasks by signature and blocks.
     3. The windows of a pair are laid over each other at their centres. The stretch within both
        is compared block by block, and agreeing blocks become intervals. Intervals of a pair of
        documents with like shifts become stretches; those of ``HINT`` n-grams or more are looked into.
@@ -300,13 +479,26 @@ def repeated_passages(documents: DataFrame, *, min_words: int = 50, similarity:
     has no windows. Rows with a null doc_id are left out; rows that share a doc_id aren't held
     against each other.
     """
+    if not 1 <= hashes <= _FUNCTIONS + 1:
+        raise ValueError(f"hashes must be 1 to {_FUNCTIONS + 1}")
     grams = min_words - WIDTH + 1
     windows = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(_windows(grams, hashes), _WINDOW_SCHEMA)
     ordered = windows.repartition("value").sortWithinPartitions("value", "doc_id", "place")
-    intervals = ordered.mapInArrow(_meetings(grams), "doc_id long, low long, high long, ref_doc_id long, shift long")
+    found = written(ordered.mapInArrow(_meetings(grams), _FOUND_SCHEMA))
+    left = _of_kind(found, _LEFT, _PACKED_FIELDS)
+    if not left.isEmpty():
+        found = found.unionByName(written(_met_by_key(left, grams)))
+    intervals = _of_kind(found, _INTERVAL, ["doc_id", "low", "high", "ref_doc_id", "shift"])
+    spots = _of_kind(found, _SPOT, ["doc_id", "at", "blocks"])
+    if not spots.isEmpty():
+        intervals = intervals.unionByName(_decided(documents, spots, grams))
     return _verified(documents, _stretches(intervals, 2 * min_words), min_words, similarity)
 
 
+def _of_kind(found: DataFrame, kind: int, names: list[str]) -> DataFrame:
+    return found.where(F.col("kind") == kind).select(*(F.col(c).alias(name) for c, name in zip(_FOUND_FIELDS, names, strict=False)))
+
+
 _STRETCH = ["ref_doc_id", "low", "high", "shift_low", "shift_high"]
 
 
