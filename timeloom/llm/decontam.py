@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,18 @@ _HEAD = rf"(?<![^{_SPACE}])"
 _UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 
 
+def _by_first(words: list[str]) -> str:
+    """An alternation of words, those with one first letter together, so that other letters are left at once."""
+    return "|".join(f"{x}(?:{'|'.join(w[1:] for w in words if w[0] == x)})" for x in sorted({w[0] for w in words}))
+
+
+#: A number word: it stands alone, or is joined to others by hyphens.
+_SPELT = (
+    rf"(?=[{''.join(sorted({w[0] + w[0].upper() for w in TENS + ONES + OTHERS}))}])(?<![\p{{L}}\p{{N}}{_SLOT}'’-])"
+    rf"((?i:(?:(?:{_by_first(TENS)})-)?(?:{_by_first(ONES)})|{_by_first(sorted(TENS + OTHERS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}'’]|-\p{{L}})"
+)
+
+
 def _numbers_marked(t: Column) -> Column:
     """Numbers, with the units on them or after them, as slots. Marks around them stay."""
     # Patterns begin with what is rare, so the engine leaves most places at once.
@@ -57,18 +71,20 @@ def canonical(text: Column) -> Column:
     a line or a quotation, and windows are read both ways. Words are apart by blanks. Null counts as
     empty.
     """
-    t = F.translate(clean_text(text), _SLOT + _HOLD, "  ")
+    t = F.replace(F.replace(clean_text(text), F.lit(_SLOT), F.lit(" ")), F.lit(_HOLD), F.lit(" "))
     t = F.when(t.rlike(r"\p{N}"), _numbers_marked(t)).otherwise(t)
-    spelt = rf"(?i)(?=[zotfsnehmbd])(?<![\p{{L}}\p{{N}}{_SLOT}'’-])((?:(?:{'|'.join(TENS)})-)?(?:{'|'.join(ONES)})|{'|'.join(TENS + OTHERS)})(?![\p{{L}}\p{{N}}'’]|-\p{{L}})"
-    t = F.regexp_replace(t, spelt, f"{_SLOT}n$1")
+    t = F.regexp_replace(t, _SPELT, f"{_SLOT}n$1")
     # Words of one number are one value.
-    t = F.regexp_replace(t, rf" {_SLOT}n(?=\p{{L}})(?<={_SLOT}n[\p{{L}}-]{{1,20}} {_SLOT}n)", "-")
-    t = F.when(F.contains(t, F.lit(_SLOT)), F.regexp_replace(t, rf"(?i)({_SLOT}n[^{_SPACE}]*[{_SPACE}])({_UNIT})(?!\p{{L}}){_EDGE}", f"$1{_SLOT}u$2")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("%")), F.regexp_replace(t, rf"({_SLOT}n[^{_SPACE}]*[{_SPACE}])%{_EDGE}", f"$1{_SLOT}u{_HOLD}%")).otherwise(t)
+    slots = F.regexp_replace(t, rf" {_SLOT}n(?=\p{{L}})(?<={_SLOT}n[\p{{L}}-]{{1,20}} {_SLOT}n)", "-")
+    slots = F.regexp_replace(slots, rf"({_SLOT}n[^{_SPACE}]*[{_SPACE}])(?:((?i:{_UNIT})(?!\p{{L}}))|(?=%)){_EDGE}", f"$1{_SLOT}u$2")
+    slots = F.replace(slots, F.lit(f"{_SLOT}u%"), F.lit(f"{_SLOT}u{_HOLD}%"))
+    t = F.when(F.contains(t, F.lit(_SLOT)), slots).otherwise(t)
     t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{_SLOT}'’.-])(?=\p{{Lu}}[\p{{L}}'’-])", f"{_SLOT}c")
     t = F.regexp_replace(t, rf"{_SLOT}(?<=[\p{{L}}\p{{N}},] {_SLOT})c", f"{_SLOT}p")
     t = F.regexp_replace(F.lower(t), rf"[^a-z0-9{_SLOT}{_HOLD}{_SPACE}\p{{L}}\p{{N}}](?<!{_HOLD}.)", "")
-    return F.translate(t, "\t\n\x0b\x0c\r" + _HOLD, "     ")
+    for space in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(space), F.lit(" "))
+    return F.replace(t, F.lit(_HOLD), F.lit(""))
 
 
 def _words(line: Column) -> Column:
@@ -118,45 +134,56 @@ def _literal(w: Column) -> Column:
     return F.when(_is_slot(w) & ~_is_name(w), F.substring(w, 1, 2)).otherwise(_bare(w))
 
 
-def _hashed(parts: list[Column]) -> Column:
-    """Hash of a window's keys; null if too few are literal words, which any table of numbers has."""
-    return F.when(sum(((~p.startswith(_SLOT)).cast("int") for p in parts), F.lit(0)) >= MIN_LITERALS, F.xxhash64(*parts))
+def _token_hash(w: Column) -> Column:
+    """A hash of a slot's kind or a word, whose last bit tells whether it is a word."""
+    return F.xxhash64(w).bitwiseAND(-2).bitwiseOR((~w.startswith(_SLOT)).cast("long"))
+
+
+def _hashed(tokens: list[Column]) -> Column:
+    """Hash of a window's token hashes; null if too few are literal words, which any table of numbers has."""
+    return F.when(sum((t.bitwiseAND(1) for t in tokens), F.lit(0)) >= MIN_LITERALS, F.xxhash64(*tokens))
 
 
-def _valued(parts: list[Column]) -> Column:
-    """Hash of a window's words as they are."""
-    return F.xxhash64(F.lit(_SLOT + "v"), *parts)
+def _valued(tokens: list[Column]) -> Column:
+    """Hash of the token hashes of a window's words as they are."""
+    return F.xxhash64(F.lit(_SLOT + "v"), *tokens)
 
 
-def _document_windows(rows: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
-    """(doc_id, at, reading) of the windows of every (width, by value) in ``kinds``, from one pass over the lines.
+def _document_windows(rows: DataFrame, width: int, by_value: bool) -> DataFrame:
+    """(doc_id, at, reading) of all windows of ``width`` words of the lines.
 
     A template window with words that are, or may be, names has up to three readings: with
     those that are names as slots, with all of them as slots, and with none.
 
-    Neighbours are zipped, so all is compiled. No filter on the words may come before they are
-    exploded: the optimizer would push a copy of all the expressions below it.
+    Words are hashed one by one, so that windows are made of numbers: neighbours are zipped and
+    exploded, in expressions small enough to be compiled (for several widths at once they are
+    not). No filter on them may come before: the optimizer would push a copy of all the expressions
+    below it.
     """
-    widest = {by_value: max((w for w, v in kinds if v == by_value), default=0) for by_value in (False, True)}
-    words = rows.select("doc_id", _words(_template(F.col("line"))).alias("words"), _words(_plain(F.col("line"))).alias("values"))
-    shifted = [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"{c}{k}") for c, by_value in (("words", False), ("values", True)) for k in range(widest[by_value])]
-    placed = words.select("doc_id", F.size("values").alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
-    placed = placed.select("doc_id", "at", "n", *(F.col("w").getField(f).alias(f) for f in placed.schema["w"].dataType.names))
-    readings: list[Column] = []
-    for width, by_value in kinds:
-        parts = [F.col(f"{'values' if by_value else 'words'}{k}") for k in range(width)]
-        if by_value:
-            # So short an item has to be all that the document says.
-            readings.append(F.when(parts[-1].isNotNull() & ((F.col("n") == width) | F.lit(width >= SHORTEST)), _valued(parts)))
-            continue
-        some = sum((_is_open(p).cast("int") for p in parts), F.lit(0)) > 0
-        names = some | (sum((_is_name(p).cast("int") for p in parts), F.lit(0)) > 0)
-        readings += [
-            F.when(parts[-1].isNotNull(), _hashed([F.when(_is_name(p), F.lit(_SLOT + "p")).otherwise(_bare(p)) for p in parts])),
-            F.when(parts[-1].isNotNull() & some, _hashed([F.when(_is_open(p) | _is_name(p), F.lit(_SLOT + "p")).otherwise(p) for p in parts])),
-            F.when(parts[-1].isNotNull() & names, _hashed([_bare(p) for p in parts])),
-        ]
-    return placed.select("doc_id", "at", F.explode(F.array_distinct(F.array_compact(F.array(*readings)))).alias("reading"))
+    if by_value:
+        forms = {"v": F.transform(_words(_plain(F.col("line"))), _token_hash)}
+    else:
+        words, name = _words(_template(F.col("line"))), F.lit(_SLOT + "p")
+        forms = {
+            "n": F.transform(words, lambda w: _token_hash(F.when(_is_name(w), name).otherwise(_bare(w)))),
+            "m": F.transform(words, lambda w: _token_hash(F.when(_is_name(w) | _is_open(w), name).otherwise(w))),
+            "l": F.transform(words, lambda w: _token_hash(_bare(w))),
+        }
+    hashed = rows.select("doc_id", *(c.alias(f) for f, c in forms.items()))
+    shifted = [F.slice(f, k + 1, F.greatest(F.size(f) - k, F.lit(0))).alias(f"{f}{k}") for f in forms for k in range(width)]
+    placed = hashed.select("doc_id", F.size(next(iter(forms))).alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    placed = placed.select("doc_id", "at", F.col("n").alias("size"), *(F.col("w").getField(f).alias(f) for f in placed.schema["w"].dataType.names))
+    n, m, l, v = ([F.col(f"{f}{k}") for k in range(width)] for f in "nmlv")
+    if by_value:
+        # So short an item has to be all that the document says.
+        whole = placed.where((F.col("size") == width) | F.lit(width >= SHORTEST)).where(v[-1].isNotNull())
+        return whole.select("doc_id", "at", _valued(v).alias("reading"))
+
+    def where_other(of: list[Column]) -> Column:
+        return F.when(reduce(Column.__or__, (x != y for x, y in zip(of, n, strict=True))), _hashed(of))
+
+    each = placed.where(n[-1].isNotNull()).select("doc_id", "at", _hashed(n).alias("plain"), where_other(m).alias("named"), where_other(l).alias("literal"))
+    return each.select("doc_id", "at", F.explode(F.array("plain", "named", "literal")).alias("reading")).where("reading is not null")
 
 
 _ITEM = ["item_id", "item_key"]
@@ -180,8 +207,8 @@ def benchmark_templates(benchmark: DataFrame) -> DataFrame:
             found = F.when(F.col("width") == w, make([F.get("part", F.lit(k)) for k in range(w)])).otherwise(found)
         return found
 
-    placed = placed.withColumn("_template", F.when(F.col("width") >= SHORTEST, of_width(lambda parts: _hashed([_key(p) for p in parts]))))
-    placed = placed.withColumn("_valued", of_width(lambda parts: _valued([F.when(p.startswith(_SLOT), F.substring(p, 3, 1 << 30)).otherwise(p) for p in parts])))
+    placed = placed.withColumn("_template", F.when(F.col("width") >= SHORTEST, of_width(lambda parts: _hashed([_token_hash(_key(p)) for p in parts]))))
+    placed = placed.withColumn("_valued", of_width(lambda parts: _valued([_token_hash(F.when(p.startswith(_SLOT), F.substring(p, 3, 1 << 30)).otherwise(p)) for p in parts])))
     whole = Window.partitionBy(*_ITEM)
     placed = placed.withColumn("by_value", F.count("_template").over(whole) == 0).withColumn("win", F.when(F.col("by_value"), F.col("_valued")).otherwise(F.col("_template")))
     placed = placed.where("win is not null").withColumn("n_wins", F.size(F.collect_set("win").over(whole)))
@@ -201,12 +228,12 @@ def _readings(windows: DataFrame) -> DataFrame:
     masked = masked.where(sum((F.when(c & ~F.coalesce(_is_open(p), F.lit(False)), 1).otherwise(0) for c, p in zip(chosen, parts, strict=True)), F.lit(0)) == 0)
     reading = F.lit(None).cast("long")
     for w in range(SHORTEST, WIDTH + 1):
-        read = [F.when(c, F.lit(_SLOT + "p")).otherwise(_key(p)) for c, p in zip(chosen[:w], parts[:w], strict=True)]
+        read = [_token_hash(F.when(c, F.lit(_SLOT + "p")).otherwise(_key(p))) for c, p in zip(chosen[:w], parts[:w], strict=True)]
         reading = F.when(F.col("width") == w, _hashed(read)).otherwise(reading)
     masked = masked.withColumn("reading", reading).drop("mask")
     literal = F.lit(None).cast("long")
     for w in range(SHORTEST, WIDTH + 1):
-        literal = F.when(F.col("width") == w, _hashed([_literal(p) for p in parts[:w]])).otherwise(literal)
+        literal = F.when(F.col("width") == w, _hashed([_token_hash(_literal(p)) for p in parts[:w]])).otherwise(literal)
     spelt = rows.where("not by_value").withColumn("reading", literal)
     return masked.unionByName(spelt).where("reading is not null").unionByName(valued).drop("part", "width", "by_value").distinct()
 
@@ -262,7 +289,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, similarity: floa
     placed = cut(_readings(windows))
     rows = documents.where("doc_id is not null").select("doc_id", canonical(F.col("text")).alias("line"))
     kinds = {(r.width, r.by_value) for r in windows.select("width", "by_value").distinct().collect()} | {(WIDTH, False)}
-    wins = _document_windows(rows, sorted(kinds))
+    wins = reduce(DataFrame.unionAll, [_document_windows(rows, *kind) for kind in sorted(kinds)])
     met = written(join_checked(wins, placed.select("reading").distinct(), ["reading"], "left_semi"))
     pairs = _candidates(met, placed, similarity)
     hits = join_checked(join_checked(met, pairs, ["doc_id"], "inner"), placed, [*_ITEM, "reading"], "inner")
