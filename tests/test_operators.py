@@ -1,6 +1,7 @@
 """Hand-made rows and plain restatements of the operators that depend on order."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def test_window_budget_stops_before_the_line_that_exceeds(spark):
 def test_sections_are_half_open(spark):
     f = spark.createDataFrame([("v", i, t) for i, t in enumerate([0.0, 9.99, 10.0, 20.0])], "video_id string, frame_idx int, timestamp double")
     s = spark.createDataFrame([("v", "s1", 0.0, 10.0), ("v", "s2", 10.0, 20.0), ("v", "s3", 30.0, 40.0)], "video_id string, id string, start double, end double")
-    got = {r.id: r.frame_ids for r in ranges.assign_to_sections(f, s, "video_id", "id", "timestamp", "frame_idx", 7.0).collect()}
+    got = {r.id: r.frame_ids for r in ranges.assign_to_sections(f, s, "video_id", "id", "timestamp", "frame_idx").collect()}
     assert got == {"s1": [0, 1], "s2": [2], "s3": []}
 
 
@@ -260,6 +261,124 @@ def test_pairs_and_leaders_equal_brute_force(spark):
         assert sorted(x.i for x in select.leader_dedup(df, "k", ["i"], "h", threshold).collect()) == sorted(kept[0] + kept[1])
 
 
+def test_range_join_of_long_and_short_intervals(spark):
+    """From no length to without end; a ten-hour interval makes two rows."""
+    import random
+
+    from timeloom.operators import ranges
+
+    r = random.Random(7)
+    spans = [(k % 3, k, a := r.uniform(-500, 500), a + r.choice([0.0, 1e-7, 0.01, 1.0, 33.0, 4096.0, 36_000.0])) for k in range(60)] + [(0, 100, 5.0, float("inf")), (0, 101, 9.0, 8.0), (1, 102, None, 4.0), (None, 103, 0.0, 1e9)]
+    points = [(k % 4, k, r.choice([r.uniform(-600, 40_000), spans[k % 60][2], spans[k % 60][3]])) for k in range(300)] + [(0, 900, None), (None, 901, 1.0)]
+    p, i = spark.createDataFrame(points, "k long, p long, at double"), spark.createDataFrame(spans, "k long, i long, s double, e double")
+    for closed in (False, True):
+        want = sorted((b, j) for ka, b, at in points for kb, j, s, e in spans if ka is not None and ka == kb and at is not None and s is not None and s <= at and (at <= e if closed else at < e))
+        assert sorted((x.p, x.i) for x in ranges.range_join(p, i, "k", "at", "s", "e", closed_end=closed).collect()) == want
+    left = [(x.p, x.i) for x in ranges.range_join(p, i, "k", "at", "s", "e", how="left", closed_end=True).collect()]
+    assert sorted(x for x in left if x[1] is not None) == want and {x for x, y in left if y is None} == {b for _, b, _ in points} - {b for b, _ in want}
+    assert "Generate explode(array_distinct" in ranges.range_join(p, i, "k", "at", "s", "e")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_vectors_equal_brute_force(spark, monkeypatch):
+    """Families of like vectors, several blocks and chunks, and how few products are computed."""
+    import numpy as np
+
+    from timeloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "CHUNK", 100)
+    monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 150)
+    r = np.random.default_rng(1)
+    m = np.repeat(r.normal(size=(150, 24)), 6, axis=0) + r.normal(scale=0.12, size=(900, 24))
+    m[0] = 0
+    df = spark.createDataFrame([(f"v{k:04d}", v.tolist()) for k, v in enumerate(m)] + [("none", None), ("v0001", m[1].tolist())], "i string, v array<double>")
+    u = m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
+    s = u @ u.T
+    want = {(f"v{a:04d}", f"v{b:04d}") for a, b in np.argwhere(np.triu(s > 0.95, 1))}
+    got = [(x.a, x.b) for x in vectors.near_vectors(df, "i", "v").collect()]
+    assert len(want) > 500 and set(got) == want and len(got) == len(want) + sum("v0001" in w for w in want)
+    work = vectors.near_vector_work(df, "i", "v").groupBy().sum().first()
+    assert work[1] < 0.05 * 900 * 899 / 2 and work[0] <= 900 * 901 / 2 + 900
+
+
+def test_near_vectors_of_the_table(spark):
+    from timeloom.operators import vectors
+    from timeloom.session import load
+
+    e = load(spark, "/root/testdata/sf0.1", "embeddings")
+    met, computed = vectors.near_vector_work(e, "vec_id", "embedding").groupBy().sum().first()
+    n = e.count()
+    assert computed < 0.05 * n * (n - 1) / 2
+
+
+def test_cosine_search_by_blocks_and_chunks(spark):
+    import numpy as np
+
+    from timeloom.operators import vectors
+
+    r = np.random.default_rng(3)
+    m = r.normal(size=(300, 8))
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "i long, v array<double>")
+    queries = items.where("i % 4 = 0").select(items.i.alias("q"), "v")
+    a = vectors.cosine_top_k(items, queries, "i", "q", "v", k=5)
+    b = vectors.cosine_top_k(items, queries, "i", "q", "v", k=5, max_queries=20, max_items=40)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 75 * 5
+
+
+def test_leaders_of_null_keys_copies_and_one_key_in_many_tasks(spark):
+    from timeloom.operators import select
+
+    df = spark.createDataFrame([(None, 1, 0, "x"), (None, 2, 0, "y"), (None, 3, 1, "z"), ("a", 4, 0, "w"), ("a", 5, 255, "v"), ("a", 0, 255, "u"), ("a", 6, None, "t")], "k string, o long, h long, note string")
+    assert sorted((r.o, r.note) for r in select.leader_dedup(df, "k", ["o"], "h", 3).collect()) == [(0, "u"), (1, "x"), (4, "w")]
+    assert select.leader_dedup(df.limit(0), "k", ["o"], "h", 3).count() == 0
+    many = spark.range(4000).selectExpr("1 AS k", "id AS o", "xxhash64(id) AS h")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = select.leader_dedup(many.repartition(8), "k", ["o"], "h", 5)
+        assert sum(n > 500 for n in kept.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1 and kept.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_npy_files_are_read_by_ranges(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from timeloom.sources import npy
+
+    r = np.random.default_rng(0)
+    m = r.normal(size=(1000, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)] + [(9999, None)], "i long, v array<float>")
+    written = npy.write_npy(rows.repartition(3), "v", f"{tmp_path}/v").collect()
+    assert sum(w.n for w in written) == 1000
+    got = npy.read_npy(spark, f"{tmp_path}/v", rows=90)
+    assert got.rdd.getNumPartitions() >= 12
+    assert sorted(tuple(x.vector) for x in got.collect()) == sorted(map(tuple, m.tolist()))
+    np.save(tmp_path / "d.npy", np.arange(12.0).reshape(4, 3))
+    assert [(x.row, x.vector) for x in npy.read_npy(spark, f"{tmp_path}/d.npy", rows=2).orderBy("row").collect()] == [(k, [3.0 * k, 3 * k + 1, 3 * k + 2]) for k in range(4)]
+    (tmp_path / "empty").mkdir()
+    assert npy.read_npy(spark, f"{tmp_path}/empty").count() == 0
+    np.save(tmp_path / "odd.npy", np.arange(3))
+    with pytest.raises(Exception, match="no table of numbers"):
+        npy.read_npy(spark, f"{tmp_path}/odd.npy").count()
+
+
+def test_search_reads_only_parts_with_hits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from timeloom.operators import search
+
+    rows = [(k, f"text number {k} " + ("with a Zebra in it" if k in (7, 40) else "zeb bra ebr" if k == 5 else "zeb bra")) for k in range(60)] + [(60, None), (61, ""), (62, "ab"), (63, "ÄÖÜ straße")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    index = search.build_index(df, "k", "t", f"{tmp_path}/index", parts=16)
+    for word in ("zebra", "ZEBRA IN", "ab", "öü S", "nothing", "a", "text number 3"):
+        want = sorted(k for k, t in rows if t is not None and word.lower() in t.lower())
+        assert sorted(r.k for r in search.search(spark, index, word).collect()) == want, word
+    hits = search.search(spark, index, "zebra")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    parts = {r.p for r in df.where("k in (5, 7, 40)").select(F.pmod(F.xxhash64("k"), F.lit(16)).alias("p")).collect()}
+    assert {int(x) for m in re.findall(r"PartitionFilters: \[[^\]]*_part#\d+ IN(?:SET)? \(?([\d, ]+)", plan) for x in m.split(",")} == parts
+
+
 def test_running_tail_is_bounded(spark):
     from timeloom.operators import timeline
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from timeloom.functions.scalars import strip
 from timeloom.operators.models import Provider, chat
 from timeloom.operators.ranges import range_join
+from timeloom.storage import join_checked
 
 
-def code_in_frames(blocks: DataFrame, frames: DataFrame, key: str, block_id: str, bin_width: float, *, code: str = "code", at: str = "timestamp", detail: str = "detail") -> DataFrame:
+def code_in_frames(blocks: DataFrame, frames: DataFrame, key: str, block_id: str, *, code: str = "code", at: str = "timestamp", detail: str = "detail") -> DataFrame:
     """(key, block_id, verified): whether a frame in the block's time range [start, end) shows its code.
 
     The code counts without white space around it; a block without code, or whose range holds
@@ -20,7 +21,7 @@ def code_in_frames(blocks: DataFrame, frames: DataFrame, key: str, block_id: str
     """
     ranges = blocks.select(key, block_id, F.col("start").alias("_s"), F.col("end").alias("_e"), strip(F.col(code)).alias("_code"))
     shown = frames.where(F.col(detail).isNotNull()).select(key, F.col(at).alias("_at"), F.col(detail).alias("_detail"))
-    hits = range_join(shown, ranges, key, "_at", "_s", "_e", bin_width).where((F.col("_code") != "") & F.contains("_detail", "_code"))
+    hits = range_join(shown, ranges, key, "_at", "_s", "_e").where((F.col("_code") != "") & F.contains("_detail", "_code"))
     found = hits.select(key, block_id).distinct().withColumn("verified", F.lit(True))
     return blocks.select(key, block_id).join(found, [key, block_id], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
 
@@ -34,10 +35,14 @@ def claims_held(claims: DataFrame, make: Callable[[], Provider], *, claim: str =
 
 
 def missing_terms(documents: DataFrame, terms: DataFrame, key: str, text: str = "text", term: str = "term") -> DataFrame:
-    """(key, term) of one-word terms of a key that none of its texts holds, in any case."""
-    words = documents.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}_]+")).alias("_t")).distinct()
+    """(key, term) of one-word terms of a key that none of its texts holds, in any case.
+
+    Words that no key asks for go before anything is shuffled, if the distinct terms are few enough to be sent around.
+    """
     wanted = terms.select(key, term).distinct().withColumn("_t", F.lower(term))
-    return wanted.join(words, [key, "_t"], "left_anti").select(key, term)
+    words = documents.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}_]+")).alias("_t"))
+    asked = join_checked(words, wanted.select("_t").distinct(), ["_t"], "left_semi").distinct()
+    return wanted.join(asked, [key, "_t"], "left_anti").select(key, term)
 
 
 def pass_marks(rows: DataFrame, metrics: dict[str, tuple[Column, float, bool]]) -> DataFrame:

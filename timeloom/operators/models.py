@@ -121,7 +121,10 @@ def perceptual_hash(grey: np.ndarray) -> int:
     frequencies are held against their median.
     """
     rows, columns = (np.linspace(0, n, 33).astype(int) for n in grey.shape)
-    small = np.array([[grey[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(columns[:-1], columns[1:], strict=True)] for a, b in zip(rows[:-1], rows[1:], strict=True)])
+    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
+    total[1:, 1:] = grey.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
+    (a, b), (c, d) = ((x[:-1], np.maximum(x[1:], x[:-1] + 1)) for x in (rows, columns))
+    small = (total[b][:, d] - total[a][:, d] - total[b][:, c] + total[a][:, c]) / ((b - a)[:, None] * (d - c)[None, :])
     k = np.arange(32)
     cosines = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64)[:8]
     low = (cosines @ small @ cosines.T).ravel()

@@ -1,4 +1,4 @@
-"""Range, band and nearest joins over intervals, by equal bins."""
+"""Range, band and nearest joins over intervals, by bins of as many widths as they have."""
 
 from __future__ import annotations
 
@@ -6,25 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, bin_width: float, how: str = "inner", closed_end: bool = False) -> DataFrame:
+#: The least exponent of a bin's width, for intervals of hardly any length.
+FINEST = -20
+
+
+def range_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, how: str = "inner", closed_end: bool = False) -> DataFrame:
     """Points and the intervals that hold them: ``start <= at < end`` (``<= end`` if closed).
 
-    Intervals are dealt into the bins that they touch and points into theirs, so an equal join
-    on (key, bin) leaves little for the exact test. ``how`` may be inner or left (all points).
-    A null bound or point matches nothing.
+    An interval's own length tells the width of its bins: the next power of two, so it touches
+    two bins at most, however long it is. A point looks into its bin of every width that the intervals
+    of its key have, and an equal join on (key, width, bin) leaves little for the exact test.
+    ``how`` may be inner or left (all points). A null bound or point matches nothing.
     """
-    last = F.floor(F.col(end) / bin_width)
-    dealt = intervals.where(F.col(end) >= F.col(start)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_width), last)))
+    i = intervals.where((F.col(end) >= F.col(start)) & F.col(key).isNotNull()).withColumnRenamed(key, "_ikey")
+    length = F.greatest(F.col(end).cast("double") - F.col(start).cast("double"), F.lit(2.0**FINEST))
+    i = i.withColumn("_level", F.least(F.ceil(F.log2(length)), F.lit(1000)).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    bins = F.array(F.floor(F.col(start) / width), F.floor(F.least(F.col(end).cast("double"), F.col(start) + width) / width))
+    i = i.withColumn("_ibin", F.explode(F.array_distinct(bins)))
+    levels = i.groupBy("_ikey").agg(F.collect_set("_level").alias("_levels"))
+    p = points.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else points
+    looking = p.where(F.col(at).isNotNull()).join(levels, F.col(key) == F.col("_ikey")).drop("_ikey").withColumn("_plevel", F.explode("_levels")).drop("_levels")
+    looking = looking.withColumn("_bin", F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("_plevel"))))
     inside = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed_end else (F.col(at) < F.col(end)))
-    p = points.withColumn("_bin", F.floor(F.col(at) / bin_width)).alias("p")
-    i = dealt.withColumnRenamed(key, "_ikey").withColumnRenamed("_bin", "_ibin").alias("i")
-    return p.join(i, (F.col(key) == F.col("_ikey")) & (F.col("_bin") == F.col("_ibin")) & inside, how).drop("_ikey", "_bin", "_ibin")
+    hits = looking.join(i, (F.col(key) == F.col("_ikey")) & (F.col("_plevel") == F.col("_level")) & (F.col("_bin") == F.col("_ibin")) & inside).drop("_ikey", "_plevel", "_level", "_bin", "_ibin")
+    if how == "inner":
+        return hits
+    return p.join(hits.drop(*points.columns), "_row", how).drop("_row")
 
 
-def assign_to_sections(frames: DataFrame, sections: DataFrame, key: str, section_id: str, at: str, idx: str, bin_width: float) -> DataFrame:
+def assign_to_sections(frames: DataFrame, sections: DataFrame, key: str, section_id: str, at: str, idx: str) -> DataFrame:
     """The sections with ``frame_ids``: indices of the frames in [start, end), in order; empty if none."""
     sec = sections.select(key, section_id, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hits = range_join(frames.select(key, F.col(at).alias("_at"), F.col(idx).alias("_idx")), sec, key, "_at", "_s", "_e", bin_width)
+    hits = range_join(frames.select(key, F.col(at).alias("_at"), F.col(idx).alias("_idx")), sec, key, "_at", "_s", "_e")
     ids = hits.groupBy(key, section_id).agg(F.array_sort(F.collect_list("_idx")).alias("frame_ids"))
     empty = F.array().cast(f"array<{frames.schema[idx].dataType.simpleString()}>")
     return sections.join(ids, [key, section_id], "left").withColumn("frame_ids", F.coalesce("frame_ids", empty))
@@ -62,18 +76,18 @@ def band_distance(points: DataFrame, anchors: DataFrame, key: str, at: str, anch
     return ids.join(hits, "_row", "left").drop("_row")
 
 
-def within_tolerance(stamps: DataFrame, segments: DataFrame, key: str, at: str, tolerance: float, bin_width: float) -> DataFrame:
+def within_tolerance(stamps: DataFrame, segments: DataFrame, key: str, at: str, tolerance: float) -> DataFrame:
     """The stamps with ``valid``: whether some segment, widened by the tolerance (closed), holds them."""
     wide = segments.select(key, (F.col("start") - tolerance).alias("_s"), (F.greatest("start", "end") + tolerance).alias("_e"))
     cells = stamps.select(key, at).distinct()
-    ok = range_join(cells, wide, key, at, "_s", "_e", bin_width, closed_end=True).select(key, at).distinct().withColumn("valid", F.lit(True))
+    ok = range_join(cells, wide, key, at, "_s", "_e", closed_end=True).select(key, at).distinct().withColumn("valid", F.lit(True))
     return stamps.join(ok, [key, at], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
-def not_in_ranges(points: DataFrame, intervals: DataFrame, key: str, at: str, bin_width: float) -> DataFrame:
+def not_in_ranges(points: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
     """Points that lie in no interval (skipped windows)."""
     sec = intervals.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = range_join(points.select(key, at).distinct(), sec, key, at, "_s", "_e", bin_width).select(key, at).distinct()
+    hit = range_join(points.select(key, at).distinct(), sec, key, at, "_s", "_e").select(key, at).distinct()
     return points.join(hit, [key, at], "left_anti")
 
 

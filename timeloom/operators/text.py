@@ -42,14 +42,14 @@ def stamps_of(sections: DataFrame, key: list[str], text: str) -> DataFrame:
     return found.withColumn("at", h * 3600 + m * 60 + s)
 
 
-def repair_stamps(sections: DataFrame, segments: DataFrame, key: str, section_id: str, text: str, *, tolerance: float = 5.0, bin_width: float = 60.0) -> DataFrame:
+def repair_stamps(sections: DataFrame, segments: DataFrame, key: str, section_id: str, text: str, *, tolerance: float = 5.0) -> DataFrame:
     """The sections with ``repaired`` text and ``changes`` (old→new, in order).
 
     A stamp stands if it lies within the tolerance of a segment; else it becomes the start of
     the nearest one (of equal ones the earliest). Timelines without segments stay as they are.
     """
     stamps = stamps_of(sections, [key, section_id], text)
-    cells = within_tolerance(stamps.select(key, "at").distinct(), segments, key, "at", tolerance, bin_width).where("not valid").drop("valid")
+    cells = within_tolerance(stamps.select(key, "at").distinct(), segments, key, "at", tolerance).where("not valid").drop("valid")
     fixed = nearest(cells, segments.withColumn("_o", F.col("start")), key, "at", "start", "_o", "start", "new_at").where("new_at is not null")
     marked = stamps.join(fixed.select(key, "at", "new_at"), [key, "at"], "left").withColumn("_new", F.when(F.col("new_at").isNull(), F.col("stamp")).otherwise(F.concat(F.lit("["), hms(F.col("new_at")), F.lit("]"))))
     lists = marked.groupBy(key, section_id).agg(F.array_sort(F.collect_list(F.struct("stamp_pos", "stamp", "_new"))).alias("_m"))

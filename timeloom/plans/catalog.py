@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.plans import check_queries, extensions, table_queries, text_queries, time_queries
+from timeloom.plans import check_queries, extensions, stream_queries, table_queries, text_queries, time_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-for _part in (time_queries, text_queries, table_queries, check_queries, extensions):
+for _part in (time_queries, text_queries, table_queries, check_queries, extensions, stream_queries):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

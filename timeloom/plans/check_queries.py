@@ -73,7 +73,7 @@ _DETAILS = FRAMES + ", shown AS (SELECT video_id, \"timestamp\", 'shows value_'
 def v1_code_in_frames(spark: SparkSession, d: str) -> DataFrame:
     shown = frames(spark, d).where("event_id % 3 = 0").select("video_id", "timestamp", F.concat(F.lit("shows value_"), F.col("event_id") % 5, F.lit(" here")).alias("detail"))
     blocks = sections(spark, d).withColumn("code", F.concat(F.lit(" value_"), F.col("section_pos") % 6, F.lit("\n")))
-    return checks.code_in_frames(blocks, shown, "video_id", "section_id", 21600.0)
+    return checks.code_in_frames(blocks, shown, "video_id", "section_id")
 
 
 @_query(f"""WITH {SEGMENTS} SELECT video_id, seg_idx, starts_with(sha256('verifier' || chr(10) || 'Claim: ' || role || chr(10) || 'Transcript: ' || text), '1') AS supported FROM segments""")

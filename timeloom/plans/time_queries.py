@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.operators import ranges, scoring, select, timeline, vectors
+from timeloom.operators import ranges, scoring, search, select, timeline, vectors
 from timeloom.plans.inputs import FRAMES, SECTIONS, SEGMENTS, STRIP, frames, hms_sql, sections, segments
 from timeloom.session import load
+from timeloom.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +69,14 @@ def f2_search(spark: SparkSession, d: str) -> DataFrame:
     return select.first_n(hits, ["video_id"], ["para_id"], 10).select("video_id", "para_id", "start", "end", F.left("text", F.lit(200)).alias("text"))
 
 
+@_query(ORACLES["f2_search"])
+def f2_indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits, from an index of letter triples that is built first."""
+    index = search.build_index(timeline.paragraphs(segments(spark, d)), "video_id", "text", shared_dir(spark))
+    hits = search.search(spark, index, "THE")
+    return select.first_n(hits, ["video_id"], ["para_id"], 10).select("video_id", "para_id", "start", "end", F.left("text", F.lit(200)).alias("text"))
+
+
 @_query(f"""WITH {SEGMENTS} SELECT video_id, string_agg('[' || {hms_sql('"start"')} || '] ' || text, chr(10) ORDER BY seg_idx) AS transcript FROM segments GROUP BY video_id""")
 def r4_transcript(spark: SparkSession, d: str) -> DataFrame:
     return timeline.format_transcript(segments(spark, d))
@@ -121,18 +130,18 @@ def d3_length_chunks(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {FRAMES}, {SECTIONS} SELECT s.video_id, s.section_id, coalesce(list(f.frame_idx ORDER BY f.frame_idx) FILTER (f.frame_idx IS NOT NULL), []) AS frame_ids
 FROM sections s LEFT JOIN frames f ON f.video_id = s.video_id AND f."timestamp" >= s."start" AND f."timestamp" < s."end" GROUP BY s.video_id, s.section_id""")
 def j1_range_assign(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.assign_to_sections(frames(spark, d), sections(spark, d), "video_id", "section_id", "timestamp", "frame_idx", 21600.0).select("video_id", "section_id", "frame_ids")
+    return ranges.assign_to_sections(frames(spark, d), sections(spark, d), "video_id", "section_id", "timestamp", "frame_idx").select("video_id", "section_id", "frame_ids")
 
 
 @_query(f"""WITH {FRAMES}, {SECTIONS} SELECT f.event_id, s.section_id FROM frames f JOIN sections s ON f.video_id = s.video_id AND f."timestamp" >= s."start" AND f."timestamp" < s."end" """)
 def j2_range_join(spark: SparkSession, d: str) -> DataFrame:
     s = sections(spark, d).select("video_id", "section_id", "start", "end")
-    return ranges.range_join(frames(spark, d), s, "video_id", "timestamp", "start", "end", 21600.0).select("event_id", "section_id")
+    return ranges.range_join(frames(spark, d), s, "video_id", "timestamp", "start", "end").select("event_id", "section_id")
 
 
 @_query(f"""WITH {FRAMES}, {SECTIONS} SELECT event_id FROM frames f WHERE NOT EXISTS (SELECT 1 FROM sections s WHERE f.video_id = s.video_id AND f."timestamp" >= s."start" AND f."timestamp" < s."end")""")
 def d4_skip_windows(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.not_in_ranges(frames(spark, d), sections(spark, d), "video_id", "timestamp", 21600.0).select("event_id")
+    return ranges.not_in_ranges(frames(spark, d), sections(spark, d), "video_id", "timestamp").select("event_id")
 
 
 @_query(f"""WITH {FRAMES} SELECT event_id, nearest, distance FROM (
@@ -158,7 +167,7 @@ def j4_w4_anchor(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {FRAMES}, {SEGMENTS} SELECT f.event_id, EXISTS (SELECT 1 FROM segments s WHERE s.video_id = f.video_id AND f."timestamp" / 5000 >= s."start" - 5 AND f."timestamp" / 5000 <= greatest(s."start", s."end") + 5) AS valid FROM frames f""")
 def j5_tolerance(spark: SparkSession, d: str) -> DataFrame:
     stamps = frames(spark, d).select("video_id", "event_id", (F.col("timestamp") / 5000).alias("at"))
-    return ranges.within_tolerance(stamps, segments(spark, d), "video_id", "at", 5.0, 60.0).select("event_id", "valid")
+    return ranges.within_tolerance(stamps, segments(spark, d), "video_id", "at", 5.0).select("event_id", "valid")
 
 
 _SCORES = f"""WITH {FRAMES}, prev AS (SELECT *, last_value(phash_bits IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,13 +113,6 @@ def write_documents(documents: DataFrame, path: str, key: str = "video_id", text
     documents.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
-def embedding_file(path: str) -> list[list[float]]:
-    """Vectors of an ``.npy`` file as lists (a driver's aid for small fixtures; tables are Parquet)."""
-    import numpy as np
-
-    return np.load(PurePosixPath(path), allow_pickle=False).astype(float).tolist()
-
-
 def dump_raw_output(outputs: DataFrame, path: str) -> None:
     """Append raw model output (run_id, stage, attempt, text) to an audit table."""
     outputs.write.mode("append").partitionBy("stage").parquet(path)

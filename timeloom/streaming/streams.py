@@ -1,14 +1,15 @@
-"""Streaming forms: sessions under a watermark, and the ledger as keyed state."""
+"""Streams: sessions, windows and first events under a watermark, and commits of what a stream makes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from timeloom.storage import shared_dir
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*", files_per_trigger: int | None = None) -> DataFrame:
@@ -34,49 +35,49 @@ def distinct_stream(events: DataFrame, keys: list[str], ts: str, delay: str) ->
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
-def ledger_stream(calls: DataFrame, limits: dict[str, tuple[float, int]], total_limit: float, run: str = "run_id", order: str = "call_pos") -> DataFrame:
-    """(run, order, stage, verdict) of calls as they come; rejected calls add nothing.
+def append_sections(stream: DataFrame, table: str, checkpoint: str, after_write: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Commit sections as they are made, each trigger's once.
 
-    Spent money and calls of each run are keyed state; calls of one trigger are taken in order.
+    A trigger writes its rows to a folder of its own number, over what an attempt that broke off
+    may have left there, and then a mark in ``_commits``. A trigger that runs again after a failure
+    replaces its own rows or, if its mark is there, does nothing. :func:`committed` reads what is
+    marked. ``after_write`` is called between the two steps (for tests of failures).
     """
-    out = f"{run} long, {order} long, stage string, verdict string"
-    state = "spent double, stages map<string,double>, counts map<string,int>"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        spent, money, counts = kept.get if kept.exists else (0.0, {}, {})
-        money, counts, rows = dict(money), dict(counts), []
-        for call in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
-            stage = call.stage
-            cap, most = limits.get(stage, (0.0, 0))
-            if counts.get(stage, 0) >= most:
-                verdict = "calls"
-            elif money.get(stage, 0.0) + call.estimate > cap:
-                verdict = "stage_money"
-            elif spent + call.estimate > total_limit:
-                verdict = "total_money"
-            else:
-                verdict = "admitted"
-                spent += call.actual
-                money[stage] = money.get(stage, 0.0) + call.actual
-                counts[stage] = counts.get(stage, 0) + 1
-            rows.append((key[0], getattr(call, order), stage, verdict))
-        kept.update((spent, money, counts))
-        yield pd.DataFrame(rows, columns=[run, order, "stage", "verdict"])
-
-    return calls.groupBy(run).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def append_sections(stream: DataFrame, table: str, checkpoint: str):
-    """Commit sections as they are made: each trigger appends to a Parquet table."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(table)
+        if epoch in _marks(batch.sparkSession, table):
+            return
+        batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        if after_write:
+            after_write(epoch)
+        fs, path = _file_system(batch.sparkSession, f"{table}/_commits/{epoch}")
+        fs.create(path, True).close()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end into a memory table (for tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def committed(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The rows of all triggers that were committed, with their number as ``epoch``."""
+    done = [f"{table}/epoch={e}" for e in sorted(_marks(spark, table))]
+    if not done:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("epoch", T.LongType())]))
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).option("basePath", table)
+    return read.parquet(*done)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _marks(spark: SparkSession, table: str) -> set[int]:
+    fs, at = _file_system(spark, f"{table}/_commits")
+    return {int(f.getPath().getName()) for f in fs.listStatus(at)} if fs.exists(at) else set()
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a bounded stream to its end into a table in the shared folder, and read that."""
+    spark = stream.sparkSession
+    table, checkpoint = shared_dir(spark), shared_dir(spark)
+    stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(table)
