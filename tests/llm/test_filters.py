@@ -1,8 +1,11 @@
+import hashlib
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from data import empty_documents, odd_documents, prose, words
 from pyspark.sql import functions as F
 
@@ -77,6 +80,124 @@ def test_toxicity_learns_exclusive_or():
     assert ((model.margins(doc, np.concatenate(rest), len(rest)) >= 0) == (y[3000:] == 1)).mean() > 0.95
 
 
+def test_rare_pairs_of_terms():
+    """Pairs that one row in two hundred holds, each of their terms being harmless alone: what share is found."""
+    rng = np.random.default_rng(11)
+    n, pairs = 8000, 20
+    y, rows = np.zeros(n), [set(rng.choice(2500, 40).tolist()) for _ in range(n)]
+    for p in range(pairs):
+        both = rng.choice(n, n // 200, replace=False)
+        for i in both:
+            rows[i] |= {5000 + 2 * p, 5001 + 2 * p}
+            y[i] = 1
+        for t in (0, 1):
+            for i in rng.choice(np.flatnonzero(y == 0), n // 100, replace=False):
+                rows[i].add(5000 + 2 * p + t)
+    for i in range(n):  # what fell together by chance is toxic too
+        y[i] = float(any(5000 + 2 * p in rows[i] and 5001 + 2 * p in rows[i] for p in range(pairs)))
+    terms = [np.array(sorted(r), dtype=np.int32) for r in rows]
+    known = toxicity_fm._known(terms, y)
+    found = np.mean([5000 + 2 * p in known and 5001 + 2 * p in known for p in range(pairs)])
+    model = toxicity_fm.fit(terms[:6000], y[:6000])
+    got = toxicity_fm._all_margins(model, terms[6000:]) >= 0
+    print("rare pairs", found, (got == (y[6000:] == 1)).mean(), got[y[6000:] == 1].mean())
+    assert found >= 0.9 and (got == (y[6000:] == 1)).mean() > 0.95 and got[y[6000:] == 1].mean() > 0.9
+
+
+def test_cross_validation_prefers_what_generalises():
+    rng = np.random.default_rng(6)
+    y = (rng.random(600) < 0.4).astype(float)
+    terms = [np.unique(np.concatenate([[7] if rng.random() < (0.8 if t else 0.1) else [], rng.choice(300, 20) + 50])).astype(np.int32) for t in y]
+    got = toxicity_fm.cross_validate(terms, y, [(5e-3, 40), (5e-3, 0)])
+    assert got[5e-3, 40][0] > 0.8 > got[5e-3, 0][0]
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_hash(b):
+    """The hash of a word's bytes, eight at a time; those of more than 512 bytes are hashed by blake2b."""
+    if len(b) > 512:
+        return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")
+    h = plain_mix(int.from_bytes(b[:8], "little") ^ len(b) * 0x9E3779B97F4A7C15 & M64)
+    for k in range(8, len(b), 8):
+        h = plain_mix((h * 0xD6E8FEB86659FD93 & M64) ^ int.from_bytes(b[k : k + 8], "little"))
+    return h
+
+
+ODD_TEXTS = [
+    "You IDIOT, you", "don't stop-now (really)! a.b.c", "Straße überführt 日本語テキスト", "x" * 600 + " " + "y" * 14 + " " + "z" * 15, "tab\tnew\nline\n\nline\nline", "a a a b b A", "é" * 5 + " ́combining 👩‍👩‍👧", "", " \n ", None,
+    "one\x0btwo\x0cthree\rfour five", "\n", "#hash |pipe| [b] 'q' /s/ ;:, ?!.", "w1 w2 w3 w4 w5 w1 w2 w3 w4 w5", "end\n",
+]
+
+
+def test_terms_and_scores_restated(spark):
+    """Every word and its beginnings of whole characters, and the sums over all pairs, in plain Python."""
+    breaks = r"[\t-\r !-/:-@\[-`{-~]+"
+
+    def plain_terms(text):
+        out = set()
+        for w in re.split(breaks, text or ""):
+            b = re.sub(rb"[A-Z]", lambda m: m[0].lower(), w.encode())
+            if not b:
+                continue
+            out.add(plain_hash(b) >> 44)
+            for n in toxicity_fm.PREFIX_BYTES:
+                head = b[:n].decode(errors="ignore").encode() if len(b) > n else b
+                out.add(plain_mix((plain_hash(head) + n) & M64) >> 44)
+        return out
+
+    every = sorted(set().union(*map(plain_terms, ODD_TEXTS)))
+    rng = np.random.default_rng(0)
+    place = np.full(1 << toxicity_fm.BUCKET_BITS, -1, dtype=np.int32)
+    known = every[::2]
+    place[known] = np.arange(len(known))
+    model = toxicity_fm.FactorizationMachine(place, rng.normal(size=len(known)), 0.3 * rng.normal(size=(len(known), 4)), -0.2)
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity_fm.score_toxicity(docs, model).collect()}
+    for i, text in enumerate(ODD_TEXTS):
+        at = sorted(int(place[t]) for t in plain_terms(text) if place[t] >= 0)
+        m = -0.2 + sum(model.w[a] for a in at) + sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(at) for b in at[k + 1 :])
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(m, -50, 50)))) < 1e-9, text
+
+
+def test_statistics_restated():
+    from timeloom.llm.textkernel import blocks
+
+    def plain(text):
+        b, w = (text or "").encode(), [x.encode() for x in words(text)]
+        size, n = [len(x) for x in w], max(1, len(w))
+        mean = sum(size) / n
+        grams_ = [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+        lines = b.split(b"\n")
+        lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        n_lines = max(1, len(lines))
+        return [
+            *(sum(x in members for x in b) / max(1, len(b)) for members in quality_gbt.CLASSES.values()),
+            np.log1p(len(w)), mean, max(0, sum(s * s for s in size) / n - mean**2) ** 0.5,
+            1 - (len(w) - len(set(w))) / n, sum(a == c for a, c in zip(w, w[1:], strict=False)) / n, (len(grams_) - len(set(grams_))) / max(1, len(grams_)),
+            sum(s == 1 for s in size) / n, sum(s > 14 for s in size) / n, len(w) / n_lines, (len(lines) - len(set(lines))) / n_lines,
+        ]
+
+    got = np.concatenate([quality_gbt.statistics_of(b) for b in blocks(pa.array(ODD_TEXTS))])
+    want = np.array([plain(t) for t in ODD_TEXTS])
+    assert np.allclose(got, want, atol=1e-9), [(i, quality_gbt.STATISTICS[j], got[i, j], want[i, j]) for i, j in np.argwhere(~np.isclose(got, want, atol=1e-9))]
+
+
+def test_rounds_that_do_not_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(robust_rules, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="still changes"):
+        robust_rules.minimum_covariance(spark.createDataFrame([("g", k, k % 3, 0, 0, 1) for k in range(30)], "grp string, " + ", ".join(f"{c} long" for c in robust_rules.VECTOR) + ", n long"))
+
+
 def test_margins_equal_explicit_pair_sums():
     rng = np.random.default_rng(5)
     place = np.full(1 << toxicity_fm.BUCKET_BITS, -1, dtype=np.int32)

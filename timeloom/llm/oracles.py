@@ -35,10 +35,10 @@ WITH RECURSIVE sized AS (
     FROM (SELECT *, (k * {MULTIPLIER} + 1) % 18446744073709551616::HUGEINT AS n FROM walk) WHERE j < {SHARDS}
 ), placed AS (
     SELECT doc_id, max(CASE WHEN j < {SHARDS} THEN j END)::INT AS shard, CASE WHEN bool_or(j = {SHARDS}) THEN {SHARDS} ELSE max(CASE WHEN j < {SHARDS} THEN j END) END::INT AS grown_shard,
-        max(CASE WHEN step = 1 THEN (k // 8589934592) % {SLOT_PARTS} END) AS part
+        max(CASE WHEN step = 1 THEN (k // 8589934592) % {SLOT_PARTS} END) AS draw
     FROM walk GROUP BY doc_id
 )
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY (draw + text_crc32 + size) % {SLOT_PARTS}, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
 FROM sized JOIN placed USING (doc_id)
 """
 

@@ -149,7 +149,7 @@ def minimum_covariance(cells: DataFrame) -> DataFrame:
     nearest ``SUBSET`` of them and fits the next estimate to these. The covariance is that of
     the subset, made consistent, plus the floors: a fixed multiple and a fixed target, for which
     such rounds never raise the determinant (minimum regularized covariance determinant). They
-    go on until no group's subset changes, from each of the ``STARTS`` (the entries' quantiles,
+    go on until no group's subset changes (an error after ``MAX_ROUNDS``), from each of the ``STARTS`` (the entries' quantiles,
     with the floors as spread), and the least determinant of the three is kept.
 
     Ranks come from counts by distance class, 1024 to a factor of two, so no task holds a
@@ -173,6 +173,8 @@ def minimum_covariance(cells: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"some subset still changes after {MAX_ROUNDS} rounds")
     best = _factored(estimate).groupBy("grp").agg(*(F.min_by(c, F.struct("det", "start")).alias(c) for c in (*_MEANS, *_COVARIANCES)))
     return best.join(sizes.select("grp", "size"), "grp")
 

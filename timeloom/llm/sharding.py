@@ -61,7 +61,7 @@ def jump_shard(key: Column, n_shards: int) -> Column:
 
 
 def slot_part(key: Column, parts: int = SLOT_PARTS) -> Column:
-    """The part (0 to ``parts`` - 1) of a key within its shard: low bits of the first draw."""
+    """A number from 0 to ``parts`` - 1 by the low bits of a key's first draw."""
     hi, lo = _halves(key)
     hi, _ = _next(hi, lo)
     return F.shiftrightunsigned(hi, 1) % parts
@@ -82,11 +82,12 @@ def number_slots(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Gapless ``slot`` numbers from 0 within each ``shard``.
 
     A shard may hold a large part of all rows, so its rows are dealt into ``SLOT_PARTS`` parts
-    by the key's first draw. Rows are numbered within their part, in ``order``, and begin where
+    by the key's first draw, and rows of one key, of which there may be as many, by the other columns of ``order``, whole
+    numbers. Rows alike in all of these share a part. Rows are numbered within their part, in ``order``, and begin where
     the counts of the shard's parts before it end. The table of counts has a row for each
     shard and part at most, which bounds what is broadcast.
     """
-    dealt = df.withColumn("_part", slot_part(F.col(key)))
+    dealt = df.withColumn("_part", sum((F.col(c) for c in order if c != key), slot_part(F.col(key))) % SLOT_PARTS)
     counts = dealt.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -24,8 +24,11 @@ MIN_SEEN = 4
 #: Chi-square over which a term tells by itself (a chance of 0.001), and squared score over which
 #: a pair does (a chance of some 1e-12, as there are up to 8 million pairs).
 ALONE, TOGETHER = 10.8, 50.0
-#: Terms whose pairs are held against each other, the most frequent ones.
-PAIR_TERMS = 4096
+#: Terms whose pairs are held against each other, the most frequent ones, of those that so many
+#: sampled documents hold at least one in.
+PAIR_TERMS, PAIR_ONE_IN = 4096, 400
+#: Settings of a fit, picked by :func:`cross_validate` inside the training rows alone: how weights shrink, and steps.
+DECAY, ROUNDS = 5e-3, 80
 #: Documents times terms up to which a fit holds them as a table (64 MB).
 DENSE_CELLS = 1 << 24
 
@@ -83,8 +86,8 @@ def _telling(seen: np.ndarray, toxic: np.ndarray, n1: int, n0: int) -> np.ndarra
 
 
 def _frequent(seen: np.ndarray, n: int) -> np.ndarray:
-    """The terms whose pairs are scored: the ``PAIR_TERMS`` most frequent of those that one document in a hundred holds."""
-    often = np.flatnonzero(seen >= max(MIN_SEEN, n / 100))
+    """The terms whose pairs are scored: the ``PAIR_TERMS`` most frequent of those that one document in ``PAIR_ONE_IN`` holds."""
+    often = np.flatnonzero(seen >= max(MIN_SEEN, n / PAIR_ONE_IN))
     return np.sort(often[np.argsort(-seen[often], kind="stable")][:PAIR_TERMS])
 
 
@@ -124,7 +127,7 @@ def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.nda
     return often[told]
 
 
-def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, factors: int = 6, rounds: int = 80, rate: float = 0.03, decay: float = 5e-3, seed: int = 7) -> FactorizationMachine:
+def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, factors: int = 6, rounds: int = ROUNDS, rate: float = 0.03, decay: float = DECAY, seed: int = 7) -> FactorizationMachine:
     """Weights and factors of the ``known`` terms by adaptive steps over all rows, classes weighing the same."""
     n1, n0 = y.sum(), (1 - y).sum()
     place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
@@ -171,31 +174,64 @@ def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, facto
     return FactorizationMachine(place, w.astype(np.float64), v.astype(np.float64), float(bias))
 
 
-def fit(terms: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
-    """Fit on the terms that tell the classes apart, alone or in pairs.
+def _known(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The terms that tell the classes apart, alone or in pairs.
 
-    First a machine is fitted to the terms that tell by themselves. Then all pairs of frequent
-    terms are held against what it leaves open, and if some tell more, a machine is fitted to
-    their terms too. Other terms are left out: with some ten times as many terms as rows they
-    would only be learnt by heart. Without rows of both classes there is nothing to learn, and
-    no text is called toxic.
+    A machine is fitted to the terms that tell by themselves, with hardly any decay, so it leaves
+    open no more than it must. All pairs of frequent terms are held against that.
     """
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    if not n1 or not n0:
-        return FactorizationMachine(np.full(1 << BUCKET_BITS, -1, dtype=np.int32), np.zeros(1), np.zeros((1, 1)), -1.0)
     doc, flat = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms]), np.concatenate(terms)
-    known = _telling(np.bincount(flat, minlength=1 << BUCKET_BITS), np.bincount(flat, weights=y[doc], minlength=1 << BUCKET_BITS), n1, n0)
-    # Pairs are held against a machine with hardly any decay, which leaves open no more than it must.
-    close = _descend(terms, y, known, decay=2e-4)
+    alone = _telling(np.bincount(flat, minlength=1 << BUCKET_BITS), np.bincount(flat, weights=y[doc], minlength=1 << BUCKET_BITS), n1, n0)
+    close = _descend(terms, y, alone, rounds=80, decay=2e-4)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     p = sigmoid(close.margins(doc, flat, len(terms)))
-    model = _descend(terms, y, np.union1d(known, _telling_pairs(terms, weight * (y - p), weight**2 * p * (1 - p))))
-    model.bias -= centred_threshold(model.margins(doc, flat, len(terms)), y)
+    return np.union1d(alone, _telling_pairs(terms, weight * (y - p), weight**2 * p * (1 - p)))
+
+
+def _all_margins(model: FactorizationMachine, terms: list[np.ndarray]) -> np.ndarray:
+    return model.margins(np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms), len(terms))
+
+
+def fit(terms: list[np.ndarray], y: np.ndarray, decay: float = DECAY, rounds: int = ROUNDS) -> FactorizationMachine:
+    """Fit on the terms that tell the classes apart, alone or in pairs (:func:`_known`).
+
+    Other terms are left out: with some ten times as many terms as rows they would only be
+    learnt by heart. Without rows of both classes there is nothing to learn, and
+    no text is called toxic.
+    """
+    if not y.sum() or not (1 - y).sum():
+        return FactorizationMachine(np.full(1 << BUCKET_BITS, -1, dtype=np.int32), np.zeros(1), np.zeros((1, 1)), -1.0)
+    model = _descend(terms, y, _known(terms, y), decay=decay, rounds=rounds)
+    model.bias -= centred_threshold(_all_margins(model, terms), y)
     return model
 
 
+def cross_validate(terms: list[np.ndarray], y: np.ndarray, settings: list[tuple[float, int]], folds: int = 4) -> dict[tuple[float, int], tuple[float, float]]:
+    """(accuracy, share of toxic rows found) of each (decay, rounds), on rows that the fit has not seen.
+
+    Row k is in fold k modulo ``folds``; everything, the choice of terms too, is done anew without
+    a fold before it is judged by it. Only training rows may go in.
+    """
+    fold, right = np.arange(len(y)) % folds, {s: np.zeros(len(y), dtype=bool) for s in settings}
+    for f in range(folds):
+        seen = [t for t, k in zip(terms, fold, strict=True) if k != f]
+        rest = [t for t, k in zip(terms, fold, strict=True) if k == f]
+        known = _known(seen, y[fold != f])
+        for decay, rounds in settings:
+            model = _descend(seen, y[fold != f], known, decay=decay, rounds=rounds)
+            cut_at = centred_threshold(_all_margins(model, seen), y[fold != f])
+            right[decay, rounds][fold == f] = (_all_margins(model, rest) > cut_at) == (y[fold == f] == 1)
+    return {s: (float(r.mean()), float(r[y == 1].mean())) for s, r in right.items()}
+
+
 def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
-    """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold.
+    """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold."""
+    return fit(*training_terms(documents, labels, per_class))
+
+
+def training_terms(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Terms and classes of at most ``per_class`` labelled rows of each class outside the held-out fold.
 
     Only texts are inputs. Terms are counted on the executors. The counts tell which terms tell
     by themselves or are frequent, and of each sampled document the executors send these alone:
@@ -212,7 +248,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPL
     wanted[_frequent(seen, n1 + n0)] = True
     got = rows.mapInArrow(_only(wanted), "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     terms = got.column("terms").combine_chunks() if got.num_rows else pa.array([], type=pa.list_(pa.int32()))
-    return fit([np.asarray(t.values) for t in terms], got.column("y").to_numpy().astype(np.float64))
+    return [np.asarray(t.values) for t in terms], got.column("y").to_numpy().astype(np.float64)
 
 
 def _only(known: np.ndarray):
