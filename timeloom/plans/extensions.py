@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timeloom.functions import scalars
+from timeloom.plans.inputs import STRIP
 from timeloom.session import load
-from timeloom.sources import npy
+from timeloom.sources import npy, readers
 from timeloom.storage import shared_dir, written
 from timeloom.streaming import streams
 
@@ -140,6 +142,30 @@ def s9_npy(spark: SparkSession, d: str) -> DataFrame:
     return npy.read_npy(spark, out, rows=1000).select("vector")
 
 
+@_query("SELECT conv_id AS run_id, role AS stage, turn AS attempt, text FROM conversations")
+def s11_raw_output(spark: SparkSession, d: str) -> DataFrame:
+    """Raw replies appended to the audit table, those of even and odd attempts apart, and read back."""
+    out = shared_dir(spark)
+    replies = load(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("role").alias("stage"), F.col("turn").alias("attempt"), "text")
+    for half in (0, 1):
+        readers.dump_raw_output(replies.where(F.col("attempt") % 2 == half), out)
+    return spark.read.schema(replies.schema).parquet(out).select(replies.columns)
+
+
+@_query(f"SELECT conv_id, turn, {STRIP.format("chr(160) || ' ' || text || chr(8195) || chr(10)")} AS stripped FROM conversations")
+def t11_strip(spark: SparkSession, d: str) -> DataFrame:
+    """White space of all kinds goes from both ends."""
+    padded = F.concat(F.lit("\u00a0 "), F.col("text"), F.lit("\u2003\n"))
+    return load(spark, d, "conversations").select("conv_id", "turn", scalars.strip(padded).alias("stripped"))
+
+
+@_query(r"SELECT doc_id, len(lines)::BIGINT AS n_lines, md5(array_to_string(lines, '|')) AS digest FROM (SELECT doc_id, string_split_regex(replace(text, ' ', chr(8232)), '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]') AS lines FROM documents WHERE text IS NOT NULL)")
+def t12_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each text, in which line separators stand for blanks: their number and a digest."""
+    texts = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", scalars.lines_of(F.translate("text", " ", "\u2028")).alias("lines"))
+    return texts.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "|").cast("binary")).alias("digest"))
+
+
 @_query("""SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '6 hours' AS session_end, count(*) AS n_events
 FROM (SELECT user_id, ts, sum(CASE WHEN ts - p < INTERVAL '6 hours' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
   FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))
