@@ -1,5 +1,6 @@
 """Hand-made rows and plain restatements of the operators that depend on order."""
 
+import math
 import random
 import re
 
@@ -379,6 +380,36 @@ def test_search_reads_only_parts_with_hits(spark, tmp_path):
     assert {int(x) for m in re.findall(r"PartitionFilters: \[[^\]]*_part#\d+ IN(?:SET)? \(?([\d, ]+)", plan) for x in m.split(",")} == parts
 
 
+@pytest.mark.parametrize("depth", [2, 64])
+def test_spaced_choice_from_the_best_of_each_bucket(spark, depth):
+    """The fold over all rows in plain Python; with two rows of a bucket at first, most keys are folded again."""
+    r = random.Random(5)
+    rows = [(k, r.choice([r.uniform(0, 100), float(r.randrange(100))]), r.choice([r.random(), 0.5, None]), i) for i, k in enumerate(r.choice([1, 1, 1, 2, 3]) for _ in range(900))]
+    rows = list({(k, t): (k, t, s, i) for k, t, s, i in rows}.values()) + [(4, 1.0, 0.5, 9000), (5, 2.0, None, 9001)]
+    df = spark.createDataFrame(rows, "k long, t double, s double, i long")
+
+    def plain(own, cap, gap, strict):
+        lo, hi = min(x[1] for x in own), max(x[1] for x in own)
+        width = ((hi if hi > lo else lo + 1) - lo) / 6
+        order = sorted(own, key=lambda x: (x[2] is None, -(x[2] or 0), x[1], x[3]))
+        chosen = []
+        for b in range(6):
+            n = 0
+            for x in order:
+                if min(math.floor((x[1] - lo) / width), 5) == b and n < max(cap // 6, 1) and all(abs(x[1] - c) >= gap for c in chosen) and not (strict and len(chosen) >= cap):
+                    chosen.append(x[1])
+                    n += 1
+        for x in order:
+            if len(chosen) < cap and all(abs(x[1] - c) >= gap for c in chosen):
+                chosen.append(x[1])
+        return chosen
+
+    for cap, gap, strict in ((12, 3.0, False), (40, 1.5, False), (4, 20.0, True), (3, 0.0, True)):
+        want = sorted((k, t) for k in {x[0] for x in rows} for t in plain([x for x in rows if x[0] == k], cap, gap, strict))
+        got = select.spaced_top_k(df, "k", "t", "s", "i", cap, gap, strict_cap=strict, depth=depth)
+        assert sorted((x.k, x.t) for x in got.collect()) == want, (cap, gap)
+
+
 def test_running_tail_is_bounded(spark):
     from timeloom.operators import timeline
 
