@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeloom.llm.support import cut, free_name, join_checked, written
+from timeloom.llm.support import cut, free_name, join_checked, join_lists_checked, written
 from timeloom.llm.textkernel import as_signed, blocks, mix, shingles
 
 #: Words of an n-gram, the tokens of the windows.
@@ -437,7 +437,7 @@ def _decided(documents: DataFrame, spots: DataFrame, grams: int) -> DataFrame:
     with an equal hash holds the passage.
     """
     asked = spots.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "blocks")).alias("spots"))
-    texts = join_checked(documents.select("doc_id", "text"), asked, ["doc_id"], "inner", 100_000)
+    texts = join_lists_checked(documents.select("doc_id", "text"), asked, "doc_id")
     ranges = written(texts.mapInArrow(_ranges(grams), "key long, doc_id long, low long"))
     heads = ranges.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("head"))
     met = ranges.join(heads, "key").where(F.col("head.doc_id") < F.col("doc_id"))
@@ -667,7 +667,7 @@ def _verified(documents: DataFrame, stretches: DataFrame, min_words: int, simila
     last = F.floor(F.greatest(F.lit(0), F.col("high") + F.col("shift_high") + WIDTH + min_words + REACH) / TILE)
     asked = found.select("doc_id", "number", "ref_doc_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("tile"))
     tiles = asked.select(F.col("ref_doc_id").alias("doc_id"), "tile").distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
-    rows = join_checked(documents.select("doc_id", "text"), spans.join(tiles, "doc_id", "full"), ["doc_id"], "inner", 100_000)
+    rows = join_lists_checked(documents.select("doc_id", "text"), spans.join(tiles, "doc_id", "full"), "doc_id")
     parts = written(rows.mapInArrow(_word_parts(min_words), _PART_SCHEMA))
     given = parts.where("number is null").select(F.col("doc_id").alias("ref_doc_id"), "tile", "words")
     held = asked.join(given, ["ref_doc_id", "tile"]).select("doc_id", "number", "tile", "words", F.lit(None).cast(parts.schema["stretch"].dataType).alias("stretch"))

@@ -83,6 +83,18 @@ def join_checked(left: DataFrame, small: DataFrame, on: list[str], how: str, row
     return left.join(small, on, how)
 
 
+def join_lists_checked(documents: DataFrame, lists: DataFrame, key: str, entries: int = 250_000) -> DataFrame:
+    """Documents with their lists; the lists are broadcast only if they hold at most ``entries`` numbers or structs in all.
+
+    Beyond that the documents without a list go first, by their ids alone, and the others are shuffled.
+    """
+    lists = cut(lists)
+    held = [F.coalesce(F.size(c), F.lit(0)) for c, kind in lists.dtypes if kind.startswith("array")]
+    if (lists.select(F.sum(sum(F.greatest(h, F.lit(0)) for h in held))).first()[0] or 0) <= entries:
+        return documents.join(F.broadcast(lists), key)
+    return join_checked(documents, lists.select(key), [key], "left_semi").join(lists, key)
+
+
 def crc_of_id(col: Column) -> Column:
     """Unsigned crc32 of the decimal text of an id, by which rows are held out."""
     return F.crc32(col.cast("string").cast("binary"))

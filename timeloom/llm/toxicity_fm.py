@@ -26,7 +26,7 @@ MIN_SEEN = 4
 ALONE, TOGETHER = 10.8, 50.0
 #: Terms whose pairs are held against each other, the most frequent ones, of those that so many
 #: sampled documents hold at least one in.
-PAIR_TERMS, PAIR_ONE_IN = 4096, 400
+PAIR_TERMS, PAIR_ONE_IN = 4096, 200
 #: Settings of a fit, picked by :func:`cross_validate` inside the training rows alone: how weights shrink, and steps.
 DECAY, ROUNDS = 5e-3, 80
 #: Documents times terms up to which a fit holds them as a table (64 MB).
@@ -91,7 +91,7 @@ def _frequent(seen: np.ndarray, n: int) -> np.ndarray:
     return np.sort(often[np.argsort(-seen[often], kind="stable")][:PAIR_TERMS])
 
 
-def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.ndarray, block: int = 512) -> np.ndarray:
+def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.ndarray, block: int = 256) -> np.ndarray:
     """The terms of pairs whose presence together tells what the model so far leaves open.
 
     A pair's score is the square of its documents' summed residuals over their variance. All
@@ -99,11 +99,14 @@ def _telling_pairs(terms: list[np.ndarray], residual: np.ndarray, spread: np.nda
     """
     flat, doc = np.concatenate(terms), np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
     often = _frequent(np.bincount(flat, minlength=1 << BUCKET_BITS), len(terms))
-    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
+    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int16)
     place[often] = np.arange(len(often))
     at = place[flat]
-    order = np.argsort(at, kind="stable")
+    del flat
+    doc, at = doc[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable").astype(np.int32)
     doc, at = doc[order], at[order]
+    del order
 
     def columns(k: int) -> np.ndarray:
         inside = slice(*np.searchsorted(at, [k, k + block]))
@@ -134,7 +137,7 @@ def _descend(terms: list[np.ndarray], y: np.ndarray, known: np.ndarray, *, facto
     place[known] = np.arange(len(known))
     rows = [place[t][place[t] >= 0] for t in terms]
     size = np.array([len(t) for t in rows])
-    doc, at = np.repeat(np.arange(len(rows)), size), np.concatenate(rows)
+    doc, at = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate(rows)
     dense = len(rows) * len(known) <= DENSE_CELLS
     if dense:
         x = np.zeros((len(rows), max(1, len(known))), dtype=np.float32)
@@ -181,16 +184,20 @@ def _known(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     open no more than it must. All pairs of frequent terms are held against that.
     """
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    doc, flat = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms]), np.concatenate(terms)
-    alone = _telling(np.bincount(flat, minlength=1 << BUCKET_BITS), np.bincount(flat, weights=y[doc], minlength=1 << BUCKET_BITS), n1, n0)
-    close = _descend(terms, y, alone, rounds=80, decay=2e-4)
+    toxic = np.bincount(np.concatenate([t for t, c in zip(terms, y, strict=True) if c]), minlength=1 << BUCKET_BITS)
+    alone = _telling(np.bincount(np.concatenate(terms), minlength=1 << BUCKET_BITS), toxic, n1, n0)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    p = sigmoid(close.margins(doc, flat, len(terms)))
+    p = sigmoid(_all_margins(_descend(terms, y, alone, rounds=80, decay=2e-4), terms))
     return np.union1d(alone, _telling_pairs(terms, weight * (y - p), weight**2 * p * (1 - p)))
 
 
 def _all_margins(model: FactorizationMachine, terms: list[np.ndarray]) -> np.ndarray:
-    return model.margins(np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms), len(terms))
+    """Margins of documents by their terms, a thousand at a time."""
+    out = [np.zeros(0)]
+    for k in range(0, len(terms), 1000):
+        some = terms[k : k + 1000]
+        out.append(model.margins(np.repeat(np.arange(len(some)), [len(t) for t in some]), np.concatenate(some), len(some)))
+    return np.concatenate(out)
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, decay: float = DECAY, rounds: int = ROUNDS) -> FactorizationMachine:
