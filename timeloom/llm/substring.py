@@ -26,7 +26,7 @@ HINT = 2 * STEP
 #: Words of a tile, in which the words of earlier documents are handed out.
 TILE = 32
 #: First windows of a signature that one task holds; those of a more varied one are dealt out by their keys.
-MOST_HEADS = 1 << 15
+MOST_HEADS = 1 << 14
 #: Low bits of a signature that tell its hash function.
 _FUNCTIONS = 15
 #: n-grams handled at once (windows of a longer text overlap at the seams).

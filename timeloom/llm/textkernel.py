@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer document is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Bytes of a range up to which it is hashed and compared by lanes, all ranges side by side.
 LANE_BYTES = 512
 

@@ -27,7 +27,7 @@ ALONE, TOGETHER = 10.8, 50.0
 #: Terms whose pairs are held against each other, the most frequent ones, of those that so many
 #: sampled documents hold at least one in.
 PAIR_TERMS, PAIR_ONE_IN = 4096, 200
-#: Settings of a fit, picked by :func:`cross_validate` inside the training rows alone: how weights shrink, and steps.
+#: Settings of a fit, how weights shrink and steps; :func:`cross_validate` inside the training rows puts them first (README).
 DECAY, ROUNDS = 5e-3, 80
 #: Documents times terms up to which a fit holds them as a table (64 MB).
 DENSE_CELLS = 1 << 24
