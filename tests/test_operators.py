@@ -419,6 +419,14 @@ def test_running_tail_is_bounded(spark):
     assert got == {i: "\n".join(texts[:i])[-8:] for i in range(len(texts))}
 
 
+def test_running_tail_may_begin_with_a_line_break(spark):
+    texts = ["ab", "cdefghi", "jk", "", "lmno", "p"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "k long, o long, t string")
+    for n in (1, 3, 7, 8):
+        got = {r.o: r.written_tail for r in timeline.running_tail(df, "k", "o", "t", n).collect()}
+        assert got == {i: "\n".join(texts[:i])[-n:] for i in range(len(texts))}, n
+
+
 def test_small_helpers(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -113,12 +113,13 @@ def truncated(df: DataFrame, seconds: float, start: str = "start") -> DataFrame:
 def running_tail(sections: DataFrame, key: str, order: str, text: str, n_chars: int = 2000) -> DataFrame:
     """The rows with ``written_tail``: the end of all that stands before each.
 
-    A row gathers only rows that begin within ``n_chars`` of its end, by a range over running
-    lengths, so what is held does not grow with what stands before.
+    A row gathers only rows that end within ``n_chars`` of its end, by a range over running
+    lengths, so what is held does not grow with what stands before. One that ends just there
+    counts too, as the line break after it is the tail's first character.
     """
     w = Window.partitionBy(key).orderBy(order)
     until = sections.withColumn("_until", F.sum(F.length(text) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    near = Window.partitionBy(key).orderBy("_until").rangeBetween(-(n_chars - 1), 0)
+    near = Window.partitionBy(key).orderBy("_until").rangeBetween(-n_chars, 0)
     tail = F.right(F.array_join(F.collect_list(F.right(F.col(text), F.lit(n_chars))).over(near), "\n"), F.lit(n_chars))
     return until.withColumn("_tail", tail).withColumn("written_tail", F.coalesce(F.lag("_tail").over(w), F.lit(""))).drop("_until", "_tail")
 
