@@ -82,6 +82,63 @@ def test_paragraph_stream_in_any_order(spark, tmp_path):
     assert sorted(map(tuple, got.where("video_id >= 0").select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_parts_of_a_stream_are_written_by_several_tasks(spark, monkeypatch):
+    """In the order of the parts, and a part at a time; a small one is one file."""
+    from timeloom.plans import stream_queries
+
+    rows = spark.range(400).withColumnRenamed("id", "n")
+    for at_least, files in ((100, 2), (20_000, 1)):
+        monkeypatch.setattr(stream_queries, "_FILE_ROWS", at_least)
+        s = stream_queries._as_stream(rows, [F.col("n") >= 200, F.col("n") < 200], spark.range(999, 1000).withColumnRenamed("id", "n"))
+        read = streams.drain(s.select("n", F.input_file_name().alias("file"))).collect()
+        assert sorted(r.n for r in read) == [*range(400), 999]
+        assert len({r.file for r in read if 200 <= r.n < 400}) == files and len({r.file for r in read if r.n < 200}) == files
+
+
+class Calls:
+    """Stands for a state variable or a handle: counts the calls and keeps a value."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("update", "put", "appendList"):
+                self.value = args[0]
+            return iter(self.value or ()) if name == "get" and isinstance(self.value, list) else self.value if name == "get" else None
+
+        return call
+
+
+def test_stateful_operators_ask_for_their_state_a_few_times_a_trigger():
+    """Each such call is a round trip between the worker and the JVM, so their number must not follow that of the rows."""
+    from pyspark.sql import Row
+
+    made = []
+
+    class Handle(Calls):
+        def getValueState(self, *args):
+            made.append(Calls())
+            return made[-1]
+
+        getListState = getMapState = getValueState
+
+    handle = Handle()
+    call = Row("run", "pos", "stage", "estimate", "actual", "at", "at_ms")
+    run = stateful.Ledger({"a": (40.0, 400)}, 60.0, "run", "pos", 1000)
+    run.init(handle)
+    assert len(list(run.handleInputRows((1,), iter([call(1, k, "a", 0.1, 0.1, None, 60_000 + k) for k in range(300)]), None))) == 300
+    assert handle.calls + sum(m.calls for m in made) <= 4
+    made.clear()
+    handle.calls = 0
+    segment = Row("video_id", "seg_idx", "start", "end", "text")
+    line = stateful.Paragraphs("video_id", 1.5, 0.8, 30.0)
+    line.init(handle)
+    list(line.handleInputRows((1,), iter([segment(1, k, float(k), k + 0.5, "x") for k in range(300)]), None))
+    assert handle.calls + sum(m.calls for m in made) <= 4
+
+
 def test_stream_join_drops_and_counts_late_rows(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "video_id long, frame_idx int, at long").select("video_id", "frame_idx", F.timestamp_seconds("at").alias("at"))
     for part in ([(1, 0, 100), (1, 1, 160)], [(1, 2, 100_000)], [(1, 5, 100_100)], [(1, 3, 110), (1, 4, 100_010)]):

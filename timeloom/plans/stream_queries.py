@@ -10,7 +10,7 @@ from timeloom.plans.table_queries import ORACLES as TABLES
 from timeloom.plans.table_queries import _charges
 from timeloom.plans.time_queries import ORACLES as TIMES
 from timeloom.session import load
-from timeloom.storage import shared_dir
+from timeloom.storage import shared_dir, written
 from timeloom.streaming import stateful, streams
 
 QUERIES: dict = {}
@@ -29,14 +29,24 @@ def _query(sql: str):
     return add
 
 
+#: Rows of a file of a stream; a part has as many files as the cluster has cores at most.
+_FILE_ROWS = 20_000
+
+
 def _as_stream(rows: DataFrame, parts: list, end: DataFrame | None = None) -> DataFrame:
-    """The rows as files, those of each condition apart and in this order, then ``end``; read as a stream, a file or two at a time."""
+    """The rows as files, those of each condition apart and in this order, then ``end``; read as a stream, a part at a time.
+
+    Every part is written and read by several tasks once it is large. A part of fewer files than another may share a
+    trigger with the next one, but no row comes before those of the parts ahead of its own.
+    """
     spark, folder = rows.sparkSession, shared_dir(rows.sparkSession)
+    rows = written(rows)
+    files = max(1, min(spark.sparkContext.defaultParallelism, rows.count() // (_FILE_ROWS * len(parts))))
     for condition in parts:
-        rows.where(condition).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(condition).repartition(files).write.mode("append").parquet(folder)
     if end is not None:
         end.select(rows.columns).coalesce(1).write.mode("append").parquet(folder)
-    return streams.file_stream(spark, folder, rows.schema, "*.parquet", 1)
+    return streams.file_stream(spark, folder, rows.schema, "*.parquet", files)
 
 
 @_query(TABLES["b3_admission_each"])

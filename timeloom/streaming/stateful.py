@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,47 +28,44 @@ def _at_ms(seconds: float) -> int:
     return int((seconds + 1) * 1000)
 
 
-def _only_timer(handle: StatefulProcessorHandle, at: int) -> None:
-    """Let ``at`` be the one timer of the present key."""
-    for old in list(handle.listTimers()):
-        handle.deleteTimer(old)
-    handle.registerTimer(at)
-
-
 class Ledger(StatefulProcessor):
-    """Admits the calls of one run in order; what it has spent is a value, its stages are a map."""
+    """Admits the calls of one run in order; what it and its stages have spent and when it ends is one value, which one call reads and one writes."""
 
     def __init__(self, limits: dict[str, tuple[float, int]], total_limit: float, run: str, order: str, idle_ms: int):
         self.limits, self.total_limit, self.run, self.order, self.idle_ms = limits, total_limit, run, order, idle_ms
+        self.verdict = Row(run, order, "stage", "verdict")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spent = handle.getValueState("spent", "spent double")
-        self.stages = handle.getMapState("stages", "stage string", "money double, calls int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spent = self.spent.get()[0] if self.spent.exists() else 0.0
-        calls, out, last = pd.concat(list(rows)).sort_values(self.order), [], 0
-        booked = {k[0]: tuple(v) for k, v in self.stages.iterator()}
-        for call in calls.itertuples(index=False):
+        self.book = handle.getValueState("book", "spent double, closes long, stages array<struct<stage: string, money: double, calls: int>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        spent, closes, stages = self.book.get() or (0.0, None, [])
+        booked = {stage: (money, n) for stage, money, n in stages}
+        out, last = [], 0
+        for call in sorted(rows, key=lambda c: (c[self.order] is None, c[self.order])):
+            estimate, actual = (math.nan if x is None else x for x in (call.estimate, call.actual))
             money, n = booked.get(call.stage, (0.0, 0))
             cap, most = self.limits.get(call.stage, (0.0, 0))
-            verdict = "calls" if n >= most else "stage_money" if money + call.estimate > cap else "total_money" if spent + call.estimate > self.total_limit else "admitted"
+            verdict = "calls" if n >= most else "stage_money" if money + estimate > cap else "total_money" if spent + estimate > self.total_limit else "admitted"
             if verdict == "admitted":
-                spent += call.actual
-                booked[call.stage] = (money + call.actual, n + 1)
-            out.append((key[0], getattr(call, self.order), call.stage, verdict))
-            last = max(last, call.at.value // 1_000_000)
-        self.spent.update((float(spent),))
-        for stage, (money, n) in booked.items():
-            self.stages.updateValue((stage,), (float(money), int(n)))
-        _only_timer(self.handle, max([last + self.idle_ms, *self.handle.listTimers()]))
-        yield pd.DataFrame(out, columns=[self.run, self.order, "stage", "verdict"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.spent.clear()
-        self.stages.clear()
-        yield pd.DataFrame({self.run: [key[0]], self.order: [None], "stage": [None], "verdict": ["closed"]}).astype({self.order: "Int64"})
+                spent += actual
+                booked[call.stage] = (money + actual, n + 1)
+            out.append(self.verdict(key[0], call[self.order], call.stage, verdict))
+            last = max(last, call.at_ms)
+        if closes is None:
+            self.handle.registerTimer(last + self.idle_ms)
+        self.book.update((spent, max(last + self.idle_ms, closes or 0), [(stage, *of) for stage, of in booked.items()]))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """The run's one timer stays where its first calls put it; a run that went on since waits again."""
+        closes = self.book.get()[1]
+        if closes > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(closes)
+        else:
+            self.book.clear()
+            yield self.verdict(key[0], None, None, "closed")
 
     def close(self) -> None:
         pass
@@ -83,41 +80,48 @@ def ledger_stream(calls: DataFrame, limits: dict[str, tuple[float, int]], total_
     dropped, whether its run is open or not (as is one at the epoch itself); a later one of a closed run begins it anew.
     """
     keep_state(calls.sparkSession)
-    timed = calls.select(run, order, "stage", "estimate", "actual", F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
+    timed = calls.select(run, order, "stage", "estimate", "actual", F.col(at).cast("timestamp").alias("at")).withColumn("at_ms", F.unix_millis("at")).withWatermark("at", delay)
     processor = Ledger(limits, total_limit, run, order, int(idle_seconds * 1000))
-    return timed.groupBy(run).transformWithStateInPandas(processor, f"{run} long, {order} long, stage string, verdict string", "Append", "EventTime")
+    return timed.groupBy(run).transformWithState(processor, f"{run} long, {order} long, stage string, verdict string", "Append", "EventTime")
 
 
 class Paragraphs(StatefulProcessor):
     """Joins the segments of one timeline; those ahead of the watermark wait in a list, the open paragraph is another."""
 
     def __init__(self, key: str, gap: float, soft_gap: float, max_duration: float):
-        self.key, self.gap, self.soft_gap, self.max_duration = key, gap, soft_gap, max_duration
+        self.gap, self.soft_gap, self.max_duration = gap, soft_gap, max_duration
+        self.paragraph = Row(key, "para_id", "start", "end", "text", "seg_indices")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         segment = "seg_idx int, begin double, stop double, text string"
         self.waiting = handle.getListState("waiting", segment)
         self.open = handle.getListState("open", segment)
-        #: Paragraphs that are closed, and where the open one, or the first, begins.
-        self.place = handle.getValueState("place", "n int, begin double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for s in batch.itertuples(index=False):
-                self.waiting.appendValue((int(s.seg_idx), float(s.start), float(s.end), s.text or ""))
-                self.handle.registerTimer(_at_ms(s.start))
-        yield self._rows([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        #: Paragraphs that are closed, where the open one, or the first, begins, and the one timer.
+        self.place = handle.getValueState("place", "n int, begin double, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(s.seg_idx, s.start, s.end, s.text or "") for s in rows]
+        self.waiting.appendList(new)
+        n, begin, timer = self.place.get() or (0, None, None)
+        earliest = min(_at_ms(s[1]) for s in new)
+        if timer is None or earliest < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(earliest)
+            self.place.update((n, begin, earliest))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """All segments up to the watermark are there, and one that ends more than the longest pause before it is followed by none."""
         now, out = timerValues.getCurrentWatermarkInMs(), []
         waiting = sorted(tuple(s) for s in self.waiting.get())
-        due = [s for s in waiting if _at_ms(s[1]) <= now]
-        open_, (n, begin) = [tuple(s) for s in self.open.get()], self.place.get() if self.place.exists() else (0, None)
+        due, later = [s for s in waiting if _at_ms(s[1]) <= now], [s for s in waiting if _at_ms(s[1]) > now]
+        before = [tuple(s) for s in self.open.get()]
+        open_, (n, begin, _) = list(before), self.place.get() or (0, None, None)
 
-        def closed(parts: list[tuple], at: float, number: int) -> tuple:
-            return key[0], f"p{number:04d}", at, parts[-1][2], " ".join(s[3] for s in parts), [s[0] for s in parts]
+        def closed(parts: list[tuple], at: float, number: int) -> Row:
+            return self.paragraph(key[0], f"p{number:04d}", at, parts[-1][2], " ".join(s[3] for s in parts), [s[0] for s in parts])
 
         for s in due:
             begin = s[1] if begin is None else begin
@@ -132,20 +136,18 @@ class Paragraphs(StatefulProcessor):
                 begin = s[1]
             open_.append((*s[:3], text))
         if due:
-            self.waiting.put([s for s in waiting if s not in due]) if len(due) < len(waiting) else self.waiting.clear()
+            self.waiting.put(later) if later else self.waiting.clear()
         quiet = _at_ms(open_[-1][2] + self.gap) + 1 if open_ else None
         if quiet is not None and quiet <= now:
             out.append(closed(open_, begin, n))
-            open_, n = [], n + 1
-        elif quiet is not None:
-            self.handle.registerTimer(quiet)
-        self.open.put(open_) if open_ else self.open.clear()
-        if begin is not None:
-            self.place.update((n, begin))
-        yield self._rows(out)
-
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[self.key, "para_id", "start", "end", "text", "seg_indices"])
+            open_, n, quiet = [], n + 1, None
+        if open_ != before:
+            self.open.put(open_) if open_ else self.open.clear()
+        timer = min([_at_ms(s[1]) for s in later] + ([] if quiet is None else [quiet]), default=None)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.place.update((n, begin, timer))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -157,12 +159,12 @@ def paragraph_stream(segments: DataFrame, key: str = "video_id", *, gap: float =
     A segment's event time is its start. It is looked at when the watermark reaches it, hence
     after all before it, and a paragraph is written when another begins or when the watermark has passed
     the longest pause after its end. A segment behind the watermark is late and dropped.
-    Of a timeline, what waits or is open stays as state, and two numbers.
+    Of a timeline, what waits or is open stays as state, and three numbers.
     """
     keep_state(segments.sparkSession)
     timed = segments.select(key, "seg_idx", "start", "end", "text", F.timestamp_micros(((F.col("start") + 1) * 1_000_000).cast("long")).alias("at")).withWatermark("at", delay)
     out = f"{key} long, para_id string, start double, end double, text string, seg_indices array<int>"
-    return timed.groupBy(key).transformWithStateInPandas(Paragraphs(key, gap, soft_gap, max_duration), out, "Append", "EventTime")
+    return timed.groupBy(key).transformWithState(Paragraphs(key, gap, soft_gap, max_duration), out, "Append", "EventTime")
 
 
 def section_frames_stream(frames: DataFrame, sections: DataFrame, key: str, at: str, start: str, end: str, delay: str, longest: str) -> DataFrame:
