@@ -301,6 +301,25 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert work[1] < 0.05 * 900 * 899 / 2 and work[0] <= 900 * 901 / 2 + 900
 
 
+def test_near_vectors_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
+    """Vectors without a direction that stands out reach all chunks; each row goes to as many groups as there are shelves at most."""
+    import numpy as np
+
+    from timeloom.operators import vectors
+
+    for name, value in {"CHUNK": 20, "ROWS_A_PIVOT": 40, "SHELVES": 4}.items():
+        monkeypatch.setattr(vectors, name, value)
+    m = np.random.default_rng(8).normal(size=(600, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "i long, v array<double>")
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    want = {(a, b) for a, b in np.argwhere(np.triu(u @ u.T > 0.8, 1)).tolist()}
+    got = [(x.a, x.b) for x in vectors.near_vectors(df, "i", "v", 0.8).collect()]
+    assert set(got) == want and len(got) == len(want)
+    grouped = vectors._meetings(df, "i", "v", 0.8)[0]
+    times = grouped.count().collect()
+    assert sum(r["count"] for r in times) <= 4 * 600 and len(times) <= 10
+
+
 def test_near_vectors_of_the_table(spark):
     from timeloom.operators import vectors
     from timeloom.session import load

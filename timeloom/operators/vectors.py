@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,9 @@ def _block_nearest(item_id: str, query_id: str, k: int, at_once: int):
 #: Rows of a chunk of a block, rows that one pivot is taken for, pivots at most, and rows whose directions are looked at.
 CHUNK, ROWS_A_PIVOT, PIVOTS, SAMPLE = 4096, 1024, 256, 1024
 
+#: Shelves that chunks are put on, and the rows beyond which there are more of them (64 MB at 64 entries).
+SHELVES, SHELF_ROWS = 16, 131_072
+
 
 def near_vectors(items: DataFrame, item_id: str, vector: str, threshold: float = 0.95) -> DataFrame:
     """(a, b, score) of pairs of vectors of one table with a cosine above the threshold, exactly.
@@ -111,9 +114,12 @@ def near_vectors(items: DataFrame, item_id: str, vector: str, threshold: float =
        to its pivot. By the triangle inequality a vector has partners in a block only if its angle
        to that block's pivot is at most the radius plus that of the threshold. Blocks of
        more than ``CHUNK`` rows are dealt into chunks by a hash of their id.
-    2. Two chunks that may hold partners meet in a group of their own. All vectors are turned
-       so that the directions in which a sample varies most come first. The products of the first
-       quarter of the entries, plus the most that the rest can add (the product of the rests'
+    2. Chunks lie on ``SHELVES`` shelves, and two shelves meet in a group of their own, with the rows that
+       may have partners on the other one. So a row is shuffled as often as there are shelves at most,
+       however many chunks there are; only shelves of more than ``SHELF_ROWS`` rows make more of them.
+    3. In a group two chunks meet, again with the rows alone that may have partners in the other. All
+       vectors are turned so that the directions in which a sample varies most come first. The products
+       of the first quarter of the entries, plus the most that the rest can add (the product of the rests'
        lengths), leave few pairs, and only of these the whole product is computed.
 
     Null and zero vectors have no partners, and rows of one id are not held against each other.
@@ -124,9 +130,9 @@ def near_vectors(items: DataFrame, item_id: str, vector: str, threshold: float =
     met = _meetings(items, item_id, vector, threshold)
     if met is None:
         return items.select(F.col(item_id).alias("a"), F.col(item_id).alias("b"), F.lit(0.0).alias("score")).limit(0)
-    grouped, total, lead = met
+    grouped, chunks, lead = met
     kind = items.schema[item_id].dataType.simpleString()
-    return grouped.applyInArrow(_products(total, lead, threshold, False), f"a {kind}, b {kind}, score double")
+    return grouped.applyInArrow(_products(chunks, lead, threshold, False), f"a {kind}, b {kind}, score double")
 
 
 def near_vector_work(items: DataFrame, item_id: str, vector: str, threshold: float = 0.95) -> DataFrame:
@@ -134,16 +140,16 @@ def near_vector_work(items: DataFrame, item_id: str, vector: str, threshold: flo
     met = _meetings(items, item_id, vector, threshold)
     if met is None:
         return items.select(F.lit(0).cast("long").alias("n_met"), F.lit(0).cast("long").alias("n_computed")).limit(0)
-    grouped, total, lead = met
-    return grouped.applyInArrow(_products(total, lead, threshold, True), "n_met long, n_computed long")
+    grouped, chunks, lead = met
+    return grouped.applyInArrow(_products(chunks, lead, threshold, True), "n_met long, n_computed long")
 
 
 def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(u @ pivots.T, -1.0, 1.0))
 
 
-def _meetings(items: DataFrame, item_id: str, vector: str, threshold: float) -> tuple[GroupedData, int, int] | None:
-    """The rows (g, chunk, i, u) by pair of chunks, the number of chunks, and the entries that are multiplied first."""
+def _meetings(items: DataFrame, item_id: str, vector: str, threshold: float) -> tuple[GroupedData, tuple[Callable, Callable], int] | None:
+    """The rows (g, chunk, i, u) by pair of shelves; the chunks that meet there and which vectors reach one; and the entries that are multiplied first."""
     rows = items.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(item_id).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     size, short, n = rows.select(F.max(F.size("v")), F.min(F.size("v")), F.count(F.lit(1))).first()
     if not n:
@@ -166,51 +172,75 @@ def _meetings(items: DataFrame, item_id: str, vector: str, threshold: float) ->
     chunks = -(-count // CHUNK)
     first, total, widest = np.cumsum(chunks) - chunks, int(chunks.sum()), float(np.arccos(threshold)) + 1e-7
 
+    shelves = min(total, max(SHELVES, -(-n // SHELF_ROWS)))
+    block_of = np.repeat(np.arange(len(chunks)), chunks)
+    rows_of = count[block_of] / chunks[block_of]
+    shelf_of = np.minimum((np.cumsum(rows_of) - rows_of / 2) * shelves // n, shelves - 1).astype(np.int64)
+    held = np.zeros((len(chunks), shelves), np.int64)
+    held[block_of, shelf_of] = 1
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = _unit_rows(batch.column("v")) @ turn
             angles = _angles(u, pivots)
             block = angles.argmin(axis=1)
             own = first[block] + batch.column("h").to_numpy() % np.maximum(chunks[block], 1)
-            reach = angles <= radius + widest
-            groups = []
-            for k in range(len(u)):
-                other = np.concatenate([np.arange(first[b], first[b] + chunks[b]) for b in np.flatnonzero(reach[k])])
-                groups.append(np.minimum(own[k], other) * total + np.maximum(own[k], other))
+            shelf = shelf_of[own]
+            row, other = np.nonzero((angles <= radius + widest) @ held)
+            groups = np.minimum(shelf[row], other) * shelves + np.maximum(shelf[row], other)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(u)))]).astype(np.int32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(u.ravel()), u.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, type=pa.list_(pa.int64())), pa.array(own), batch.column("i"), lists], names=["groups", "chunk", "i", "u"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(groups)), pa.array(own), batch.column("i"), lists], names=["groups", "chunk", "i", "u"])
+
+    def meeting(g: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of chunks of a pair of shelves, each once."""
+        a, b = np.meshgrid(*(np.flatnonzero(shelf_of == k) for k in divmod(g, shelves)), indexing="ij")
+        once = a <= b
+        return a[once], b[once]
+
+    def reach(u: np.ndarray, chunk: int) -> np.ndarray:
+        p = block_of[chunk]
+        return np.flatnonzero(_angles(u, pivots[p : p + 1])[:, 0] <= radius[p] + widest)
 
     keyed = rows.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(1 << 40)))
     spread = keyed.mapInArrow(dealt, f"groups array<long>, chunk long, i {kind}, u array<double>")
-    return spread.select(F.explode("groups").alias("g"), "chunk", "i", "u").groupBy("g"), total, max(1, size // 4)
+    return spread.select(F.explode("groups").alias("g"), "chunk", "i", "u").groupBy("g"), (meeting, reach), max(1, size // 4)
+
 
+def _products(chunks: tuple[Callable, Callable], lead: int, threshold: float, count: bool):
+    meeting, reach = chunks
 
-def _products(total: int, lead: int, threshold: float, count: bool):
     def run(table: pa.Table) -> pa.Table:
-        p, q = divmod(table.column("g")[0].as_py(), total)
+        table = table.combine_chunks()
         chunk, ids = table.column("chunk").to_numpy(), table.column("i").combine_chunks()
         lists = table.column("u").combine_chunks()
         u = lists.flatten().to_numpy().reshape(len(lists), -1)
-        left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
-        rest = np.sqrt((u[:, lead:] ** 2).sum(axis=1))
-        a, b, score, computed = [], [], [], 0
-        for at in range(0, len(left), 1024):
-            some = left[at : at + 1024]
-            most = u[some, :lead] @ u[right, :lead].T + rest[some, None] * rest[None, right]
-            row, column = np.nonzero(most > threshold - 1e-9)
-            x, y = some[row], right[column]
-            keep = x < y if p == q else np.ones(len(x), bool)
-            x, y = x[keep], y[keep]
-            computed += len(x)
-            for k in range(0, len(x), 1 << 16):
-                i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                s = (u[i] * u[j]).sum(axis=1)
-                hit = s > threshold
-                a.append(i[hit])
-                b.append(j[hit])
-                score.append(s[hit])
+        front, rest = np.ascontiguousarray(u[:, :lead]), np.sqrt((u[:, lead:] ** 2).sum(axis=1))
+        rows = {int(c): np.flatnonzero(chunk == c) for c in np.unique(chunk)}
+        a, b, score, met, computed = [], [], [], 0, 0
+        for p, q in zip(*(x.tolist() for x in meeting(table.column("g")[0].as_py())), strict=True):
+            if p not in rows or q not in rows:
+                continue
+            left, right = (rows[p], rows[p]) if p == q else (rows[p][reach(u[rows[p]], q)], rows[q][reach(u[rows[q]], p)])
+            met += len(left) * (len(left) - 1) // 2 if p == q else len(left) * len(right)
+            for at in range(0, len(left), 1024):
+                some = left[at : at + 1024]
+                most = front[some] @ front[right].T
+                most += rest[some, None] * rest[None, right]
+                row, column = np.nonzero(most > threshold - 1e-9)
+                x, y = some[row], right[column]
+                if p == q:
+                    x, y = x[x < y], y[x < y]
+                computed += len(x)
+                for k in range(0, len(x), 1 << 16):
+                    i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    s = (u[i] * u[j]).sum(axis=1)
+                    hit = s > threshold
+                    a.append(i[hit])
+                    b.append(j[hit])
+                    score.append(s[hit])
         if count:
-            return pa.table({"n_met": [len(left) * (len(left) - 1) // 2 if p == q else len(left) * len(right)], "n_computed": [computed]})
+            return pa.table({"n_met": [met], "n_computed": [computed]})
         none = np.zeros(0, np.int64)
         x, y = (ids.take(pa.array(np.concatenate([none, *c]))) for c in (a, b))
         pairs = pa.table({"a": pc.if_else(pc.less(x, y), x, y), "b": pc.if_else(pc.less(x, y), y, x), "score": np.concatenate([np.zeros(0), *score])})
