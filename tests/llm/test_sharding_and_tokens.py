@@ -211,3 +211,31 @@ def test_pieces_of_odd_rows(spark):
     assert decoded.where("decoded <> coalesce(text, '')").count() == 0
     assert spm.encoding_digests(odd_documents(spark), path).where("not round_trip").count() == 0
     assert spm.encode_documents(empty_documents(spark), path).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 20])
+def test_known_ranges_are_found_without_sorting(monkeypatch, bits):
+    """Also where most ranges share their slot with another, and where two ranges share a hash."""
+    import numpy as np
+
+    from timeloom.llm import idpool, textkernel
+
+    monkeypatch.setattr(idpool, "SLOT_BITS", bits)
+    words = [f"w{k % 40}x{k % 7}" for k in range(500)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    key = textkernel.hash_ranges(data, start, end)
+    learnt = lambda rows: (np.concatenate([data[start[r] : end[r]] for r in rows]).astype(np.int32), (end - start)[rows])
+    pool = idpool.IdPool(np.int32)
+    for _ in range(2):
+        flat, ends, wrong = pool.encode(data, start, end, key, learnt)
+        assert not wrong.any() and flat.tolist() == data.tolist() and ends.tolist() == [0, *end.tolist()]
+    if bits == 20:
+        sorted_, real = [], np.unique
+        monkeypatch.setattr(idpool.np, "unique", lambda x, **options: (sorted_.append(len(x)), real(x, **options))[1])
+        assert pool.encode(data, start, end, key, learnt)[0].tolist() == data.tolist() and sum(sorted_) < 10
+    monkeypatch.undo()
+    one = np.full(len(key), 7, np.uint64)
+    flat, ends, wrong = idpool.IdPool(np.int32).encode(data, start, end, one, learnt)
+    assert wrong.tolist() == [w != words[0] for w in words]
