@@ -234,7 +234,10 @@ def cross_validate(terms: list[np.ndarray], y: np.ndarray, settings: list[tuple[
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold."""
-    return fit(*training_terms(documents, labels, per_class))
+    model = fit(*training_terms(documents, labels, per_class))
+    # The sample is gone, but Arrow keeps its memory, which the driver may need for what follows.
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def training_terms(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[np.ndarray], np.ndarray]:
