@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from timeloom.llm.components import connected_components
 from timeloom.llm.support import cut, join_checked, written
 from timeloom.llm.textkernel import as_signed, blocks, mix, shingles
+from timeloom.llm.workers import tidy
 
 #: Documents and n-grams of a block of a family, about; pairs of blocks are verified together.
 BLOCK_DOCS = 512
@@ -77,7 +78,7 @@ def _signatures(width: int, banding: Banding):
 
 def signatures(documents: DataFrame, width: int, banding: Banding) -> DataFrame:
     """Number and digest of each text's distinct n-grams, and its band hashes (none without words)."""
-    return documents.select("doc_id", "text").mapInArrow(_signatures(width, banding), "doc_id long, n_grams int, key1 long, key2 long, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(_signatures(width, banding)), "doc_id long, n_grams int, key1 long, key2 long, bands array<long>")
 
 
 def _verified(width: int, similarity: float):
@@ -186,7 +187,7 @@ def jaccard_classes(documents: DataFrame, *, width: int = 5, similarity: float =
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "copies", "block", "text"
     )
     ordered = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
-    verified = cut(ordered.mapInArrow(_verified(width, similarity), "a long, b long, links long"))
+    verified = cut(ordered.mapInArrow(tidy(_verified(width, similarity)), "a long, b long, links long"))
 
     counts = verified.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = connected_components(verified).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from timeloom.llm.idpool import IdPool
 from timeloom.llm.support import bounded_batches
 from timeloom.llm.textkernel import Block, blocks, hash_ranges
+from timeloom.llm.workers import kept, tidy
 
 #: The character that stands for a space inside pieces.
 META = "▁"
@@ -277,14 +277,12 @@ class Encoder:
             yield block.row0, flat, totals
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
-@lru_cache(maxsize=2)
 def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return kept(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def decode_ids(v: Vocabulary, flat: np.ndarray, totals: np.ndarray) -> list[bytes]:
@@ -319,7 +317,7 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
     """
     rows = bounded_batches(documents).drop("ids", "n_tokens")
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("n_tokens", T.LongType(), False)])
-    return rows.mapInArrow(_encode(model_path), schema)
+    return rows.mapInArrow(tidy(_encode(model_path), ("encoder", model_path)), schema)
 
 
 def _decode(path: str):
@@ -336,7 +334,7 @@ def _decode(path: str):
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """The rows with ``decoded``, the text of their ``ids``; null and empty lists give no text."""
     rows = bounded_batches(encoded).drop("decoded")
-    return rows.mapInArrow(_decode(model_path), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType(), False)]))
+    return rows.mapInArrow(tidy(_decode(model_path), ("vocabulary", model_path)), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType(), False)]))
 
 
 def _digests(path: str):
@@ -364,4 +362,4 @@ def encoding_digests(documents: DataFrame, model_path: str) -> DataFrame:
     text; ``round_trip`` tells whether the latter is the text itself, which holds unless the
     text has the pieces' space character in it.
     """
-    return bounded_batches(documents).select("doc_id", "text").mapInArrow(_digests(model_path), "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(tidy(_digests(model_path), ("encoder", model_path)), "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")

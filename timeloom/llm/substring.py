@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from timeloom.llm.support import cut, free_name, join_checked, join_lists_checked, written
 from timeloom.llm.textkernel import as_signed, blocks, mix, shingles
+from timeloom.llm.workers import tidy
 
 #: Words of an n-gram, the tokens of the windows.
 WIDTH = 5
@@ -389,7 +390,7 @@ def _met_by_key(left: DataFrame, grams: int) -> DataFrame:
     rows = left.select("*", F.posexplode(F.array(*keys)).alias("mask", "key"))
     heads = rows.groupBy("mask", "key").agg(F.min(F.struct(*_PACKED_FIELDS[1:])).alias("head"))
     beside = rows.join(heads.select("mask", "key", *(F.col(f"head.{f}").alias(f"h_{f}") for f in _PACKED_FIELDS[1:])), ["mask", "key"])
-    return beside.drop("key").mapInArrow(_against_heads(grams), _FOUND_SCHEMA)
+    return beside.drop("key").mapInArrow(tidy(_against_heads(grams)), _FOUND_SCHEMA)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -438,7 +439,7 @@ def _decided(documents: DataFrame, spots: DataFrame, grams: int) -> DataFrame:
     """
     asked = spots.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "blocks")).alias("spots"))
     texts = join_lists_checked(documents.select("doc_id", "text"), asked, "doc_id")
-    ranges = written(texts.mapInArrow(_ranges(grams), "key long, doc_id long, low long"))
+    ranges = written(texts.mapInArrow(tidy(_ranges(grams)), "key long, doc_id long, low long"))
     heads = ranges.groupBy("key").agg(F.min(F.struct("doc_id", "low")).alias("head"))
     met = ranges.join(heads, "key").where(F.col("head.doc_id") < F.col("doc_id"))
     return met.select("doc_id", "low", (F.col("low") + grams - 1).alias("high"), F.col("head.doc_id").alias("ref_doc_id"), (F.col("head.low") - F.col("low")).alias("shift"))
@@ -482,9 +483,9 @@ def repeated_passages(documents: DataFrame, *, min_words: int = 50, similarity:
     if not 1 <= hashes <= _FUNCTIONS + 1:
         raise ValueError(f"hashes must be 1 to {_FUNCTIONS + 1}")
     grams = min_words - WIDTH + 1
-    windows = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(_windows(grams, hashes), _WINDOW_SCHEMA)
+    windows = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(_windows(grams, hashes)), _WINDOW_SCHEMA)
     ordered = windows.repartition("value").sortWithinPartitions("value", "doc_id", "place")
-    found = written(ordered.mapInArrow(_meetings(grams), _FOUND_SCHEMA))
+    found = written(ordered.mapInArrow(tidy(_meetings(grams)), _FOUND_SCHEMA))
     left = _of_kind(found, _LEFT, _PACKED_FIELDS)
     if not left.isEmpty():
         found = found.unionByName(written(_met_by_key(left, grams)))
@@ -668,12 +669,12 @@ def _verified(documents: DataFrame, stretches: DataFrame, min_words: int, simila
     asked = found.select("doc_id", "number", "ref_doc_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("tile"))
     tiles = asked.select(F.col("ref_doc_id").alias("doc_id"), "tile").distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("tiles"))
     rows = join_lists_checked(documents.select("doc_id", "text"), spans.join(tiles, "doc_id", "full"), "doc_id")
-    parts = written(rows.mapInArrow(_word_parts(min_words), _PART_SCHEMA))
+    parts = written(rows.mapInArrow(tidy(_word_parts(min_words)), _PART_SCHEMA))
     given = parts.where("number is null").select(F.col("doc_id").alias("ref_doc_id"), "tile", "words")
     held = asked.join(given, ["ref_doc_id", "tile"]).select("doc_id", "number", "tile", "words", F.lit(None).cast(parts.schema["stretch"].dataType).alias("stretch"))
     both = parts.where("number is not null").select(held.columns).unionAll(held)
     ordered = both.repartition("doc_id", "number").sortWithinPartitions("doc_id", "number", F.asc_nulls_first("tile"))
-    passages = ordered.mapInArrow(_looked_into(min_words, min_words, similarity), ", ".join(f"{c} long" for c in _PASSAGE))
+    passages = ordered.mapInArrow(tidy(_looked_into(min_words, min_words, similarity)), ", ".join(f"{c} long" for c in _PASSAGE))
     # A passage inside another of the document adds nothing; of equal ones the earliest holder's stays.
     end = F.col("start_word") + F.col("n_words")
     before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("n_words"), "ref_doc_id", "ref_start_word").rowsBetween(Window.unboundedPreceding, -1)
@@ -732,7 +733,7 @@ def remove_passages(documents: DataFrame, passages: DataFrame, min_left: int = 1
     columns, name = documents.columns, free_name(documents, "_spans_")
     spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(name))
     joined = join_checked(documents, spans, ["doc_id"], "left").select(*columns, name)
-    touched = joined.where(F.col(name).isNotNull()).mapInArrow(_cut(columns, name, min_left), documents.schema)
+    touched = joined.where(F.col(name).isNotNull()).mapInArrow(tidy(_cut(columns, name, min_left)), documents.schema)
     if "n_chars" in columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return joined.where(F.col(name).isNull()).select(columns).unionAll(touched.select(columns))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from timeloom.llm.labelled import SAMPLE_PER_CLASS, centred_threshold, sigmoid, training_rows
 from timeloom.llm.support import crc_of_id, cut
 from timeloom.llm.textkernel import BREAKS, Block, blocks
+from timeloom.llm.workers import give_back, tidy
 
 #: Buckets of the term hash, and lengths in bytes of the word beginnings that are terms too
 #: (whole characters), which stand for stems: inflected and joined forms share them.
@@ -235,8 +236,7 @@ def cross_validate(terms: list[np.ndarray], y: np.ndarray, settings: list[tuple[
 def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold."""
     model = fit(*training_terms(documents, labels, per_class))
-    # The sample is gone, but Arrow keeps its memory, which the driver may need for what follows.
-    pa.default_memory_pool().release_unused()
+    give_back()  # the sample's memory, which the driver may need for what follows
     return model
 
 
@@ -247,7 +247,7 @@ def training_terms(documents: DataFrame, labels: DataFrame, per_class: int = SAM
     by themselves or are frequent, and of each sampled document the executors send these alone:
     at most 2 * ``per_class`` lists of as a rule some hundred numbers.
     """
-    rows = cut(training_rows(documents, labels, "toxic", MODULUS, HELD_OUT, per_class).mapInArrow(_terms_of, "doc_id long, y int, terms array<int>"))
+    rows = cut(training_rows(documents, labels, "toxic", MODULUS, HELD_OUT, per_class).mapInArrow(tidy(_terms_of), "doc_id long, y int, terms array<int>"))
     n1, n0 = rows.select(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a")).where(F.col("n") >= MIN_SEEN).toArrow()
     seen, toxic = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
@@ -256,7 +256,7 @@ def training_terms(documents: DataFrame, labels: DataFrame, per_class: int = SAM
     wanted = np.zeros(1 << BUCKET_BITS, dtype=bool)
     wanted[_telling(seen, toxic, n1, n0)] = True
     wanted[_frequent(seen, n1 + n0)] = True
-    got = rows.mapInArrow(_only(wanted), "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = rows.mapInArrow(tidy(_only(wanted)), "doc_id long, y int, terms array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     terms = got.column("terms").combine_chunks() if got.num_rows else pa.array([], type=pa.list_(pa.int32()))
     return [np.asarray(t.values) for t in terms], got.column("y").to_numpy().astype(np.float64)
 
@@ -295,7 +295,7 @@ def score_toxicity(documents: DataFrame, model: FactorizationMachine, name: str
     """
     rows = documents.drop(name)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType(), False)])
-    return rows.mapInArrow(_scored(model, name), schema)
+    return rows.mapInArrow(tidy(_scored(model, name)), schema)
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
